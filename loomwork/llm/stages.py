@@ -1 +1,44 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) to the kept documents."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to the kept documents, with the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import queries
+from .near_dup import near_duplicates
+from .packing import best_fit_packing
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    from .byte_cnn import classify_documents
+
+    return classify_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(*COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences in repeats of an earlier passage go; texts keep their place, n_chars follows."""
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen for the target weights; no second epoch, so that nothing is repeated."""
+    from .mixing import mix_sources
+
+    return mix_sources(docs.select(*COLUMNS), queries.mixture(docs), max_epochs=1, share=0.8).where("copies > 0").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return best_fit_packing(docs, queries.tokenizer("byte_bpe_50k.json"), queries.SIZE, queries.END)
