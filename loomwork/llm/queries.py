@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_cnn import classify_documents
+from .mixing import leaf_plan, mark, token_counts
 from .near_dup import near_duplicates
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
+from .store import cut, written
+from .substring_dedup import remove_repeats
 from .url_filter import UrlRule, host_of, url_filter
 
 SIZE, END = 1024, 2
@@ -25,14 +29,95 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, n_removed, removed, and the text that is left."""
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify_documents(docs, table(spark, sf_dir, "labels"), with_text=False)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """A tree of four domains over the languages and sources of docs, with weights by name and number."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]{1,6})$", 1).try_cast("int"), F.lit(0))
+    leaves = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
+    return leaves.select(
+        F.concat(F.lit("d"), (number % 4).cast("string")).alias("domain"),
+        "lang",
+        "source",
+        (4 - number % 4).cast("long").alias("domain_weight"),
+        F.when(F.col("lang") == "en", 5).when(F.col("lang").isin("de", "fr"), 2).otherwise(1).cast("long").alias("lang_weight"),
+        (1 + number % 3).cast("long").alias("source_weight"),
+    )
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = written(token_counts(docs), "mixing-sizes")
+    plan = cut(leaf_plan(sizes, mixture(docs), MIX_SHARE, MIX_EPOCHS, MIX_SEED))
+    return mark(sizes, plan, MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+OP8_SQL = """
+WITH sizes AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents),
+have AS (
+  SELECT lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,6})$', 1) AS INT), 0) AS number
+  FROM sizes GROUP BY lang, source),
+leaves AS (
+  SELECT 'd' || (number % 4) AS domain, lang, source, 4 - number % 4 AS domain_weight,
+         CASE WHEN lang = 'en' THEN 5 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS lang_weight, 1 + number % 3 AS source_weight,
+         tokens, tokens * 2 AS capacity FROM have),
+langs AS (SELECT domain, lang, max(domain_weight) AS domain_weight, max(lang_weight) AS lang_weight, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaves GROUP BY domain, lang),
+domains AS (SELECT domain, max(domain_weight) AS w, CAST(sum(capacity) AS BIGINT) AS capacity FROM langs GROUP BY domain),
+total AS (SELECT CAST(floor(sum(tokens) * CAST(0.6 AS DOUBLE)) AS BIGINT) AS total FROM have),
+d1 AS (
+  SELECT domain, w, capacity, CAST(capacity AS DOUBLE) / w AS ratio,
+         CAST(total - coalesce(sum(capacity) OVER (ORDER BY CAST(capacity AS DOUBLE) / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / sum(w) OVER (ORDER BY CAST(capacity AS DOUBLE) / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM domains, total),
+d2 AS (SELECT *, (SELECT arg_min(level, (ratio, domain)) FROM d1 WHERE ratio > level) AS shared FROM d1),
+d3 AS (SELECT domain, CASE WHEN ratio <= level THEN capacity ELSE CAST(floor(w * shared) AS BIGINT) END AS budget FROM d2),
+l1 AS (
+  SELECT domain, lang, lang_weight AS w, capacity, CAST(capacity AS DOUBLE) / lang_weight AS ratio,
+         CAST(budget - coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY CAST(capacity AS DOUBLE) / lang_weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / sum(lang_weight) OVER (PARTITION BY domain ORDER BY CAST(capacity AS DOUBLE) / lang_weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM langs JOIN d3 USING (domain)),
+l2 AS (SELECT a.*, b.shared FROM l1 a LEFT JOIN (SELECT domain, arg_min(level, (ratio, lang)) AS shared FROM l1 WHERE ratio > level GROUP BY domain) b USING (domain)),
+l3 AS (SELECT domain, lang, CASE WHEN ratio <= level THEN capacity ELSE CAST(floor(w * shared) AS BIGINT) END AS budget FROM l2),
+s1 AS (
+  SELECT domain, lang, source, source_weight AS w, tokens, capacity, CAST(capacity AS DOUBLE) / source_weight AS ratio,
+         CAST(budget - coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY CAST(capacity AS DOUBLE) / source_weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / sum(source_weight) OVER (PARTITION BY domain, lang ORDER BY CAST(capacity AS DOUBLE) / source_weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM leaves JOIN l3 USING (domain, lang)),
+s2 AS (SELECT a.*, b.shared FROM s1 a LEFT JOIN (SELECT domain, lang, arg_min(level, (ratio, source)) AS shared FROM s1 WHERE ratio > level GROUP BY domain, lang) b USING (domain, lang)),
+s3 AS (SELECT domain, lang, source, tokens, CASE WHEN ratio <= level THEN capacity ELSE CAST(floor(w * shared) AS BIGINT) END AS budget FROM s2),
+s4 AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM s3),
+keyed AS (
+  SELECT z.*, s4.domain, s4.epochs, s4.budget - s4.epochs * s4.tokens AS room,
+         md5(concat_ws(':', '17', CAST(epochs AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+  FROM sizes z JOIN s4 USING (lang, source))
+SELECT doc_id, domain, lang, source, n_tokens,
+       epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room THEN 1 ELSE 0 END AS copies
+FROM keyed
+"""
+
+
 URL_RULES = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
 
 
@@ -74,10 +159,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL, "op9_url_filter": OP9_SQL}
