@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .byte_cnn import classify_documents
 from .mixing import leaf_plan, mark, token_counts
 from .near_dup import near_duplicates
@@ -43,6 +44,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_documents(docs, table(spark, sf_dir, "labels"), with_text=False)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -162,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_rules": op6_quality_rules,
     "op8_source_mixing": op8_source_mixing,
     "op9_url_filter": op9_url_filter,
