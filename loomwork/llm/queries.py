@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .byte_cnn import classify_documents
+from .lm_scoring import score_texts
 from .mixing import leaf_plan, mark, token_counts
 from .near_dup import near_duplicates
 from .packing import best_fit_packing
@@ -52,6 +53,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
 
 
@@ -169,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_source_mixing": op8_source_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
