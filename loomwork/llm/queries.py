@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .byte_cnn import classify_documents
+from .chat_trie import conversation_digests, prefix_tree
 from .lm_scoring import score_texts
 from .mixing import leaf_plan, mark, token_counts
 from .near_dup import near_duplicates
@@ -36,6 +37,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
+    ranks = tokenizer("byte_bpe_50k.tiktoken")
+    return conversation_digests(*prefix_tree(rows, ranks), ranks)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -170,6 +179,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_nearest_neighbours": op5_nearest_neighbours,
