@@ -1,10 +1,4 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""All queries of the library by name, and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import activity, corpus, pages, retrieval, tables  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
