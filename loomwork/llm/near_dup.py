@@ -45,53 +45,127 @@ def superminhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, m: int) ->
     return least.reshape(n_rows, m)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _set_keys(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """128-bit digests of sets, whatever their order."""
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(mix(sets ^ U(s)), dtype=np.uint64))) for s in (1, GOLD)]
+    keys = np.stack([d[bounds[1:]] - d[bounds[:-1]] for d in sums], 1)
+    return binaries(keys.ravel(), np.arange(len(bounds)) * 2)
 
 
 def _sketch(k: int, bands: int, band_rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = bands * band_rows
         for batch in batches:
             for first, offsets, data in text_blocks(batch["text"], 1 << 19):
                 n = len(offsets) - 1
                 _, _, rows, hashes = words(offsets, data)
                 rows, sets = shingles(rows, hashes, n, k)
                 bounds = per_row(rows, n)
-                signature = superminhash(rows, sets, n, bands * band_rows).reshape(n, bands, band_rows)
-                band = np.zeros((n, bands), np.uint64)
+                signature = superminhash(rows, sets, n, m)
+                band = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
                 for i in range(band_rows):
-                    band = mix(band + signature[:, :, i] * U(GOLD))
-                digest = [np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(mix(sets ^ U(s)), dtype=np.uint64))) for s in (1, GOLD)]
-                keys = np.stack([d[bounds[1:]] - d[bounds[:-1]] for d in digest], 1)
+                    band = mix(band + signature.reshape(n, bands, band_rows)[:, :, i] * U(GOLD))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(first, n),
-                        binaries(keys.ravel(), np.arange(n + 1) * 2),
+                        _set_keys(sets, bounds),
                         pa.array(np.diff(bounds)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(_signed(band).ravel())),
-                        binaries(sets, bounds),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel())),
+                        binaries(mix(signature).astype(np.uint8).ravel(), np.arange(n + 1) * m),
                     ],
-                    ["doc_id", "set_key", "n_shingles", "bands", "shingles"],
+                    ["doc_id", "set_key", "n_shingles", "bands", "signature"],
                 )
 
     return sketch
 
 
-def _confirm(num: int, den: int):
+def _plausible(m: int, least: float):
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps the pairs of which at least the share least of signature bytes agree."""
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, m) for c in ("u_sign", "v_sign"))
+            yield batch.select(["u", "v"]).filter(pa.array((u == v).mean(1) >= least if len(u) else [], pa.bool_()))
+
+    return plausible
+
+
+def _keyed(k: int):
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps the texts that have the wanted set; a doc_id may stand for several texts."""
+        for batch in batches:
+            keys = []
+            for _, offsets, data in text_blocks(batch["text"], 1 << 19):
+                n = len(offsets) - 1
+                _, _, rows, hashes = words(offsets, data)
+                rows, sets = shingles(rows, hashes, n, k)
+                keys += _set_keys(sets, per_row(rows, n)).to_pylist()
+            same = [x == y for x, y in zip(keys, batch["u"].to_pylist(), strict=True)]
+            yield batch.select(["u", "text"]).filter(pa.array(same, pa.bool_()))
+
+    return keyed
+
+
+def _across(k: int, num: int, den: int):
+    def across(table: pa.Table) -> pa.Table:
+        """Links between members of different components in a block of a bucket, found on full sets: one for each two
+        components that they join. Members of the left part meet those of the right one, or each other if there is one part.
+        """
+        sets, sizes = [], []
+        for _, offsets, data in text_blocks(table["text"], 1 << 19):
+            n = len(offsets) - 1
+            _, _, rows, hashes = words(offsets, data)
+            rows, found = shingles(rows, hashes, n, k)
+            sets.append(found)
+            sizes.append(np.bincount(rows, minlength=n))
+        size = np.concatenate(sizes)
+        row, (tokens, at, times) = np.repeat(np.arange(len(size)), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, at = row[times[at] > 1], at[times[at] > 1]
+        both = np.zeros((len(size), len(size)), np.float32)
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        for i in range(0, len(tokens), 4096):
+            part = slice(*np.searchsorted(at, [i, i + 4096]))
+            used, column = np.unique(at[part], return_inverse=True)
+            has = np.zeros((len(size), len(used)), np.float32)
+            has[row[part], column] = 1
+            both += has @ has.T
+        u, c, right = table["u"].to_pylist(), table["c"].to_pylist(), table["right"].to_numpy()
+        kind = np.unique(np.array(c, object), return_inverse=True)[1]
+        linked = (den * both >= num * (size[:, None] + size[None] - both)) & (kind[:, None] < kind[None])
+        if right.any():
+            linked &= right[:, None] != right[None]
+        x, y = np.nonzero(linked)
+        first = np.unique(kind[x].astype(np.int64) * len(size) + kind[y], return_index=True)[1]
+        return pa.table({"u": pa.array([u[i] for i in x[first]], pa.binary()), "v": pa.array([u[i] for i in y[first]], pa.binary())})
+
+    return across
+
+
+def _confirm(k: int, num: int, den: int):
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, offsets, data in text_blocks(column, 1 << 19):
+            n = len(offsets) - 1
+            _, _, rows, hashes = words(offsets, data)
+            rows, found = shingles(rows, hashes, n, k)
+            bounds = per_row(rows, n)
+            out += [found[bounds[i] : bounds[i + 1]] for i in range(n)]
+        return out
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps the pairs whose full sets have den * intersection >= num * union."""
         for batch in batches:
-            keep = []
-            for a, b in zip(batch["u_set"], batch["v_set"], strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) * den >= 100 * max(len(a), len(b)) * num else 0
-                keep.append(den * both >= num * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, len(batch), 500):
+                part, keep = batch.slice(i, 500), []
+                for a, b in zip(sets(part["u_text"]), sets(part["v_text"]), strict=True):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(den * both >= num * (len(a) + len(b) - both))
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, band_rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, band_rows: int = 5, block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
 
     Two texts are linked if den * |A n B| >= num * |A u B| for their sets of k-word shingles (words: runs of
@@ -100,54 +174,80 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Method: SuperMinHash signatures of bands * band_rows values; texts with an equal band meet in a bucket. A
     pair just at 0.8 shares no bucket with a chance of 0.672**32, about 3 in a million. In each bucket every
-    set is compared with the bucket's least one, then, where the links found leave a bucket in several
-    components, with the sets of the other components, so no pair in a bucket is lost and none is emitted for
-    members already joined. Links are confirmed on the full sets. Sets are compared as 64-bit hashes.
+    set is compared with the bucket's least one: pairs whose sizes rule a link out, or whose signatures agree by
+    less than six standard deviations under the threshold, go first; the others are confirmed on the full sets. Where
+    the links found leave a bucket in several components, all its members are compared across them, in blocks of
+    about block by block members, by products of their full sets' incidence matrices; only links that join two
+    components come out. So no pair in a bucket is lost, and rows stay in proportion to the members of
+    buckets. Sets are compared as 64-bit hashes.
 
     Rows with equal sets form one class before anything is compared, so that exact copies cost one row each.
     A null, empty or white text has no shingles, is linked with nothing and is its own component. Repeated rows
     and repeated doc_ids are rows of their own; a null doc_id is ignored by the minimum, and a component of
     null ids only has a null component_id and is kept. Columns besides doc_id and text are not read.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketched = written(
-        base.mapInArrow(_sketch(k, bands, band_rows), "doc_id long, set_key binary, n_shingles long, bands array<long>, shingles binary"),
+        base.mapInArrow(_sketch(k, bands, band_rows), "doc_id long, set_key binary, n_shingles long, bands array<long>, signature binary"),
         "near-dup-sketch",
     )
     full = sketched.where("n_shingles > 0")
-    classes = full.select("set_key", "bands").dropDuplicates(["set_key"])
-    placed = written(classes.select("set_key", F.posexplode("bands").alias("band", "hash")), "near-dup-buckets")
-    shared = placed.groupBy("band", "hash").agg(F.min("set_key").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "v")
-    members = placed.join(shared, ["band", "hash"]).select("band", "hash", F.col("set_key").alias("u"), "v")
-    members = written(members, "near-dup-members")
-    tried = written(members.where("u <> v").select("u", "v").distinct(), "near-dup-pairs")
-    wanted = tried.select("u").unionByName(tried.select(F.col("v").alias("u"))).distinct()
-    sets = written(
-        full.select(F.col("set_key").alias("u"), "shingles").join(wanted, "u", "left_semi").dropDuplicates(["u"]).select("u", "shingles"),
-        "near-dup-sets",
-    )
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("sign"))
+    classes = written(classes, "near-dup-classes")
+    placed = classes.select(F.col("set_key").alias("u"), F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("u").alias("v"), F.count("*").alias("m")).where("m > 1").select("bucket", "v")
+    members = written(placed.join(shared, "bucket"), "near-dup-members")
+    m, share = bands * band_rows, num / den
+    least = share - 6 * (share * (1 - share) / m) ** 0.5
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        of = lambda x: classes.select(F.col("set_key").alias(x), F.col("n").alias(f"{x}_n"), F.col("sign").alias(f"{x}_sign"))
+        sized = pairs.join(of("v"), "v").join(of("u"), "u").where(den * F.least("u_n", "v_n") >= num * F.greatest("u_n", "v_n"))
+        return sized.select("u", "v", "u_sign", "v_sign").mapInArrow(_plausible(m, least), "u binary, v binary")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        ids = classes.select(F.col("set_key").alias("u"), "id").join(wanted, "u", "left_semi")
+        texts = base.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("u", "text").mapInArrow(_keyed(k), "u binary, text string")
+        return written(texts.dropDuplicates(["u"]), "near-dup-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        with_v = pairs.join(sets.select(F.col("u").alias("v"), F.col("shingles").alias("v_set")), "v")
-        with_u = with_v.join(sets.select("u", F.col("shingles").alias("u_set")), "u")
-        return with_u.select("u", "v", "u_set", "v_set").mapInArrow(_confirm(num, den), "u binary, v binary")
-
-    links = written(confirmed(tried), "near-dup-links")
-    grouped = components(links)
-    labelled = members.select("band", "hash", "u").join(grouped.withColumnRenamed("node", "u"), "u", "left").select("band", "hash", "u", F.coalesce("component", "u").alias("c"))
-    labelled = written(labelled, "near-dup-labelled")
-    split = labelled.groupBy("band", "hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("n > 2 and lo <> hi").select("band", "hash")
-    rest = labelled.join(split, ["band", "hash"])
-    left, right = rest.select("band", "hash", "u", "c"), rest.select("band", "hash", F.col("u").alias("v"), F.col("c").alias("d"))
-    across = left.join(right, ["band", "hash"]).where("u > v and c <> d").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    links = links.unionByName(confirmed(across))
+        texts = texts_of(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct())
+        with_v = pairs.join(texts.select(F.col("u").alias("v"), F.col("text").alias("v_text")), "v")
+        with_u = with_v.join(texts.select("u", F.col("text").alias("u_text")), "u")
+        return written(with_u.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(k, num, den), "u binary, v binary"), "near-dup-links")
+
+    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """Those that are in different components."""
+        of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
+        both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        return both.where(~F.coalesce("u_in", "u").eqNullSafe(F.coalesce("v_in", "v"))).select("u", "v")
+
+    tried = written(plausible(members.where("u <> v").select("u", "v").distinct()), "near-dup-pairs")
+    # One comparison of each set first: most of the others are then within a component.
+    nearest = tried.groupBy("u").agg(F.min("v").alias("v"))
+    links = confirmed(nearest)
     grouped = written(components(links), "near-dup-groups")
-
-    ids = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    ids = ids.join(grouped.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "id", F.coalesce("component", "set_key").alias("component"))
+    more = confirmed(written(apart(tried.join(nearest, ["u", "v"], "left_anti"), grouped), "near-dup-more"))
+    links = links.unionByName(more)
+    grouped = written(components(links), "near-dup-groups")
+    labelled = members.select("bucket", "u").join(grouped.withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", F.coalesce("component", "u").alias("c"))
+    labelled = written(labelled, "near-dup-labelled")
+    split = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("m > 2 and lo <> hi").select("bucket")
+    rest = written(labelled.join(split, "bucket"), "near-dup-rest")
+    rest = rest.join(texts_of(rest.select("u").distinct()), "u")
+    parts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = rest.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    # Part i meets part j in the block (i, j), i <= j.
+    ends = lambda x: F.struct(F.least(F.col("part"), x).alias("i"), F.greatest(F.col("part"), x).alias("j"))
+    blocks = dealt.select("bucket", "u", "c", "text", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), ends)).alias("at"))
+    blocks = blocks.select("bucket", "at.i", "at.j", "u", "c", "text", ((F.col("at.i") != F.col("at.j")) & (F.col("part") == F.col("at.j"))).alias("right"))
+    across = written(blocks.groupBy("bucket", "i", "j").applyInArrow(_across(k, num, den), "u binary, v binary").distinct(), "near-dup-across")
+    grouped = written(components(links.unionByName(across)), "near-dup-groups")
+
+    ids = classes.select("set_key", "id").join(grouped.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "id", F.coalesce("component", "set_key").alias("component"))
     ids = written(ids, "near-dup-ids")
-    least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
-    found = ids.join(least, "component").select("set_key", "component_id")
+    first = ids.groupBy("component").agg(F.min("id").alias("component_id"))
+    found = ids.join(first, "component").select("set_key", "component_id")
     linked = full.select("doc_id", "n_shingles", "set_key").join(found, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
