@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,18 @@ def normalized_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zа-яё0-9]+"), 0)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: inside lambdas Spark would evaluate it again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def windows(items: Column, k: int, separator: str) -> Column:
     """Each k items in a row, joined; none where there are fewer."""
-    return F.when(F.size(items) < k, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(items) - k), lambda i: F.array_join(F.slice(items, i + 1, k), separator))
+    return let(
+        items,
+        lambda a: F.when(F.size(a) < k, F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(a) - k), lambda i: F.array_join(F.slice(a, i + 1, k), separator))
+        ),
     )
 
 
@@ -46,8 +56,7 @@ def normalized_lines(text: Column) -> Column:
 
 def content_shingles(text: Column, k: int = 3) -> Column:
     """Distinct runs of k normalized lines, or the distinct lines where there are fewer."""
-    lines = normalized_lines(text)
-    return F.array_distinct(F.when(F.size(lines) < k, lines).otherwise(windows(lines, k, "\n")))
+    return let(normalized_lines(text), lambda a: F.array_distinct(F.when(F.size(a) < k, a).otherwise(windows(a, k, "\n"))))
 
 
 def jaccard(left: Column, right: Column) -> Column:

@@ -11,6 +11,11 @@ def local_day(ts: Column, hours: int = 0) -> Column:
     return F.date_trunc("day", ts + F.make_dt_interval(F.lit(0), F.lit(hours), F.lit(0), F.lit(0)))
 
 
+def millis(ts: str) -> Column:
+    """Milliseconds since 1970 of a time with or without a zone, UTC."""
+    return F.unix_millis(F.col(ts).cast("timestamp"))
+
+
 def gap_filled(df: DataFrame, day: str, counts: list[str]) -> DataFrame:
     """A row for each day from the first to the last, with 0 where df has none. One row a day: the calendar stays small."""
     span = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
@@ -35,14 +40,14 @@ def peak_concurrency(intervals: DataFrame, by: list[str], start: str, end: str)
 def sessions(events: DataFrame, by: list[str], ts: str, gap_s: int) -> DataFrame:
     """(by, session_start, session_end, n_events): runs of events less than gap_s apart."""
     order = Window.partitionBy(*by).orderBy(ts)
-    marked = events.withColumn("new", F.when(F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(order)) < gap_s * 1_000_000, 0).otherwise(1))
+    marked = events.withColumn("_ms", millis(ts)).withColumn("new", F.when(F.col("_ms") - F.lag("_ms").over(order) < gap_s * 1000, 0).otherwise(1))
     marked = marked.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "k").agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("n_events")).drop("k")
 
 
 def sliding_count(events: DataFrame, by: list[str], ts: str, seconds: int) -> DataFrame:
     """events with n_recent: how many of the group's events lie in the seconds up to each, itself included."""
-    order = Window.partitionBy(*by).orderBy(F.unix_millis(ts)).rangeBetween(-(seconds * 1000 - 1), 0)
+    order = Window.partitionBy(*by).orderBy(millis(ts)).rangeBetween(-(seconds * 1000 - 1), 0)
     return events.withColumn("n_recent", F.count("*").over(order))
 
 

@@ -33,7 +33,7 @@ def boilerplate(docs: DataFrame, source: str, key: str, text: str, share: float
 
 
 def without_boilerplate(docs: DataFrame, frequent: DataFrame, source: str, key: str, text: str, share: float = 0.5) -> DataFrame:
-    """(source, key, block, kept) of each block (between blank lines): dropped if at least share of its trigrams, of three or more, are frequent.
+    """(source, key, block, kept) of each block (a line): dropped if at least share of its trigrams, of three or more, are frequent.
 
     Frequent trigrams are joined by source and text, not broadcast: they grow with the number of sources.
     """
@@ -41,7 +41,8 @@ def without_boilerplate(docs: DataFrame, frequent: DataFrame, source: str, key:
     grams = blocks.select(source, key, "block", F.explode_outer(T.trigrams(F.col("line"))).alias("trigram"))
     hits = grams.join(frequent.select(source, "trigram", F.lit(1).alias("hit")), [source, "trigram"], "left")
     counts = hits.groupBy(source, key, "block").agg(F.count("trigram").alias("n"), F.count("hit").alias("hits"))
-    return counts.select(source, key, "block", ~((F.col("n") >= 3) & (F.col("hits") >= share * F.col("n"))).alias("kept"))
+    frequent_block = (F.col("n") >= 3) & (F.col("hits") >= share * F.col("n"))
+    return counts.select(source, key, "block", (~frequent_block).alias("kept"))
 
 
 def similar_by_lines(docs: DataFrame, key: str, text: str, least: float, most_sharing: int) -> DataFrame:

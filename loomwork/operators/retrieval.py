@@ -20,6 +20,10 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return out.groupBy(key, "field", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, key: str, field: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the documents with any of terms: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
@@ -28,7 +32,7 @@ def bm25(docs: DataFrame, key: str, field: str, terms: list[str], k1: float = 1.
     """
     terms = list(dict.fromkeys(terms))
     words = docs.select(key, T.normalized_words(F.col(field)).alias("w"))
-    tf = words.select(key, F.size("w").alias("length"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    tf = words.select(key, F.size("w").alias("length"), *(F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = F.broadcast(tf.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))))
     hit = tf.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(stats)
     score: Column = F.lit(0.0)

@@ -18,7 +18,7 @@ def daily_activity(table):
 
 
 @query("""SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) FILTER (event_type = 'purchase') AS purchases,
-coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 0) AS errors, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS revenue
+CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 0) AS BIGINT) AS errors, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS revenue
 FROM events GROUP BY 1""")
 def daily_conditional_counts(table):
     when = lambda kind, v: F.when(F.col("event_type") == kind, v)
@@ -52,7 +52,7 @@ o AS (SELECT event_type, sum(n) OVER (PARTITION BY event_type ORDER BY t, d DESC
 SELECT event_type, CAST(max(open) AS BIGINT) AS peak FROM o GROUP BY 1""")
 def peak_concurrency(table):
     """Events as intervals of value seconds."""
-    e = table("events").select("event_type", F.unix_millis("ts").alias("s"), (F.unix_millis("ts") + F.floor(F.col("value") * 1000)).alias("e"))
+    e = table("events").select("event_type", A.millis("ts").alias("s"), (A.millis("ts") + F.floor(F.col("value") * 1000)).alias("e"))
     return A.peak_concurrency(e, ["event_type"], "s", "e")
 
 
@@ -61,7 +61,7 @@ def sliding_count(table):
     return A.sliding_count(table("events"), ["user_id"], "ts", 60).select("event_id", "user_id", "n_recent")
 
 
-@query("""WITH m AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 14400000000 THEN 0 ELSE 1 END AS new FROM events),
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 14400000 THEN 0 ELSE 1 END AS new FROM events),
 k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT user_id, min(ts)::TIMESTAMP AS session_start, max(ts)::TIMESTAMP AS session_end, count(*) AS n_events FROM k GROUP BY user_id, k""")
 def sessions(table):
@@ -107,7 +107,7 @@ def histogram_buckets(table):
     return table("events").groupBy("event_type").agg(at_most(1), at_most(10), at_most(100), F.count("*").alias("le_inf"))
 
 
-@query("""SELECT conv_id, count(*) AS n_messages, sum(length(text)) AS n_chars, arg_min(text, turn) FILTER (role = 'user') AS first_question, count(*) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars, arg_min(text, turn) FILTER (role = 'user') AS first_question, count(*) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY 1""")
 def conversation_summary(table):
     user = F.col("role") == "user"
     return table("conversations").groupBy("conv_id").agg(
@@ -146,7 +146,7 @@ def cache_keys(table):
     return table("conversations").where("role = 'user'").select("conv_id", "turn", F.sha2(T.cache_question(F.col("text")), 256).alias("cache_key"))
 
 
-@query("""SELECT role, count(*) AS n, sum(length(text)) AS chars, max(length(text)) AS longest FROM conversations GROUP BY 1""")
+@query("""SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest FROM conversations GROUP BY 1""")
 def messages_by_role(table):
     return table("conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
 

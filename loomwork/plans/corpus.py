@@ -50,7 +50,7 @@ def boilerplate_blocks(table):
     return hygiene.without_boilerplate(docs, frequent, "source", "doc_id", "text").where("not kept").groupBy("source", "doc_id").agg(F.count("*").alias("dropped"))
 
 
-_SETS = r"""l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), x -> trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[0-9]+(?:[./:-][0-9]+)+', '<date>', 'g'), '[0-9]+', '<num>', 'g'), '[ \t\r\v\f]+', ' ', 'g'))), x -> x <> '') AS l FROM documents),
+_SETS = r"""l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[0-9]+(?:[./:-][0-9]+)+', '<date>', 'g'), '[0-9]+', '<num>', 'g'), '[ \t\r\v\f]+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(l) < 3 THEN l ELSE [l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] FOR i IN range(1, len(l) - 1)] END)) AS s FROM l),
 c AS (SELECT min(doc_id) AS doc_id, s FROM s WHERE len(s) > 0 GROUP BY s)"""
 
@@ -86,7 +86,7 @@ def chunk_stats(table):
 _RE = {k: v.replace("'", "''") for k, v in pii.PATTERNS.items()}
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in _RE.items())}], x -> x IS NOT NULL), ',') AS reasons
+@query(f"""SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in _RE.items())}], lambda x: x IS NOT NULL), ',') AS reasons
 FROM documents WHERE {" OR ".join(f"regexp_matches(text, '{p}')" for p in _RE.values())}""")
 def pii_reasons(table):
     r = table("documents").select("doc_id", pii.reasons(F.col("text")).alias("r"))
@@ -110,7 +110,7 @@ def source_progress(table):
     return d.groupBy("source").agg(F.count("*").alias("n"), n(q == 0, "errors"), n(q.isNull(), "pending"), n((q == 1) & (t == 0), "ready"), n((q == 1) & (t == 1), "excluded"))
 
 
-@query("""SELECT source, count(*) AS docs, sum(strlen(text)) AS bytes, sum(length(text)) AS chars, count(*) FILTER (length(text) > 10000) AS big FROM documents GROUP BY 1""")
+@query("""SELECT source, count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (length(text) > 10000) AS big FROM documents GROUP BY 1""")
 def source_size(table):
     return table("documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"), F.count(F.when(F.length("text") > 10_000, 1)).alias("big"))
 

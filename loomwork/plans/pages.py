@@ -14,7 +14,7 @@ _PATH = "coalesce(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '')"
 _IGNORED = ", ".join(f"'{p}'" for p in U.IGNORED)
 
 
-@query(f"""WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), x -> x <> '' AND string_split(x, '=')[1] NOT IN ({_IGNORED})) AS q, url FROM pages)
+@query(f"""WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND string_split(x, '=')[1] NOT IN ({_IGNORED})) AS q, url FROM pages)
 SELECT page_id, 'https://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS queue_url, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS canonical,
 trim(regexp_replace(lower(concat_ws(' ', host, path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1))), '[^a-z0-9]+', ' ', 'g')) AS slug FROM p""")
 def url_normalize(table):
@@ -26,7 +26,7 @@ _LINKS = f"""l AS (SELECT page_id, {_HOST} AS host, unnest(regexp_extract_all(ht
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS n_links,
-len(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), x -> starts_with(x, '/'))) AS n_internal FROM pages""")
+len(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda x: starts_with(x, '/'))) AS n_internal FROM pages""")
 def html_title_links(table):
     links = U.links(F.col("html"))
     return table("pages").select(
@@ -57,7 +57,7 @@ def link_groups(table):
     return P.link_groups(e, "a", "b").groupBy(F.col("a").alias("page"), "relation").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT {_HOST} AS host, count(*) AS n, count(*) FILTER (url LIKE 'https:%') AS secure, sum(length(html)) AS chars FROM pages GROUP BY 1""")
+@query(f"""SELECT {_HOST} AS host, count(*) AS n, count(*) FILTER (url LIKE 'https:%') AS secure, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1""")
 def pages_per_host(table):
     return table("pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.count(F.when(F.col("url").startswith("https:"), 1)).alias("secure"), F.sum(F.length("html")).alias("chars"))
 

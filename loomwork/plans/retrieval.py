@@ -13,7 +13,7 @@ TERMS = ["the", "ofthe", "tion", "der", "les"]
 
 
 def _bm25_sql(terms: list[str]) -> str:
-    tf = ", ".join(f"len(list_filter(w, x -> x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(terms)))
     return f"""w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-zа-яё0-9]+') AS w FROM documents),
@@ -98,8 +98,8 @@ def budget_pack(table):
     return R.budget_pack(fused, [F.desc("score"), F.col("doc_id")], F.col("n"), 60_000, 6).select("doc_id", "score", F.col("position").cast("long").alias("position"), "used")
 
 
-@query(_FUSED + """, d AS (SELECT f.*, source FROM f JOIN documents USING (doc_id)), b AS (SELECT source, max(score) AS best FROM d GROUP BY 1)
-SELECT doc_id, source, score FROM d WHERE source IN (SELECT source FROM b WHERE best >= 0.55 * (SELECT max(best) FROM b))""")
+@query(_FUSED + """, d AS (SELECT f.*, source FROM f JOIN documents USING (doc_id)), best AS (SELECT source, max(score) AS best FROM d GROUP BY 1)
+SELECT doc_id, source, score FROM d WHERE source IN (SELECT source FROM best WHERE best >= 0.55 * (SELECT max(best) FROM best))""")
 def relevance_cut(table):
     fused = R.reciprocal_rank_fusion(_rankings(table), "doc_id").join(table("documents").select("doc_id", "source"), "doc_id")
     return R.relevance_cut(fused, "source", "score").select("doc_id", "source", "score")
@@ -133,7 +133,7 @@ def quality_metrics(table):
     return m.select("list", *(F.round(c, 6).alias(c) for c in ("mrr", "precision", "ndcg")))
 
 
-@query("""SELECT label, count(*) AS n, count(*) FILTER (len(embedding) = 64 AND NOT list_contains(list_transform(embedding, x -> isnan(x)), true)) AS valid FROM embeddings GROUP BY 1""")
+@query("""SELECT label, count(*) AS n, count(*) FILTER (len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: isnan(x)), true)) AS valid FROM embeddings GROUP BY 1""")
 def embedding_validation(table):
     valid = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x))
     return table("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(valid, 1)).alias("valid"))
