@@ -1 +1 @@
-"""Part of loomwork."""
+"""Readers and writers."""

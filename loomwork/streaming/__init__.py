@@ -1 +1 @@
-"""Part of loomwork."""
+"""Streams of events."""
