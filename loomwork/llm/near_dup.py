@@ -196,6 +196,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     classes = written(classes, "near-dup-classes")
     placed = classes.select(F.col("set_key").alias("u"), F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("u").alias("v"), F.count("*").alias("m")).where("m > 1").select("bucket", "v")
+    # Sums are written before they are joined back, so that Spark can split the partition of a large bucket or component.
+    shared = written(shared, "near-dup-shared")
     members = written(placed.join(shared, "bucket"), "near-dup-members")
     m, share = bands * band_rows, num / den
     least = share - 6 * (share * (1 - share) / m) ** 0.5
@@ -233,20 +235,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     labelled = members.select("bucket", "u").join(grouped.withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", F.coalesce("component", "u").alias("c"))
     labelled = written(labelled, "near-dup-labelled")
     split = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("m > 2 and lo <> hi").select("bucket")
+    split = written(split, "near-dup-split")
     rest = written(labelled.join(split, "bucket"), "near-dup-rest")
-    rest = rest.join(texts_of(rest.select("u").distinct()), "u")
-    parts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = rest.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    parts = written(rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "near-dup-parts")
+    rest = rest.join(parts, "bucket").join(texts_of(rest.select("u").distinct()), "u")
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     # Part i meets part j in the block (i, j), i <= j.
     ends = lambda x: F.struct(F.least(F.col("part"), x).alias("i"), F.greatest(F.col("part"), x).alias("j"))
     blocks = dealt.select("bucket", "u", "c", "text", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), ends)).alias("at"))
     blocks = blocks.select("bucket", "at.i", "at.j", "u", "c", "text", ((F.col("at.i") != F.col("at.j")) & (F.col("part") == F.col("at.j"))).alias("right"))
+    blocks = blocks.repartition("bucket", "i", "j")  # else all blocks of a bucket would stay in one task
     across = written(blocks.groupBy("bucket", "i", "j").applyInArrow(_across(k, num, den), "u binary, v binary").distinct(), "near-dup-across")
     grouped = written(components(links.unionByName(across)), "near-dup-groups")
 
     ids = classes.select("set_key", "id").join(grouped.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "id", F.coalesce("component", "set_key").alias("component"))
     ids = written(ids, "near-dup-ids")
-    first = ids.groupBy("component").agg(F.min("id").alias("component_id"))
+    first = written(ids.groupBy("component").agg(F.min("id").alias("component_id")), "near-dup-first")
     found = ids.join(first, "component").select("set_key", "component_id")
     linked = full.select("doc_id", "n_shingles", "set_key").join(found, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
