@@ -67,8 +67,8 @@ def pooled(cell_max: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate((np.add.reduceat(chunk, ends[:-1]) / np.diff(ends)[:, None], np.maximum.reduceat(chunk, ends[:-1])), 1), chunk
 
 
-def train(texts: list[bytes], labels: list[int], width: int = 6, n_filters: int = 12, epochs: int = 10, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> ByteCnn:
-    """Fits by Adam. Without texts of both kinds, a network that gives the smoothed share of label 1 to all."""
+def train(texts: list[bytes], labels: list[int], width: int = 6, n_filters: int = 12, epochs: int = 10, least_steps: int = 400, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> ByteCnn:
+    """Fits by Adam, by epochs passes and at least least_steps steps. Without texts of both kinds, a network that gives the smoothed share of label 1 to all."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -76,6 +76,7 @@ def train(texts: list[bytes], labels: list[int], width: int = 6, n_filters: int
     if not 0 < y.sum() < len(y):
         return ByteCnn(p["filters"], p["bias"], p["weights"] * 0, float(p["intercept"][0]))
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    epochs = max(epochs, -(-least_steps * batch // len(texts)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
