@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ def spans(row: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, hashes:
 
 def _spans(least: int, least_words: int, long_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each span of each text: its first place, and the others in more. A place is pos << 32 | n."""
         for batch in batches:
             for first, offsets, data in text_blocks(batch["text"], 1 << 20):
                 row, _, word_start, word_end, hashes = sentences(offsets, data)
@@ -61,43 +63,52 @@ def _spans(least: int, least_words: int, long_words: int):
                     continue
                 lead = per_row(row, len(offsets) - 1)
                 i, end, h = spans(row, word_start, word_end, hashes, least, least_words, long_words)
-                at = pa.array(first + row[i])
+                order = np.argsort(h, kind="stable")
+                order = order[np.argsort(row[i[order]].astype(np.uint16), kind="stable")]
+                i, end, h = i[order], end[order], h[order]
+                new = np.ones(len(i), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[i[1:]] != row[i[:-1]])
+                heads = np.flatnonzero(new)
+                place = (i - lead[row[i]]) << 32 | (end - i)
+                others = np.diff(np.append(heads, len(i))) - 1
+                more = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(others)))), pa.array(place[~new])).cast(pa.list_(pa.int64()))
+                at = pa.array(first + row[i[heads]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), batch["doc_id"].take(at), batch["text_key"].take(at), pa.array((i - lead[row[i]]).astype(np.int32)), pa.array((end - i).astype(np.int32))],
-                    ["span", "doc_id", "text_key", "pos", "n"],
+                    [pa.array(h[heads].view(np.int64)), batch["doc_id"].take(at), batch["text_key"].take(at), pa.array(place[heads]), pc.if_else(pa.array(others > 0), more, None)],
+                    ["span", "doc_id", "text_key", "place", "more"],
                 )
 
     return find
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the sentences of repeats (pos << 32 | n); a block at a time, so that memory stays small."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        gone = batch["repeats"]
-        out, n_sentences, n_removed, removed = [], [], [], []
+        names = [c for c in batch.schema.names if c not in ("text", "repeats")]
         for first, offsets, data in text_blocks(batch["text"], 1 << 20):
+            out, n_sentences, n_removed, removed = [], [], [], []
             row, byte, _, _, _ = sentences(offsets, data)
             lead = per_row(row, len(offsets) - 1)
             for r in range(len(offsets) - 1):
                 n = int(lead[r + 1] - lead[r])
                 text = data[offsets[r] : offsets[r + 1]]
-                runs = gone[first + r].as_py() or []
                 drop = np.zeros(n, bool)
-                for run in runs:
-                    drop[run["pos"] : run["pos"] + run["n"]] = True
+                for place in batch["repeats"][first + r].as_py() or []:
+                    drop[place >> 32 : (place >> 32) + (place & 0xFFFFFFFF)] = True
                 bounds = np.append(byte[lead[r] : lead[r + 1]] - offsets[r], len(text))
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], drop.astype(np.int8), [0]))))
-                pairs = edges.reshape(-1, 2)
-                keep = np.ones(len(text), bool)
-                for a, b in pairs:
-                    keep[bounds[a] : bounds[b]] = False
-                out.append(text[keep].tobytes().decode() if len(pairs) else text.tobytes().decode())
+                pairs = np.flatnonzero(np.diff(np.concatenate(([0], drop.astype(np.int8), [0])))).reshape(-1, 2)
+                if len(pairs):
+                    keep = np.ones(len(text), bool)
+                    for a, b in pairs:
+                        keep[bounds[a] : bounds[b]] = False
+                    text = text[keep]
+                out.append(text.tobytes().decode())
                 n_sentences.append(n)
                 n_removed.append(int(drop.sum()))
                 removed.append([{"start": int(a), "end": int(b)} for a, b in pairs])
-        rest = [batch[c] for c in batch.schema.names if c not in ("text", "repeats")]
-        names = [c for c in batch.schema.names if c not in ("text", "repeats")]
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(n_sentences, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind)], [*names, "text", "n_sentences", "n_removed", "removed"])
+            rest = [batch[c].slice(first, len(out)) for c in names]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(n_sentences, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind)], [*names, "text", "n_sentences", "n_removed", "removed"])
 
 
 def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10, long_words: int = 25) -> DataFrame:
@@ -115,20 +126,24 @@ def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10, long_
     to this operator: they get the same result. Null doc_ids come first. Other columns are passed on (named
     repeats, text_key, n_sentences, n_removed or removed they are replaced). No rows give no rows.
 
-    The first places are found by a pre-aggregated minimum for each span, so a passage that a third of all documents
-    share is one row a task there; the join that follows can be split.
+    A span that a text holds many times is one row of that text. First places are found by a pre-aggregated minimum
+    for each span, so a passage that a third of all documents share is one row a task there; the join that follows
+    can be split.
     """
     base = docs.drop("repeats", "text_key", "n_sentences", "n_removed", "removed")
     base = base.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("text_key", F.xxhash64("text"))
     found = written(
-        base.select("doc_id", "text", "text_key").mapInArrow(_spans(least, least_words, long_words), "span long, doc_id long, text_key long, pos int, n int"),
+        base.select("doc_id", "text", "text_key").mapInArrow(_spans(least, least_words, long_words), "span long, doc_id long, text_key long, place long, more array<long>"),
         "substring-spans",
     )
-    place = F.struct("doc_id", "text_key", "pos")
-    firsts = found.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("span", "first")
-    later = found.join(firsts, "span").where(place != F.col("first")).select("doc_id", "text_key", "pos", "n")
-    # Rows alike in doc_id and text carry the same spans; a set counts them once.
-    repeats = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "n")).alias("repeats"))
+    at = F.struct("doc_id", "text_key", "place")
+    firsts = found.groupBy("span").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max(F.col("more").isNotNull()).alias("again"))
+    # Written, so that the join has an exchange on either side and Spark can split the partition of a frequent span.
+    firsts = written(firsts.where("again or first <> last").select("span", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key")), "substring-firsts")
+    in_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
+    later = found.join(firsts, "span").where(~in_first | F.col("more").isNotNull())
+    places = F.when(in_first, F.col("more")).otherwise(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>"))))
+    repeats = later.select("doc_id", "text_key", places.alias("places")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("repeats"))
     repeats = repeats.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
     joined = base.join(repeats, same, "left").drop("_doc_id", "_text_key", "text_key")
