@@ -190,14 +190,17 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+_NEAR = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
+
+
 def _nearest(k: int):
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k nearest vectors (left) of each query (right) of a block."""
-        out: list[list] = [[], [], []]
+        """A row for each query (right) of a block: its k nearest vectors (left), as pairs of minus the score and vec_id."""
+        out: list[pa.Array] = []
+        queries = right["query_id"].to_numpy()
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
-            ids, v = left["vec_id"].to_numpy(), _matrix(left["v"])
-            queries, q = right["query_id"].to_numpy(), _matrix(right["v"])
+            ids, v, q = left["vec_id"].to_numpy(), _matrix(left["v"]), _matrix(right["v"])
             for i in range(0, len(q), 256):
                 s = q[i : i + 256] @ v.T
                 s[ids[None] == queries[i : i + 256, None]] = -np.inf
@@ -210,10 +213,11 @@ def _nearest(k: int):
                 order = np.lexsort((ids[col], -score, row))
                 row, col, score = row[order], col[order], score[order]
                 keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                for x, y in zip(out, (queries[i + row[keep]], ids[col[keep]], score[keep]), strict=True):
-                    x.append(y)
-        cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-        return pa.table({"query_id": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
+                row, col, score = row[keep], col[keep], score[keep]
+                pairs = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids[col])], ["away", "vec_id"])
+                out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(s) + 1)), pa.int32()), pairs))
+        lists = pa.chunked_array(out, _NEAR) if out else pa.chunked_array([pa.array([], _NEAR)])
+        return pa.table({"query_id": pa.array(queries[: len(lists)], pa.int64()), "near": lists})
 
     return nearest
 
@@ -230,7 +234,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, block:
     neighbour graph of a bounded sample. Queries go to their most probable parts, as many as hold 95 % of the true
     neighbours of 200 measured queries. A part is searched in blocks
     of about block vectors by block queries, dealt by hash, so that a part that copies have swollen takes more
-    tasks, not longer ones; each block gives k rows a query, and these are ranked.
+    tasks, not longer ones; each block gives one list of k a query, and these are merged.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     lengths = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -249,6 +253,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, block:
     left = placed.join(grid, "part").select("vec_id", "v", "part", deal("vec_id", "v_blocks").alias("v_block"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
     right = asked.join(grid, "part").select("query_id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("v_block"), deal("query_id", "q_blocks").alias("q_block"))
     keys = ["part", "v_block", "q_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, near array<struct<away:double,vec_id:bigint>>")
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    ranked = best.select("query_id", F.posexplode("near").alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.away")).alias("score"))
