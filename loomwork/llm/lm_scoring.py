@@ -152,8 +152,10 @@ def _count(ranks: str):
 class Groups:
     """Tokens in groups: P(token | before) = P(group | before) * P(token | group, before).
 
-    of: each token's group; member: its place there; tail: log P(token | last group) of the tokens of the last group,
-    which holds all rare ones and takes their shares from counts. unit: the vector that a token has as input.
+    of: each token's group; member: its place there. The last group holds all rare tokens, in rare_n groups of rare_width
+    of its own: P(token | last group, before) = P(rare group | before) * P(token | rare group, before), with rare_of and
+    rare_member. tail: log P(token | last group) by counts alone, from which training starts. Each token has its own
+    vector as input; unit: which tokens' vectors start alike.
     """
 
     n: int
@@ -165,11 +167,18 @@ class Groups:
     log_member: np.ndarray
     unit: np.ndarray
     units: int
+    rare_n: int
+    rare_width: int
+    rare_of: np.ndarray
+    rare_member: np.ndarray
+    log_rare_share: np.ndarray
+    log_rare_member: np.ndarray
 
 
 def groups(counts: np.ndarray, starts_word: np.ndarray, n: int = 32, width: int = 32) -> Groups:
     """The (n - 1) * width most frequent tokens, those that start a word apart from the others, in groups by frequency; the
-    rest in the last group. Each count is one more than seen, so that every token has a chance."""
+    rest in the last group, which is cut by frequency into as many groups as each has places. Each count is one more
+    than seen, so that every token has a chance."""
     c = counts + 1.0
     order = np.argsort(-c, kind="stable")
     order = np.concatenate(([END], order[order != END]))
@@ -184,7 +193,18 @@ def groups(counts: np.ndarray, starts_word: np.ndarray, n: int = 32, width: int
     unit[: len(c)] = len(top) + starts_word
     unit[top] = np.arange(len(top))
     unit[START], unit[PAD] = len(top) + 2, len(top) + 3
-    return Groups(n, width, of, member, np.log(c / total[n - 1]), np.log(total / total.sum()), log_member, unit, len(top) + 4)
+    rare = order[len(top) :]
+    rare_width = max(1, int(np.ceil(np.sqrt(len(rare)))))
+    rare_n = max(1, -(-len(rare) // rare_width))
+    rare_of, rare_member = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+    rare_of[rare], rare_member[rare] = np.arange(len(rare)) // rare_width, np.arange(len(rare)) % rare_width
+    rare_total = np.bincount(rare_of[rare], c[rare], minlength=rare_n)
+    log_rare_member = np.full((rare_n, rare_width), -30.0)
+    log_rare_member[rare_of[rare], rare_member[rare]] = np.log(c[rare] / rare_total[rare_of[rare]])
+    return Groups(
+        n, width, of, member, np.log(c / total[n - 1]), np.log(total / total.sum()), log_member, unit, len(top) + 4,
+        rare_n, rare_width, rare_of, rare_member, np.log(rare_total / rare_total.sum()), log_rare_member,
+    )
 
 
 def windows(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,20 +241,23 @@ def new_model(kinds: Groups, d: int = 16, seed: int = 1) -> dict[str, np.ndarray
     rng = np.random.default_rng(seed)
     f = lambda *s, by=0.1: rng.normal(0, by, s).astype(np.float32)
     return {
-        "embed": f(kinds.units, d, by=0.3), "q": f(d, d, by=0.25), "k": f(d, d, by=0.25), "v": f(d, d, by=0.25), "r": f(d, d, by=0.25),
+        "embed": f(kinds.units, d, by=0.3)[kinds.unit], "q": f(d, d, by=0.25), "k": f(d, d, by=0.25), "v": f(d, d, by=0.25), "r": f(d, d, by=0.25),
         "ago": np.zeros(2 * CELL, np.float32), "out": f(d, kinds.n), "bias": kinds.log_share.astype(np.float32),
         "out2": f(kinds.n - 1, d, kinds.width), "bias2": kinds.log_member.astype(np.float32),
+        "out3": np.zeros((d, kinds.rare_n), np.float32), "bias3": kinds.log_rare_share.astype(np.float32),
+        "out4": np.zeros((kinds.rare_n, d, kinds.rare_width), np.float32), "bias4": kinds.log_rare_member.astype(np.float32),
     }
 
 
-def _tables(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each input unit: (query and residual), key, value. A last place in queries and keys shuts padding out; one in
-    values sums the attention."""
-    d, n = len(p["q"]), len(p["embed"])
-    one = np.ones((n, 1), np.float32)
-    pad = np.zeros((n, 1), np.float32)
-    pad[-1] = -1e4
-    return np.concatenate((p["embed"] @ (p["q"] / np.float32(np.sqrt(d))), one, p["embed"] @ p["r"]), 1), np.concatenate((p["embed"] @ p["k"], pad), 1), np.concatenate((p["embed"] @ p["v"], one), 1)
+def _tables(p: dict, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each input token (of rows): (query and residual), key, value. A last place in queries and keys shuts padding
+    out; one in values sums the attention."""
+    rows = np.arange(len(p["embed"])) if rows is None else rows
+    d, embed = len(p["q"]), p["embed"][rows]
+    one = np.ones((len(rows), 1), np.float32)
+    pad = np.zeros((len(rows), 1), np.float32)
+    pad[rows == len(p["embed"]) - 1] = -1e4
+    return np.concatenate((embed @ (p["q"] / np.float32(np.sqrt(d))), one, embed @ p["r"]), 1), np.concatenate((embed @ p["k"], pad), 1), np.concatenate((embed @ p["v"], one), 1)
 
 
 def _attend(p: dict, tables: tuple, x: np.ndarray) -> tuple:
@@ -272,7 +295,7 @@ def score_tokens(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, boun
         of = kinds.of[t]  # of targets that are none (-1) too: their values are left out below
         for j in range(0, len(t), batch * CELL):
             part = slice(j, j + batch * CELL)
-            np.maximum(_attend(p, tables, kinds.unit[x[i + j // CELL : i + j // CELL + batch][: len(t[part]) // CELL]])[5].reshape(-1, d), 0, out=a[part])
+            np.maximum(_attend(p, tables, x[i + j // CELL : i + j // CELL + batch][: len(t[part]) // CELL])[5].reshape(-1, d), 0, out=a[part])
             z = a[part] @ p["out"]
             z += p["bias"]
             np.minimum(z, _MOST, out=z)
@@ -281,7 +304,19 @@ def score_tokens(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, boun
             own[part] = mine - np.log(z @ sums)
         there = np.flatnonzero(t >= 0)
         rare = there[of[there] == kinds.n - 1]
-        own[rare] += kinds.tail[t[rare]]
+        if len(rare):
+            z = a[rare] @ p["out3"]
+            z += p["bias3"]
+            np.minimum(z, _MOST, out=z)
+            mine = z[np.arange(len(rare)), kinds.rare_of[t[rare]]]
+            own[rare] += mine - np.log(np.exp(z).sum(1))
+        for g, at in _by_group(kinds.rare_of[t[rare]], kinds.rare_n + 1):
+            at = rare[at]
+            z = a[at] @ p["out4"][g]
+            z += p["bias4"][g]
+            np.minimum(z, _MOST, out=z)
+            mine = z[np.arange(len(at)), kinds.rare_member[t[at]]]
+            own[at] += mine - np.log(np.exp(z).sum(1))
         for g, at in _by_group(of[there], kinds.n):
             at = there[at]
             z = a[at] @ p["out2"][g]
@@ -294,28 +329,53 @@ def score_tokens(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, boun
     return np.bincount(text, total, minlength=len(bounds) - 1) / np.log(10)
 
 
-def train_step(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy over a batch of windows."""
-    d, u = len(p["q"]), kinds.unit[x]
-    q, k, v, s, total, h = _attend(p, _tables(p), u)
+#: Parameters of which a batch changes a few rows: their gradients are (rows, values).
+_BY_ROW = ("embed", "out4", "bias4")
+
+
+def _softmax(a: np.ndarray, out: np.ndarray, bias: np.ndarray, right: np.ndarray, n: np.float32) -> np.ndarray:
+    """Gradient of the cross-entropy by logit, a share of n."""
+    e = a @ out
+    e += bias
+    np.minimum(e, _MOST, out=e)
+    np.exp(e, out=e)
+    e /= e.sum(1, keepdims=True)
+    e[np.arange(len(a)), right] -= 1
+    e /= n
+    return e
+
+
+def _gradients(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict:
+    """Gradients of the mean cross-entropy over a batch of windows; those of _BY_ROW as (rows, values)."""
+    rows, u = np.unique(x, return_inverse=True)
+    d, u, embed = len(p["q"]), u.reshape(x.shape), p["embed"][rows]
+    q, k, v, s, total, h = _attend(p, _tables(p, rows), u)
     s /= total
     t = y.ravel()
     there = np.flatnonzero(t >= 0)
     t, a = t[there], np.maximum(h, 0).reshape(-1, d)[there]
     of, n = kinds.of[t], np.float32(max(1, len(t)))
-    e = np.exp(np.minimum(a @ p["out"] + p["bias"], _MOST))
-    e /= e.sum(1, keepdims=True)
-    e[np.arange(len(t)), of] -= 1
-    e /= n
+    e = _softmax(a, p["out"], p["bias"], of, n)
     g = {"out": a.T @ e, "bias": e.sum(0), "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
     da = e @ p["out"].T
     for i, at in _by_group(of, kinds.n):
-        e = np.exp(np.minimum(a[at] @ p["out2"][i] + p["bias2"][i], _MOST))
-        e /= e.sum(1, keepdims=True)
-        e[np.arange(len(at)), kinds.member[t[at]]] -= 1
-        e /= n
+        e = _softmax(a[at], p["out2"][i], p["bias2"][i], kinds.member[t[at]], n)
         g["out2"][i], g["bias2"][i] = a[at].T @ e, e.sum(0)
         da[at] += e @ p["out2"][i].T
+    rare = np.flatnonzero(of == kinds.n - 1)
+    e = _softmax(a[rare], p["out3"], p["bias3"], kinds.rare_of[t[rare]], n)
+    g["out3"], g["bias3"] = a[rare].T @ e, e.sum(0)
+    da[rare] += e @ p["out3"].T
+    own, out4, bias4 = [], [np.zeros((0, *p["out4"].shape[1:]), a.dtype)], [np.zeros((0, kinds.rare_width), a.dtype)]
+    for i, at in _by_group(kinds.rare_of[t[rare]], kinds.rare_n + 1):
+        at = rare[at]
+        e = _softmax(a[at], p["out4"][i], p["bias4"][i], kinds.rare_member[t[at]], n)
+        own.append(i)
+        out4.append((a[at].T @ e)[None])
+        bias4.append(e.sum(0)[None])
+        da[at] += e @ p["out4"][i].T
+    own = np.array(own, np.int64)
+    g["out4"], g["bias4"] = (own, np.concatenate(out4)), (own, np.concatenate(bias4))
     dh = np.zeros((len(x) * CELL, d), np.float32)
     dh[there] = da * (a > 0)
     dh = dh.reshape(h.shape)
@@ -324,7 +384,7 @@ def train_step(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict[str
     ds = s * (ds - (ds * s).sum(2, keepdims=True))
     g["ago"] = np.bincount(_AGO.ravel(), ds.sum(0).ravel(), minlength=2 * CELL).astype(np.float32)
     dq, dk = np.matmul(ds, k[:, :, :d]), np.matmul(ds.transpose(0, 2, 1), q[:, :, :d])
-    g["embed"] = np.zeros_like(p["embed"])
+    change = np.zeros_like(embed)
     last = u[:, CELL:]
     for name, part, where in (("q", dq / np.float32(np.sqrt(d)), last), ("k", dk, u), ("v", dv, u), ("r", dh, last)):
         where, part = where.ravel(), part.reshape(-1, d)
@@ -332,39 +392,84 @@ def train_step(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict[str
         ranked = where[order]
         first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         table = np.add.reduceat(part[order], first)
-        g[name] = p["embed"][ranked[first]].T @ table
-        g["embed"][ranked[first]] += table @ p[name].T
+        g[name] = embed[ranked[first]].T @ table
+        change[ranked[first]] += table @ p[name].T
+    g["embed"] = rows, change
+    return g
+
+
+def train_step(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy over a batch of windows."""
+    g = _gradients(p, kinds, x, y)
+    for name in _BY_ROW:
+        rows, values = g[name]
+        g[name] = np.zeros_like(p[name])
+        g[name][rows] = values
     return g
 
 
+#: Weights go from tasks to their averages in parts of so many rows of a parameter.
+_ROWS = {"embed": 2048, "out4": 16}
+
+
 def _train(ranks: str, p: dict, kinds: Groups, rate: float, batch: int = 128):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adam over a task's texts, from the given weights; gives the task's weights and how many tokens it saw."""
+        """Adam over a task's texts, from the given weights; gives the task's weights, and for each row of them how many
+        tokens it saw (those of _BY_ROW: how many batches changed it)."""
         word_ids, own = WordIds(ranks), {k: w.copy() for k, w in p.items()}
         m, v, t, seen = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0, 0
+        times = {k: np.zeros(len(own[k])) for k in _BY_ROW}
         for arrow in batches:
             for _, block in blocks(arrow["text"], word_ids):
                 x, y, _ = windows(*block.tokens())
                 order = np.random.default_rng(t).permutation(len(x))
                 for i in range(0, len(x), batch):
                     part = order[i : i + batch]
-                    g = train_step(own, kinds, x[part], y[part])
+                    g = _gradients(own, kinds, x[part], y[part])
                     t, seen = t + 1, seen + int((y[part] >= 0).sum())
+                    by, by2 = rate / (1 - 0.9**t), 1 / (1 - 0.99**t)
                     for k in own:
-                        m[k] += 0.1 * (g[k] - m[k])
-                        v[k] += 0.01 * (g[k] * g[k] - v[k])
-                        own[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+                        rows, change = g[k] if k in _BY_ROW else (slice(None), g[k])
+                        m1, v1 = m[k][rows], v[k][rows]
+                        m1 += 0.1 * (change - m1)
+                        v1 += 0.01 * (change * change - v1)
+                        own[k][rows] -= by * m1 / (np.sqrt(v1 * by2) + 1e-8)
+                        if k in _BY_ROW:
+                            m[k][rows], v[k][rows] = m1, v1
+                            times[k][rows] += 1
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([own[k].ravel() for k in own]).astype(np.float32).tobytes()], pa.binary()), pa.array([seen])], ["weights", "seen"])
+            for k, w in own.items():
+                for i in range(0, len(w), _ROWS.get(k, len(w))):
+                    rows = slice(i, i + _ROWS.get(k, len(w)))
+                    weight = times[k][rows] if k in _BY_ROW else np.full(len(w[rows]), float(seen))
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([w[rows].astype(np.float32).tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], ["name", "first", "weights", "seen"])
 
     return train
 
 
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Averages of the parts of weights that are alike in name and first, row by row."""
+    sums: dict[tuple, list] = {}
+    for batch in batches:
+        for name, first, weights, seen in zip(*(batch[c].to_pylist() for c in ("name", "first", "weights", "seen")), strict=True):
+            seen = np.frombuffer(seen)
+            w = np.frombuffer(weights, np.float32).reshape(len(seen), -1) * seen[:, None]
+            if (name, first) in sums:
+                sums[name, first][0] += w
+                sums[name, first][1] += seen
+            else:
+                sums[name, first] = [w, seen.copy()]
+    for (name, first), (w, seen) in sums.items():
+        w /= np.maximum(seen, 1)[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["name", "first", "weights", "seen"])
+
+
 def fit(training: DataFrame, counts: np.ndarray, ranks: str, one_in: int = 48, tokens_a_task: int = 2_000_000, rounds: int = 2, most_tasks: int = 1024) -> tuple[dict, Groups]:
     """The attention model, from every one_in-th training text by a hash of doc_id: its data grow with the corpus.
 
     Tasks train side by side from common weights, each on about tokens_a_task tokens; after each round the weights
-    are averaged by tokens seen. Only weights (under 1 MB) come to the driver, one task's at a time.
+    are averaged in tasks by tokens seen (rows of single tokens and rare groups by batches that changed them). Only the
+    averages (7 MB) come to the driver.
     """
     with open(ranks, "rb") as f:
         table = [base64.b64decode(line.split()[0]) for line in f]
@@ -374,17 +479,14 @@ def fit(training: DataFrame, counts: np.ndarray, ranks: str, one_in: int = 48, t
     chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(one_in)) == 0).select("text")
     tasks = int(min(most_tasks, max(1, round(counts.sum() / one_in / tokens_a_task))))
     chosen = written(chosen.repartition(tasks), "lm-chosen")
+    kind = "name string, first long, weights binary, seen binary"
     for r in range(rounds):
-        total, seen = None, 0
-        trained = chosen.coalesce(tasks).mapInArrow(_train(ranks, p, kinds, 0.01 / (r + 1)), "weights binary, seen long")
-        for row in trained.toLocalIterator():
-            w = np.frombuffer(row["weights"], np.float32).astype(np.float64) * row["seen"]
-            total, seen = w if total is None else total + w, seen + row["seen"]
-        if seen:
-            flat, at = total / seen, 0
-            for k, w in p.items():
-                p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
-                at += w.size
+        trained = chosen.coalesce(tasks).mapInArrow(_train(ranks, p, kinds, 0.01 / (r + 1)), kind)
+        for row in trained.repartition(min(tasks, 32), "name", "first").mapInArrow(_average, kind).collect():
+            seen = np.frombuffer(row["seen"])
+            rows = row["first"] + np.flatnonzero(seen)
+            w = p[row["name"]]
+            w[rows] = np.frombuffer(row["weights"], np.float32).reshape(len(seen), *w.shape[1:])[seen > 0]
     return p, kinds
 
 
@@ -438,8 +540,9 @@ def score_texts(docs: DataFrame, ranks: str, head: int = 200_000, **fit_with) ->
     lower-cased; the tokens of base_score are a text's words and one end. base_score: the sum over tokens of
     log10((c + 1) / (N + V + 1)), from counts over all training texts. score: the model's log10 probability of the
     text as the subwords (byte-level BPE) of its words and one end; the model is one layer of causal
-    self-attention with learned weights for distances, which predicts a token's group and the token in it; the rare
-    tokens of the last group have add-one shares from counts over all training texts. Windows of 32 inputs overlap by half; each token is predicted once, from
+    self-attention with learned weights for distances, which predicts a token's group and the token in it, and of rare
+    tokens a group of theirs in between. All 50,257 ids have their own input vectors and logits; biases start
+    from add-one counts over all training texts. Windows of 32 inputs overlap by half; each token is predicted once, from
     16 to 32 tokens before it (fewer at a text's start).
 
     Counts of the head most frequent words (a bounded table) go to all tasks; other words are joined. A null text

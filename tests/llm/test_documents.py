@@ -156,6 +156,36 @@ def test_lm_gradients_and_chances():
         assert abs((loss(up) - loss(down)) / 2e-2 - g[name][at]) < 0.02 * abs(g[name][at]) + 2e-4, name
 
 
+def test_lm_tells_rare_ids_apart():
+    counts_ = np.arange(lm_scoring.VOCABULARY)[::-1]
+    kinds = lm_scoring.groups(counts_, np.ones(lm_scoring.VOCABULARY, bool))
+    p = lm_scoring.new_model(kinds)
+    a, b, c, d = 20_000, 20_001, 40_000, 50_000  # none of the 992 most frequent
+    tokens, bounds = np.array([a, c, a, d, b, c, b, d]), np.arange(0, 9, 2)
+    x, y, _ = lm_scoring.windows(np.array([a, c, b, d]), np.array([0, 2, 4]))
+    for _ in range(300):
+        for name, g in lm_scoring.train_step(p, kinds, x, y).items():
+            p[name] -= 0.1 * g
+    ac, ad, bc, bd = lm_scoring.score_tokens(p, kinds, lm_scoring._tables(p), tokens, bounds)
+    assert ac - ad > 0.1 and bd - bc > 0.1
+
+
+def test_lm_rare_gradients():
+    rng = np.random.default_rng(1)
+    kinds = lm_scoring.groups(np.zeros(lm_scoring.VOCABULARY, np.int64), rng.random(lm_scoring.VOCABULARY) < 0.5, n=6, width=8)
+    p = {k: w.astype(np.float64) + (k in ("out3", "out4")) * rng.normal(0, 0.1, w.shape) for k, w in lm_scoring.new_model(kinds, d=4).items()}
+    tokens, bounds = rng.integers(0, lm_scoring.VOCABULARY, 75), np.array([0, 1, 40, 75])
+    x, y, _ = lm_scoring.windows(tokens, bounds)
+    g = lm_scoring.train_step(p, kinds, x, y)
+    loss = lambda q: -lm_scoring.score_tokens(q, kinds, lm_scoring._tables(q), tokens, bounds).sum() * np.log(10) / len(tokens)
+    for name in ("embed", "q", "out", "out3", "bias3", "out4", "bias4"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        up, down = ({k: w.copy() for k, w in p.items()} for _ in range(2))
+        up[name][at] += 1e-2
+        down[name][at] -= 1e-2
+        assert abs((loss(up) - loss(down)) / 2e-2 - g[name][at]) < 0.02 * abs(g[name][at]) + 2e-4, name
+
+
 def test_lm_odd_rows(odd, none):
     ranks = queries.tokenizer("byte_bpe_50k.tiktoken")
     rows = lm_scoring.score_texts(odd, ranks).collect()
