@@ -464,8 +464,8 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["name", "first", "weights", "seen"])
 
 
-def fit(training: DataFrame, counts: np.ndarray, ranks: str, one_in: int = 48, tokens_a_task: int = 2_000_000, rounds: int = 2, most_tasks: int = 1024) -> tuple[dict, Groups]:
-    """The attention model, from every one_in-th training text by a hash of doc_id: its data grow with the corpus.
+def fit(training: DataFrame, counts: np.ndarray, ranks: str, tokens_a_task: int = 2_000_000, rounds: int = 2, most_tasks: int = 1024) -> tuple[dict, Groups]:
+    """The attention model, from all training texts.
 
     Tasks train side by side from common weights, each on about tokens_a_task tokens; after each round the weights
     are averaged in tasks by tokens seen (rows of single tokens and rare groups by batches that changed them). Only the
@@ -476,12 +476,11 @@ def fit(training: DataFrame, counts: np.ndarray, ranks: str, one_in: int = 48, t
     starts_word = np.array([t[:1] == b" " for t in table] + [True] * (VOCABULARY - len(table)))
     kinds = groups(counts, starts_word)
     p = new_model(kinds)
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(one_in)) == 0).select("text")
-    tasks = int(min(most_tasks, max(1, round(counts.sum() / one_in / tokens_a_task))))
-    chosen = written(chosen.repartition(tasks), "lm-chosen")
+    tasks = int(min(most_tasks, max(1, round(counts.sum() / tokens_a_task))))
+    texts = written(training.select("text").repartition(tasks), "lm-texts")
     kind = "name string, first long, weights binary, seen binary"
     for r in range(rounds):
-        trained = chosen.coalesce(tasks).mapInArrow(_train(ranks, p, kinds, 0.01 / (r + 1)), kind)
+        trained = texts.coalesce(tasks).mapInArrow(_train(ranks, p, kinds, 0.01 / (r + 1)), kind)
         for row in trained.repartition(min(tasks, 32), "name", "first").mapInArrow(_average, kind).collect():
             seen = np.frombuffer(row["seen"])
             rows = row["first"] + np.flatnonzero(seen)

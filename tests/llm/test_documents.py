@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import counts, near_components, without_repeats, words
 from pyspark.sql import functions as F
@@ -186,6 +187,19 @@ def test_lm_rare_gradients():
         assert abs((loss(up) - loss(down)) / 2e-2 - g[name][at]) < 0.02 * abs(g[name][at]) + 2e-4, name
 
 
+def test_lm_trains_on_every_text(spark):
+    # Before, one text in 48 by a hash of its id, and all texts without an id or none.
+    docs = [(i, f"w{i} only here") for i in range(6)] + [(None, "no id")]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    word_ids, counts_ = lm_scoring.WordIds(queries.tokenizer("byte_bpe_50k.tiktoken")), np.zeros(lm_scoring.VOCABULARY, np.int64)
+    for _, block in lm_scoring.blocks(pa.array([t for _, t in docs]), word_ids):
+        tokens, _ = block.tokens()
+        counts_ += np.bincount(tokens, minlength=lm_scoring.VOCABULARY)
+    p, kinds = lm_scoring.fit(texts, counts_, queries.tokenizer("byte_bpe_50k.tiktoken"))
+    changed = (p["embed"] != lm_scoring.new_model(kinds)["embed"]).any(1)
+    assert changed[np.setdiff1d(tokens, [lm_scoring.END])].all() and not changed[counts_.argmin()]
+
+
 def test_lm_odd_rows(odd, none):
     ranks = queries.tokenizer("byte_bpe_50k.tiktoken")
     rows = lm_scoring.score_texts(odd, ranks).collect()
