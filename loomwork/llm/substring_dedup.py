@@ -41,16 +41,24 @@ def sentences(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def spans(row: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, hashes: np.ndarray, least: int, least_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, end, hash) of the run of each sentence: the shortest of at least least sentences and least_words
-    words, or the sentence alone if it has long_words; none where the text ends before."""
+    """(first sentence, end, hash) of the runs of each sentence: the shortest of at least least sentences and least_words
+    words that starts at it, the shortest one that ends at it, and the sentence alone if it has long_words; none where the
+    text ends or starts in between. Each run comes once."""
     n = len(row)
     i = np.arange(n)
-    text_end = np.searchsorted(row, row, "right")
     end = np.maximum(i + least, np.searchsorted(word_end, word_start + least_words) + 1)
-    end = np.where(word_end - word_start >= long_words, i + 1, end)
-    fits = end <= text_end
-    i, end = i[fits], end[fits]
-    return i, end, fold(hashes, word_start[i], word_end[end - 1])
+    fits = end <= np.searchsorted(row, row, "right")
+    start = np.minimum(i + 1 - least, np.searchsorted(word_start, word_end - least_words, "right") - 1)
+    back = start >= np.searchsorted(row, row)
+    # A run that is the shortest both from its start and to its end is left out here.
+    back[back] = end[start[back]] != i[back] + 1
+    alone = word_end - word_start >= long_words
+    if least == 1:
+        alone &= ~(fits & (end == i + 1))
+    first, last = np.concatenate((i[fits], start[back], i[alone])), np.concatenate((end[fits], i[back] + 1, i[alone] + 1))
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    return first, last, fold(hashes, word_start[first], word_end[last - 1])
 
 
 def _spans(least: int, least_words: int, long_words: int):
@@ -115,9 +123,9 @@ def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10, long_
     """docs (doc_id, text, ...) with the sentences gone that a repeated span covers, plus n_sentences, n_removed and
     removed (start, end): the runs of removed sentences, counted from 0.
 
-    A span is the shortest run of sentences from a given one on that has least sentences and least_words words; a
-    sentence of long_words words is a span of its own. So passages of two or more sentences are found at any
-    place, and lone short lines are left alone. Spans are equal if their words are (A-Z lower-cased, whatever white
+    A span is the shortest run of sentences that has least sentences and least_words words, from a given sentence on or
+    up to one; a sentence of long_words words is a span of its own besides. So every sentence of a repeated passage of two
+    or more sentences and least_words words is covered at any place, and lone short lines are left alone. Spans are equal if their words are (A-Z lower-cased, whatever white
     space is between); they are compared by 64-bit hashes over the whole corpus. The first place of a span, by
     doc_id, text and position, stays; the sentences of all other places go, in the same text too. What is left of a
     text is unchanged, white space goes with the sentence before it.
