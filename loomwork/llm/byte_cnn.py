@@ -31,24 +31,28 @@ class ByteCnn:
 
 
 def cells(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded with zeros to whole cells, and the bounds of each text's cells. An empty text has one cell."""
+    """Texts padded with width - 1 zeros at least to whole cells, and the bounds of each text's cells. So no window of
+    width bytes that starts in a text reaches into the next one; those that start in the last width - 1 zeros may."""
     lens = np.diff(offsets)
-    n = np.maximum(1, -(-lens // CELL))
+    n = np.maximum(1, -(-(lens + width - 1) // CELL))
     bounds = np.concatenate(([0], np.cumsum(n)))
     out = np.zeros(int(bounds[-1]) * CELL + width, np.uint8)
     out[np.repeat(bounds[:-1] * CELL - offsets[:-1], lens) + np.arange(len(data))] = data
     return out, bounds
 
 
-def convolve(x: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Filter values at each byte, (cells, CELL, filters)."""
+def convolve(x: np.ndarray, tables: list[np.ndarray], bias: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Filter values at each byte, (cells, CELL, filters); none (-inf) at the end of the last cells of texts, where windows
+    hold nothing of the text and may reach into the next one."""
     n = len(x) // CELL * CELL
     two = x[:-1].astype(np.uint16) << 8 | x[1:]
     out = tables[0][two[:n]]
     for j, t in enumerate(tables[1:], 1):
         out += t[two[2 * j : 2 * j + n]]
     out += bias
-    return out.reshape(-1, CELL, len(bias))
+    out = out.reshape(-1, CELL, len(bias))
+    out[last, CELL + 1 - 2 * len(tables) :] = -np.inf
+    return out
 
 
 def chunk_bounds(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +88,7 @@ def train(texts: list[bytes], labels: list[int], width: int = 6, n_filters: int
             lens = np.array([len(texts[k]) for k in own])
             x, bounds = cells(np.concatenate(([0], np.cumsum(lens))), np.frombuffer(b"".join(texts[k] for k in own), np.uint8), width)
             net = ByteCnn(p["filters"], p["bias"], p["weights"], 0.0)
-            a = convolve(x, net.pairs(), p["bias"].astype(np.float32))
+            a = convolve(x, net.pairs(), p["bias"].astype(np.float32), bounds[1:] - 1)
             best = a.argmax(1)  # (cells, filters)
             top = np.take_along_axis(a, best[:, None], 1)[:, 0]
             at = best + np.arange(len(a))[:, None] * CELL
@@ -115,7 +119,8 @@ def score_block(offsets: np.ndarray, data: np.ndarray, net: ByteCnn, tables: lis
     """Probabilities of label 1 for a block of texts; a long text's cells are convolved in parts."""
     x, bounds = cells(offsets, data, len(net.filters))
     step, bias = 256 * CELL, net.bias.astype(np.float32)
-    top = np.concatenate([convolve(x[i : min(i + step, int(bounds[-1]) * CELL) + len(net.filters)], tables, bias).max(1) for i in range(0, int(bounds[-1]) * CELL, step)])
+    last, total = bounds[1:] - 1, int(bounds[-1]) * CELL
+    top = np.concatenate([convolve(x[i : min(i + step, total) + len(net.filters)], tables, bias, last[(last >= i // CELL) & (last < (i + step) // CELL)] - i // CELL).max(1) for i in range(0, total, step)])
     features, _ = pooled(top, bounds)
     return 1 / (1 + np.exp(-(features.astype(np.float64) @ net.weights + net.intercept)))
 
