@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textbytes import U, text_blocks, words
+from .textbytes import U, binaries, text_blocks, words
 
 #: A cell is half a window: the tokens of a cell are predicted from the window that ends with them.
-CELL = 16
+CELL = 8
 #: The word hash that stands for the end of a text.
 END_WORD = np.uint64(0x5EED_0F_E4D)
 VOCABULARY, END, START, PAD = 50_257, 50_256, 50_257, 50_258
@@ -127,25 +127,40 @@ class Tally:
         return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _count(ranks: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of words (subword: false) and subwords of a task's texts."""
+def _read(ranks: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text with its tokens, 16 bits each; then the counts of words (subword: false) and subwords of a task's
+        training texts."""
         word_ids, tally, subwords = WordIds(ranks), Tally(), np.zeros(VOCABULARY, np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("tokens", pa.binary()), ("subword", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+        none = lambda n: [pa.nulls(n, t) for t in schema.types]
         for batch in batches:
-            tally.add(np.array([END_WORD]), np.array([len(batch)]))
-            subwords[END] += len(batch)
-            for _, block in blocks(batch["text"], word_ids):
-                n = np.bincount(block.inverse, minlength=len(block.distinct))
-                tally.add(block.distinct, n)
+            held = batch["held_out"].to_numpy(zero_copy_only=False)
+            tally.add(np.array([END_WORD]), np.array([int((~held).sum())]))
+            subwords[END] += int((~held).sum())
+            for first, block in blocks(batch["text"], word_ids):
+                trains = ~held[first + block.rows]
+                n = np.bincount(block.inverse[trains], minlength=len(block.distinct))
+                tally.add(block.distinct[n > 0], n[n > 0])
                 subwords += np.bincount(block.ids, weights=np.repeat(n, np.diff(block.bounds)), minlength=VOCABULARY).astype(np.int64)
+                tokens, bounds = block.tokens()
+                own = [batch[c].slice(first, block.n) for c in ("doc_id", "held_out", "text")]
+                yield pa.RecordBatch.from_arrays([*own, binaries(tokens.astype(np.uint16), bounds), *none(block.n)[4:]], schema=schema)
         seen = np.flatnonzero(subwords)
         keys, counts = tally.merged()
+        keys, counts = keys[counts > 0], counts[counts > 0]
         for flag, k, c in ((True, seen.astype(np.uint64), subwords[seen]), (False, keys, counts)):
             for i in range(0, len(k), 50_000):
                 part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), flag)), pa.array(k[part].view(np.int64)), pa.array(c[part])], ["subword", "key", "n"])
+                yield pa.RecordBatch.from_arrays([*none(len(k[part]))[:4], pa.array(np.full(len(k[part]), flag)), pa.array(k[part].view(np.int64)), pa.array(c[part])], schema=schema)
+
+    return read
 
-    return count
+
+def _sequences(column: pa.Array, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens, bounds) of runs of rows of about limit tokens."""
+    for first, offsets, data in text_blocks(column, 2 * limit):
+        yield first, data.view(np.uint16).astype(np.int64), offsets // 2
 
 
 @dataclass
@@ -208,31 +223,27 @@ def groups(counts: np.ndarray, starts_word: np.ndarray, n: int = 32, width: int
 
 
 def windows(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, text): windows of 2 * CELL inputs; the last CELL of them each predict one target (-1: none).
+    """(inputs, targets, text) in cells of CELL places; a cell's window is the cell before it and itself.
 
-    A text's windows overlap by a cell and each of its tokens is the target of one window: its first window's first
-    half is padding, then START and the tokens before each target follow.
+    Each text is a cell of padding, then START and the tokens before each target; targets (-1: none) stand where their
+    window sees all before them. So windows overlap by a cell, and each token is the target of one window. The window of
+    a cell of padding reaches into the text before, but has no targets.
     """
     n = np.diff(bounds)
-    cells = -(-n // CELL)
+    cells = -(-n // CELL) + 1
     ends = np.concatenate(([0], np.cumsum(cells)))
-    x = np.full((int(ends[-1]) + len(n)) * CELL, PAD, np.int64)
-    first = (ends[:-1] + np.arange(len(n)) + 1) * CELL  # of each text, after its cell of padding
-    row = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(len(tokens)) - bounds[row]
-    x[first] = START
-    later = inside[:-1] + 1
-    keep = row[:-1] == row[1:]
-    x[(first[row[:-1]] + later)[keep]] = tokens[:-1][keep]
-    y = np.full(int(ends[-1]) * CELL, -1, np.int64)
-    y[ends[row] * CELL + inside] = tokens
-    x = x.reshape(-1, CELL)
-    left = np.arange(int(ends[-1])) + np.repeat(np.arange(len(n)), cells)
-    return np.concatenate((x[left], x[left + 1]), 1), y.reshape(-1, CELL), np.repeat(np.arange(len(n)), cells)
-
-
-_MASK = np.where(np.arange(2 * CELL)[None] <= np.arange(CELL)[:, None] + CELL, 0, -1e4).astype(np.float32)
-_AGO = np.clip(np.arange(CELL)[:, None] + CELL - np.arange(2 * CELL)[None], 0, 2 * CELL - 1)
+    x, y = np.full(int(ends[-1]) * CELL, PAD, np.int64), np.full(int(ends[-1]) * CELL, -1, np.int64)
+    at = np.arange(len(tokens)) + np.repeat((ends[:-1] + 1) * CELL - bounds[:-1], n)
+    before = np.empty(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    before[bounds[:-1]] = START
+    x[at], y[at] = before, tokens
+    return x.reshape(-1, CELL), y.reshape(-1, CELL), np.repeat(np.arange(len(n)), cells)
+
+
+#: Of a window's keys (rows) and the queries of its last cell: which keys lie ahead, and how far back the others are.
+_BACK = np.arange(CELL)[None] + CELL - np.arange(2 * CELL)[:, None]
+_MASK, _AGO = np.where(_BACK >= 0, 0, -1e4).astype(np.float32), np.clip(_BACK, 0, 2 * CELL - 1)
 #: Logits are cut here, so that exp needs no maximum first.
 _MOST = 60.0
 
@@ -250,156 +261,187 @@ def new_model(kinds: Groups, d: int = 16, seed: int = 1) -> dict[str, np.ndarray
 
 
 def _tables(p: dict, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each input token (of rows): (query and residual), key, value. A last place in queries and keys shuts padding
-    out; one in values sums the attention."""
-    rows = np.arange(len(p["embed"])) if rows is None else rows
-    d, embed = len(p["q"]), p["embed"][rows]
-    one = np.ones((len(rows), 1), np.float32)
-    pad = np.zeros((len(rows), 1), np.float32)
-    pad[rows == len(p["embed"]) - 1] = -1e4
-    return np.concatenate((embed @ (p["q"] / np.float32(np.sqrt(d))), one, embed @ p["r"]), 1), np.concatenate((embed @ p["k"], pad), 1), np.concatenate((embed @ p["v"], one), 1)
+    """For each input token (of rows): (query and residual), key, value."""
+    embed = p["embed"] if rows is None else p["embed"][rows]
+    return np.concatenate((embed @ (p["q"] / np.sqrt(len(p["q"])).astype(embed.dtype)), embed @ p["r"]), 1), embed @ p["k"], embed @ p["v"]
+
+
+def _windowed(a: np.ndarray) -> np.ndarray:
+    """(cells, CELL, d) as (cells - 1, 2 * CELL, d) without a copy: each cell after the one before it."""
+    n, c, d = a.shape
+    return np.lib.stride_tricks.as_strided(a, (n - 1, 2 * c, d), (c * d * a.itemsize, d * a.itemsize, a.itemsize))
+
+
+def _turned(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
 
 
 def _attend(p: dict, tables: tuple, x: np.ndarray) -> tuple:
-    """Masked attention of each window's last CELL inputs over all of them up to their own."""
-    d = len(p["q"])
-    qr, k, v = tables[0][x[:, CELL:]], tables[1][x], tables[2][x]
-    q = qr[:, :, : d + 1]
-    s = np.matmul(q, k.transpose(0, 2, 1))
+    """Masked attention of each cell but the first over itself and the one before, up to each place's own input."""
+    d = tables[1].shape[1]
+    qr, k, v = tables[0].take(x[1:], 0), _windowed(tables[1].take(x, 0)), _windowed(tables[2].take(x, 0))
+    q = qr[:, :, :d]
+    s = np.matmul(k, _turned(q))
     s += p["ago"][_AGO] + _MASK
     np.minimum(s, _MOST, out=s)
     np.exp(s, out=s)
-    h = np.matmul(s, v)
-    total = h[:, :, d:] + np.float32(1e-30)
-    h = h[:, :, :d] / total
-    h += qr[:, :, d + 1 :]
-    return q, k, v, s, total, h
-
-
-def _by_group(of: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    s /= np.matmul(np.ones((1, 2 * CELL), s.dtype), s) + s.dtype.type(1e-30)
+    h = np.matmul(s.transpose(0, 2, 1), v)
+    h += qr[:, :, d:]
+    return q, k, v, s, h
+
+
+def _sorted_targets(kinds: Groups, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple], list[tuple]]:
+    """(places of targets, by group and rare group; their tokens; segments of groups; segments of rare groups), a segment
+    being (group, start, end)."""
+    flat = y.ravel()
+    at = np.flatnonzero(flat >= 0)
+    of = kinds.of[flat[at]].astype(np.uint16)
     order = np.argsort(of, kind="stable")
-    bounds = np.searchsorted(of[order], np.arange(n))
-    for g in range(n - 1):
-        if bounds[g] < bounds[g + 1]:
-            yield g, order[bounds[g] : bounds[g + 1]]
-
-
-def score_tokens(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds: np.ndarray, batch: int = 512, batches: int = 8) -> np.ndarray:
+    bounds = np.searchsorted(of[order], np.arange(kinds.n + 1))
+    rare = order[bounds[kinds.n - 1] :]
+    rare_of = kinds.rare_of[flat[at[rare]]].astype(np.uint16)
+    again = np.argsort(rare_of, kind="stable")
+    order[bounds[kinds.n - 1] :] = rare[again]
+    rare_of, start = rare_of[again], bounds[kinds.n - 1]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(rare_of)) + 1, [len(rare_of)])) if len(rare_of) else np.zeros(0, np.int64)
+    at = at[order]
+    segments = [(g, bounds[g], bounds[g + 1]) for g in range(kinds.n - 1) if bounds[g] < bounds[g + 1]]
+    return at, flat[at], segments, [(int(rare_of[i]), start + i, start + j) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _logits(a: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """a @ out + bias, cut to _MOST on either side; a's last column is ones."""
+    w = np.concatenate((out, bias[None]))
+    z = a @ w
+    if (a.max(0, initial=0) @ np.abs(w)).max() > _MOST:  # no value can be larger; mostly there is nothing to cut
+        np.clip(z, -_MOST, _MOST, out=z)
+    return z
+
+
+def _activations(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positive parts of the places at, and a column of ones for biases."""
+    d = h.shape[-1]
+    a = np.ones((len(at), d + 1), h.dtype)
+    np.maximum(h.reshape(-1, d).take(at, 0), 0, out=a[:, :d])
+    return a
+
+
+def _log_chance(a: np.ndarray, out: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
+    z = _logits(a, out, bias)
+    mine = z[np.arange(len(a)), right]
+    np.exp(z, out=z)
+    return mine - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
+def token_logs(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds: np.ndarray, batch: int = 2048) -> np.ndarray:
+    """The natural log of each token's probability given those before it in its window."""
+    x, y, _ = windows(tokens, bounds)
+    out = np.zeros(len(x) * CELL)
+    for i in range(0, len(x) - 1, batch):
+        j = min(i + batch, len(x) - 1)
+        at, t, segments, rare = _sorted_targets(kinds, y[i + 1 : j + 1])
+        a = _activations(_attend(p, tables, x[i : j + 1])[4], at)
+        own = _log_chance(a, p["out"], p["bias"], kinds.of[t]).astype(np.float64)
+        for g, s, e in segments:
+            own[s:e] += _log_chance(a[s:e], p["out2"][g], p["bias2"][g], kinds.member[t[s:e]])
+        if rare:
+            own[rare[0][1] :] += _log_chance(a[rare[0][1] :], p["out3"], p["bias3"], kinds.rare_of[t[rare[0][1] :]])
+        for g, s, e in rare:
+            own[s:e] += _log_chance(a[s:e], p["out4"][g], p["bias4"][g], kinds.rare_member[t[s:e]])
+        out[(i + 1) * CELL + at] = own
+    return out[y.ravel() >= 0]
+
+
+def score_tokens(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    x, y, text = windows(tokens, bounds)
-    d, total = len(p["q"]), np.zeros(len(x))
-    sums, sums2 = np.ones(kinds.n, np.float32), np.ones(kinds.width, np.float32)
-    for i in range(0, len(x), batch * batches):
-        t = y[i : i + batch * batches].ravel()
-        a, own = np.empty((len(t), d), np.float32), np.empty(len(t))
-        of = kinds.of[t]  # of targets that are none (-1) too: their values are left out below
-        for j in range(0, len(t), batch * CELL):
-            part = slice(j, j + batch * CELL)
-            np.maximum(_attend(p, tables, x[i + j // CELL : i + j // CELL + batch][: len(t[part]) // CELL])[5].reshape(-1, d), 0, out=a[part])
-            z = a[part] @ p["out"]
-            z += p["bias"]
-            np.minimum(z, _MOST, out=z)
-            mine = z[np.arange(len(z)), of[part]]
-            np.exp(z, out=z)
-            own[part] = mine - np.log(z @ sums)
-        there = np.flatnonzero(t >= 0)
-        rare = there[of[there] == kinds.n - 1]
-        if len(rare):
-            z = a[rare] @ p["out3"]
-            z += p["bias3"]
-            np.minimum(z, _MOST, out=z)
-            mine = z[np.arange(len(rare)), kinds.rare_of[t[rare]]]
-            own[rare] += mine - np.log(np.exp(z).sum(1))
-        for g, at in _by_group(kinds.rare_of[t[rare]], kinds.rare_n + 1):
-            at = rare[at]
-            z = a[at] @ p["out4"][g]
-            z += p["bias4"][g]
-            np.minimum(z, _MOST, out=z)
-            mine = z[np.arange(len(at)), kinds.rare_member[t[at]]]
-            own[at] += mine - np.log(np.exp(z).sum(1))
-        for g, at in _by_group(of[there], kinds.n):
-            at = there[at]
-            z = a[at] @ p["out2"][g]
-            z += p["bias2"][g]
-            np.minimum(z, _MOST, out=z)
-            mine = z[np.arange(len(at)), kinds.member[t[at]]]
-            np.exp(z, out=z)
-            own[at] += mine - np.log(z @ sums2)
-        total[i : i + batch * batches] = np.bincount(there // CELL, own[there], minlength=len(t) // CELL)
-    return np.bincount(text, total, minlength=len(bounds) - 1) / np.log(10)
+    return np.add.reduceat(token_logs(p, kinds, tables, tokens, bounds), bounds[:-1]) / np.log(10)
 
 
 #: Parameters of which a batch changes a few rows: their gradients are (rows, values).
 _BY_ROW = ("embed", "out4", "bias4")
 
 
-def _softmax(a: np.ndarray, out: np.ndarray, bias: np.ndarray, right: np.ndarray, n: np.float32) -> np.ndarray:
-    """Gradient of the cross-entropy by logit, a share of n."""
-    e = a @ out
-    e += bias
-    np.minimum(e, _MOST, out=e)
+def _total(e: np.ndarray) -> np.ndarray:
+    """Sums of columns; a product is faster than sum(0)."""
+    return np.ones(len(e), e.dtype) @ e
+
+
+def _softmax(a: np.ndarray, out: np.ndarray, bias: np.ndarray, right: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the cross-entropy, a share of n: of out, of bias and of a without its ones."""
+    e = _logits(a, out, bias)
     np.exp(e, out=e)
-    e /= e.sum(1, keepdims=True)
-    e[np.arange(len(a)), right] -= 1
-    e /= n
-    return e
+    total = e @ np.ones(e.shape[1], e.dtype)
+    e[np.arange(len(a)), right] -= total
+    total *= n
+    np.reciprocal(total, out=total)
+    g = (a * total[:, None]).T @ e
+    da = e @ out.T
+    da *= total[:, None]
+    return g[:-1], g[-1], da
 
 
 def _gradients(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict:
-    """Gradients of the mean cross-entropy over a batch of windows; those of _BY_ROW as (rows, values)."""
-    rows, u = np.unique(x, return_inverse=True)
-    d, u, embed = len(p["q"]), u.reshape(x.shape), p["embed"][rows]
-    q, k, v, s, total, h = _attend(p, _tables(p, rows), u)
-    s /= total
-    t = y.ravel()
-    there = np.flatnonzero(t >= 0)
-    t, a = t[there], np.maximum(h, 0).reshape(-1, d)[there]
-    of, n = kinds.of[t], np.float32(max(1, len(t)))
-    e = _softmax(a, p["out"], p["bias"], of, n)
-    g = {"out": a.T @ e, "bias": e.sum(0), "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
-    da = e @ p["out"].T
-    for i, at in _by_group(of, kinds.n):
-        e = _softmax(a[at], p["out2"][i], p["bias2"][i], kinds.member[t[at]], n)
-        g["out2"][i], g["bias2"][i] = a[at].T @ e, e.sum(0)
-        da[at] += e @ p["out2"][i].T
-    rare = np.flatnonzero(of == kinds.n - 1)
-    e = _softmax(a[rare], p["out3"], p["bias3"], kinds.rare_of[t[rare]], n)
-    g["out3"], g["bias3"] = a[rare].T @ e, e.sum(0)
-    da[rare] += e @ p["out3"].T
-    own, out4, bias4 = [], [np.zeros((0, *p["out4"].shape[1:]), a.dtype)], [np.zeros((0, kinds.rare_width), a.dtype)]
-    for i, at in _by_group(kinds.rare_of[t[rare]], kinds.rare_n + 1):
-        at = rare[at]
-        e = _softmax(a[at], p["out4"][i], p["bias4"][i], kinds.rare_member[t[at]], n)
-        own.append(i)
-        out4.append((a[at].T @ e)[None])
-        bias4.append(e.sum(0)[None])
-        da[at] += e @ p["out4"][i].T
-    own = np.array(own, np.int64)
-    g["out4"], g["bias4"] = (own, np.concatenate(out4)), (own, np.concatenate(bias4))
-    dh = np.zeros((len(x) * CELL, d), np.float32)
-    dh[there] = da * (a > 0)
+    """Gradients of the mean cross-entropy over all cells but the first; those of _BY_ROW as (rows, values)."""
+    seen = np.zeros(len(p["embed"]), bool)
+    seen[x.ravel()] = True
+    rows = np.flatnonzero(seen)
+    place = np.empty(len(seen), np.uint16)
+    place[rows] = np.arange(len(rows))
+    u, d = place.take(x), len(p["q"])
+    tables = _tables(p, rows)
+    q, k, v, s, h = _attend(p, tables, u)
+    at, t, segments, rare = _sorted_targets(kinds, y[1:])
+    a, n = _activations(h, at), float(max(1, len(t)))
+    g = {k: np.zeros_like(p[k]) for k in ("out2", "bias2", "out3", "bias3")}
+    g["out"], g["bias"], da = _softmax(a, p["out"], p["bias"], kinds.of[t], n)
+    for i, lo, hi in segments:
+        g["out2"][i], g["bias2"][i], more = _softmax(a[lo:hi], p["out2"][i], p["bias2"][i], kinds.member[t[lo:hi]], n)
+        da[lo:hi] += more
+    if rare:
+        lo = rare[0][1]
+        g["out3"], g["bias3"], more = _softmax(a[lo:], p["out3"], p["bias3"], kinds.rare_of[t[lo:]], n)
+        da[lo:] += more
+    own = np.array([i for i, _, _ in rare], np.int64)
+    out4, bias4 = np.empty((len(own), *p["out4"].shape[1:]), a.dtype), np.empty((len(own), kinds.rare_width), a.dtype)
+    for j, (i, lo, hi) in enumerate(rare):
+        out4[j], bias4[j], more = _softmax(a[lo:hi], p["out4"][i], p["bias4"][i], kinds.rare_member[t[lo:hi]], n)
+        da[lo:hi] += more
+    g["out4"], g["bias4"] = (own, out4), (own, bias4)
+    da *= a[:, :d] > 0
+    dh = np.zeros((len(x) * CELL - CELL, d), a.dtype)
+    dh[at] = da
     dh = dh.reshape(h.shape)
-    ds = np.matmul(dh, v[:, :, :d].transpose(0, 2, 1))
-    dv = np.matmul(s.transpose(0, 2, 1), dh)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True))
-    g["ago"] = np.bincount(_AGO.ravel(), ds.sum(0).ravel(), minlength=2 * CELL).astype(np.float32)
-    dq, dk = np.matmul(ds, k[:, :, :d]), np.matmul(ds.transpose(0, 2, 1), q[:, :, :d])
-    change = np.zeros_like(embed)
-    last = u[:, CELL:]
-    for name, part, where in (("q", dq / np.float32(np.sqrt(d)), last), ("k", dk, u), ("v", dv, u), ("r", dh, last)):
-        where, part = where.ravel(), part.reshape(-1, d)
-        order = np.argsort(where, kind="stable")
-        ranked = where[order]
-        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        table = np.add.reduceat(part[order], first)
-        g[name] = embed[ranked[first]].T @ table
-        change[ranked[first]] += table @ p[name].T
-    g["embed"] = rows, change
+    dv = np.matmul(s, dh)
+    ds = np.matmul(v, _turned(dh))
+    # The mean of ds under s: dh times what was attended to, which is h without the residual.
+    ones = np.ones(d, a.dtype)
+    ds -= np.matmul((h - tables[0].take(u[1:], 0)[:, :, d:]) * dh, ones)[:, None]
+    ds *= s
+    g["ago"] = np.bincount(_AGO.ravel(), _total(ds.reshape(len(ds), -1)), minlength=2 * CELL).astype(a.dtype)
+    # What each place gets: as a query and residual, and as a key and value of its own cell's window and the next one's.
+    parts = {"q": np.matmul(ds.transpose(0, 2, 1), k).reshape(-1, d), "r": dh.reshape(-1, d)}
+    parts["q"] /= np.sqrt(d).astype(a.dtype)
+    for name, both in (("k", np.matmul(ds, q)), ("v", dv)):
+        own = np.zeros((*x.shape, d), a.dtype)
+        own[:-1] = both[:, :CELL]
+        own[1:] += both[:, CELL:]
+        parts[name] = own.reshape(-1, d)
+    where, embed = u.ravel(), p["embed"][rows]
+    inputs = embed.take(where, 0)
+    change = parts["k"] @ p["k"].T
+    change += parts["v"] @ p["v"].T
+    change[CELL:] += parts["q"] @ p["q"].T
+    change[CELL:] += parts["r"] @ p["r"].T
+    for name, part in parts.items():
+        g[name] = inputs[len(inputs) - len(part) :].T @ part
+    order = np.argsort(where, kind="stable")
+    g["embed"] = rows, np.add.reduceat(change.take(order, 0), np.searchsorted(where[order], np.arange(len(rows))))
     return g
 
 
 def train_step(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy over a batch of windows."""
+    """Gradients of the mean cross-entropy over the windows of cells."""
     g = _gradients(p, kinds, x, y)
     for name in _BY_ROW:
         rows, values = g[name]
@@ -408,96 +450,113 @@ def train_step(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict[str
     return g
 
 
+class Adam:
+    """Weights that learn: steps over batches of cells, of all parameters but those of _BY_ROW that a batch leaves out."""
+
+    def __init__(self, p: dict, kinds: Groups, rate: float):
+        self.p, self.kinds, self.rate, self.steps, self.seen = {k: w.copy() for k, w in p.items()}, kinds, rate, 0, 0
+        self.m, self.v = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
+        self.times = {k: np.zeros(len(p[k])) for k in _BY_ROW}
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        g = _gradients(self.p, self.kinds, x, y)
+        self.steps, self.seen = self.steps + 1, self.seen + int((y[1:] >= 0).sum())
+        by, by2 = self.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
+        for k, w in self.p.items():
+            rows, change = g[k] if k in _BY_ROW else (slice(None), g[k])
+            m, v = self.m[k][rows], self.v[k][rows]
+            m += 0.1 * (change - m)
+            v += 0.01 * (change * change - v)
+            w[rows] -= by * m / (np.sqrt(v * by2) + 1e-8)
+            if k in _BY_ROW:
+                self.m[k][rows], self.v[k][rows] = m, v
+                self.times[k][rows] += 1
+
+
 #: Weights go from tasks to their averages in parts of so many rows of a parameter.
-_ROWS = {"embed": 2048, "out4": 16}
+_ROWS = {"embed": 2048, "out4": 16, "bias4": 16}
+_PARTS = "name string, part long, rows binary, weights binary, seen binary"
+
+
+def _parts_of(model: Adam) -> Iterator[pa.RecordBatch]:
+    """The rows of weights that a task has changed, and how often: batches for those of _BY_ROW, else tokens seen."""
+    for name, w in model.p.items():
+        seen = model.times[name] if name in _BY_ROW else np.full(len(w), float(model.seen))
+        rows = np.flatnonzero(seen)
+        for part in np.unique(rows // _ROWS.get(name, len(w))):
+            own = rows[rows // _ROWS.get(name, len(w)) == part]
+            values = [own.tobytes(), np.ascontiguousarray(w[own], np.float32).tobytes(), seen[own].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(part)]), *(pa.array([x], pa.binary()) for x in values)], ["name", "part", "rows", "weights", "seen"])
 
 
-def _train(ranks: str, p: dict, kinds: Groups, rate: float, batch: int = 128):
+def _train(p: dict, kinds: Groups, rate: float, passes: int, batch: int = 1024):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adam over a task's texts, from the given weights; gives the task's weights, and for each row of them how many
-        tokens it saw (those of _BY_ROW: how many batches changed it)."""
-        word_ids, own = WordIds(ranks), {k: w.copy() for k, w in p.items()}
-        m, v, t, seen = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0, 0
-        times = {k: np.zeros(len(own[k])) for k in _BY_ROW}
+        """Adam over a task's texts, from the given weights."""
+        model = Adam(p, kinds, rate)
         for arrow in batches:
-            for _, block in blocks(arrow["text"], word_ids):
-                x, y, _ = windows(*block.tokens())
-                order = np.random.default_rng(t).permutation(len(x))
-                for i in range(0, len(x), batch):
-                    part = order[i : i + batch]
-                    g = _gradients(own, kinds, x[part], y[part])
-                    t, seen = t + 1, seen + int((y[part] >= 0).sum())
-                    by, by2 = rate / (1 - 0.9**t), 1 / (1 - 0.99**t)
-                    for k in own:
-                        rows, change = g[k] if k in _BY_ROW else (slice(None), g[k])
-                        m1, v1 = m[k][rows], v[k][rows]
-                        m1 += 0.1 * (change - m1)
-                        v1 += 0.01 * (change * change - v1)
-                        own[k][rows] -= by * m1 / (np.sqrt(v1 * by2) + 1e-8)
-                        if k in _BY_ROW:
-                            m[k][rows], v[k][rows] = m1, v1
-                            times[k][rows] += 1
-        if seen:
-            for k, w in own.items():
-                for i in range(0, len(w), _ROWS.get(k, len(w))):
-                    rows = slice(i, i + _ROWS.get(k, len(w)))
-                    weight = times[k][rows] if k in _BY_ROW else np.full(len(w[rows]), float(seen))
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([w[rows].astype(np.float32).tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], ["name", "first", "weights", "seen"])
+            for _, tokens, bounds in _sequences(arrow["tokens"], 1 << 20):
+                x, y, _ = windows(tokens, bounds)
+                for _ in range(passes):
+                    for i in range(0, len(x) - 1, batch):
+                        model.step(x[i : i + batch + 1], y[i : i + batch + 1])
+        if model.seen:
+            yield from _parts_of(model)
 
     return train
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Averages of the parts of weights that are alike in name and first, row by row."""
+    """Averages of the parts of weights that are alike in name and part, row by row."""
     sums: dict[tuple, list] = {}
     for batch in batches:
-        for name, first, weights, seen in zip(*(batch[c].to_pylist() for c in ("name", "first", "weights", "seen")), strict=True):
-            seen = np.frombuffer(seen)
-            w = np.frombuffer(weights, np.float32).reshape(len(seen), -1) * seen[:, None]
-            if (name, first) in sums:
-                sums[name, first][0] += w
-                sums[name, first][1] += seen
-            else:
-                sums[name, first] = [w, seen.copy()]
-    for (name, first), (w, seen) in sums.items():
-        w /= np.maximum(seen, 1)[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["name", "first", "weights", "seen"])
-
-
-def fit(training: DataFrame, counts: np.ndarray, ranks: str, tokens_a_task: int = 2_000_000, rounds: int = 2, most_tasks: int = 1024) -> tuple[dict, Groups]:
-    """The attention model, from all training texts.
-
-    Tasks train side by side from common weights, each on about tokens_a_task tokens; after each round the weights
-    are averaged in tasks by tokens seen (rows of single tokens and rare groups by batches that changed them). Only the
-    averages (7 MB) come to the driver.
+        for name, part, rows, weights, seen in zip(*(batch[c].to_pylist() for c in ("name", "part", "rows", "weights", "seen")), strict=True):
+            rows, seen = np.frombuffer(rows, np.int64), np.frombuffer(seen)
+            w = np.frombuffer(weights, np.float32).reshape(len(rows), -1) * seen[:, None]
+            size = int(rows.max()) + 1
+            own = sums.setdefault((name, part), [np.zeros((size, w.shape[1])), np.zeros(size)])
+            if len(own[1]) < size:
+                own[:] = [np.concatenate((x, np.zeros((size - len(x), *x.shape[1:])))) for x in own]
+            own[0][rows] += w
+            own[1][rows] += seen
+    for (name, part), (w, seen) in sums.items():
+        rows = np.flatnonzero(seen)
+        values = [rows.tobytes(), (w[rows] / seen[rows, None]).astype(np.float32).tobytes(), seen[rows].tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part]), *(pa.array([x], pa.binary()) for x in values)], ["name", "part", "rows", "weights", "seen"])
+
+
+def fit(texts: DataFrame, counts: np.ndarray, ranks: str, tokens_a_task: int = 4_000_000, rounds: int = 4, least_tokens: int = 8_000_000, most_passes: int = 8, rate: float = 0.03, d: int = 16) -> tuple[dict, Groups]:
+    """The attention model, from all training texts (row, tokens).
+
+    A round takes every rounds-th text by row, so that each is learned from once; with fewer than least_tokens tokens
+    the tasks go over their texts several times, up to most_passes. In a round, tasks train side by side from common weights,
+    on about tokens_a_task tokens in all rounds together; then each row of weights is averaged over the tasks that changed
+    it, by how often. Only the averages (7 MB at most) come to the driver.
     """
     with open(ranks, "rb") as f:
         table = [base64.b64decode(line.split()[0]) for line in f]
     starts_word = np.array([t[:1] == b" " for t in table] + [True] * (VOCABULARY - len(table)))
     kinds = groups(counts, starts_word)
-    p = new_model(kinds)
-    tasks = int(min(most_tasks, max(1, round(counts.sum() / tokens_a_task))))
-    texts = written(training.select("text").repartition(tasks), "lm-texts")
-    kind = "name string, first long, weights binary, seen binary"
+    p, total = new_model(kinds, d), max(1, int(counts.sum()))
+    tasks, passes = max(1, round(total / tokens_a_task)), min(most_passes, max(1, round(least_tokens / total)))
     for r in range(rounds):
-        trained = texts.coalesce(tasks).mapInArrow(_train(ranks, p, kinds, 0.01 / (r + 1)), kind)
-        for row in trained.repartition(min(tasks, 32), "name", "first").mapInArrow(_average, kind).collect():
-            seen = np.frombuffer(row["seen"])
-            rows = row["first"] + np.flatnonzero(seen)
-            w = p[row["name"]]
-            w[rows] = np.frombuffer(row["weights"], np.float32).reshape(len(seen), *w.shape[1:])[seen > 0]
+        own = texts.where(F.pmod("row", F.lit(rounds)) == r).select("row", "tokens").repartition(tasks, "row")
+        trained = own.mapInArrow(_train(p, kinds, rate * (1 - r / rounds) ** 1.5, passes), _PARTS)
+        for part in trained.repartition(min(tasks, 32), "name", "part").mapInArrow(_average, _PARTS).collect():
+            rows, w = np.frombuffer(part["rows"], np.int64), p[part["name"]]
+            w[rows] = np.frombuffer(part["weights"], np.float32).reshape(len(rows), *w.shape[1:])
     return p, kinds
 
 
-def _score(ranks: str, shared, p: dict, kinds: Groups, n: int, v: int):
+def _score(shared, n: int, v: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text: tokens, those of the head that are known and their base score, its other words, the model's score."""
-        word_ids, tables = WordIds(ranks), _tables(p)
-        head, head_n, end_n = shared.value
-        log_n = np.log10(n + v + 1)
+        head, head_n, end_n, p, kinds = shared.value
+        tables, log_n = _tables(p), np.log10(n + v + 1)
         end_score = np.log10(end_n + 1) - log_n
         for batch in batches:
-            for first, block in blocks(batch["text"], word_ids):
+            scores = [score_tokens(p, kinds, tables, tokens, bounds) for _, tokens, bounds in _sequences(batch["tokens"], 300_000)]
+            scores = np.concatenate(scores) if scores else np.zeros(0)
+            for first, block in blocks(batch["text"], None):
                 at = np.minimum(np.searchsorted(head, block.distinct), max(0, len(head) - 1))
                 inside = head[at] == block.distinct if len(head) else np.zeros(len(block.distinct), bool)
                 value = np.where(inside, np.log10(head_n[at] + 1.0) - log_n, 0.0) if len(head) else np.zeros(len(block.distinct))
@@ -506,12 +565,6 @@ def _score(ranks: str, shared, p: dict, kinds: Groups, n: int, v: int):
                 other = ~inside[block.inverse]
                 tail = block.distinct[block.inverse[other]].view(np.int64)
                 tail_bounds = np.searchsorted(block.rows[other], np.arange(block.n + 1)).astype(np.int32)
-                tokens, bounds = block.tokens()
-                scores, i = [], 0
-                while i < block.n:  # in parts, as windows take several times the room of their tokens
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + 300_000, "right")) - 1)
-                    scores.append(score_tokens(p, kinds, tables, tokens[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
-                    i = j
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(first, block.n),
@@ -520,7 +573,7 @@ def _score(ranks: str, shared, p: dict, kinds: Groups, n: int, v: int):
                         pa.array(known),
                         pa.array(base),
                         pa.ListArray.from_arrays(pa.array(tail_bounds), pa.array(tail)),
-                        pa.array(np.concatenate(scores)),
+                        pa.array(scores[first : first + block.n]),
                     ],
                     ["doc_id", "held_out", "n_tokens", "head_known", "head_score", "tail", "score"],
                 )
@@ -541,8 +594,8 @@ def score_texts(docs: DataFrame, ranks: str, head: int = 200_000, **fit_with) ->
     text as the subwords (byte-level BPE) of its words and one end; the model is one layer of causal
     self-attention with learned weights for distances, which predicts a token's group and the token in it, and of rare
     tokens a group of theirs in between. All 50,257 ids have their own input vectors and logits; biases start
-    from add-one counts over all training texts. Windows of 32 inputs overlap by half; each token is predicted once, from
-    16 to 32 tokens before it (fewer at a text's start).
+    from add-one counts over all training texts, and fit() learns from every one of them. Windows of 16 inputs overlap by
+    half; each token is predicted once, from 8 to 16 tokens before it (fewer at a text's start).
 
     Counts of the head most frequent words (a bounded table) go to all tasks; other words are joined. A null text
     counts as empty: it is one end. Null doc_ids train; repeated rows count each; without training texts c, N
@@ -550,9 +603,11 @@ def score_texts(docs: DataFrame, ranks: str, head: int = 200_000, **fit_with) ->
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    training = base.where(~F.col("held_out"))
-    parts = training.select("text").mapInArrow(_count(ranks), "subword boolean, key long, n long")
-    counts = written(parts.groupBy("subword", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    read = base.mapInArrow(_read(ranks), "doc_id long, held_out boolean, text string, tokens binary, subword boolean, key long, n long")
+    # Tokens are written once: training and scoring read them.
+    read = written(read.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+    texts = read.where("tokens is not null")
+    counts = written(read.where("key is not null").groupBy("subword", "key").agg(F.sum("n").alias("n")), "lm-counts")
     subwords = np.zeros(VOCABULARY, np.int64)
     for row in counts.where("subword").collect():  # at most VOCABULARY rows
         subwords[row["key"]] = row["n"]
@@ -561,9 +616,9 @@ def score_texts(docs: DataFrame, ranks: str, head: int = 200_000, **fit_with) ->
     top = known.where(F.col("key") != int(END_WORD)).orderBy(F.desc("n"), "key").limit(head).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], int(sums["end"])))
-    p, kinds = fit(training, subwords, ranks, **fit_with)
-    scored = base.mapInArrow(_score(ranks, shared, p, kinds, int(sums["n"]), int(sums["v"])), "doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, tail array<long>, score double")
+    p, kinds = fit(texts.where("not held_out"), subwords, ranks, **fit_with)
+    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], int(sums["end"]), p, kinds))
+    scored = texts.select("doc_id", "held_out", "text", "tokens").mapInArrow(_score(shared, int(sums["n"]), int(sums["v"])), "doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, tail array<long>, score double")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     found = tail.join(known, "key", "left").groupBy("row").agg(

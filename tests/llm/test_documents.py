@@ -188,18 +188,50 @@ def test_lm_rare_gradients():
 
 
 def test_lm_trains_on_every_text(spark):
-    # Before, one text in 48 by a hash of its id, and all texts without an id or none.
     docs = [(i, f"w{i} only here") for i in range(6)] + [(None, "no id")]
-    texts = spark.createDataFrame(docs, "doc_id long, text string")
-    word_ids, counts_ = lm_scoring.WordIds(queries.tokenizer("byte_bpe_50k.tiktoken")), np.zeros(lm_scoring.VOCABULARY, np.int64)
+    word_ids, counts_, rows = lm_scoring.WordIds(queries.tokenizer("byte_bpe_50k.tiktoken")), np.zeros(lm_scoring.VOCABULARY, np.int64), []
     for _, block in lm_scoring.blocks(pa.array([t for _, t in docs]), word_ids):
-        tokens, _ = block.tokens()
+        tokens, bounds = block.tokens()
         counts_ += np.bincount(tokens, minlength=lm_scoring.VOCABULARY)
-    p, kinds = lm_scoring.fit(texts, counts_, queries.tokenizer("byte_bpe_50k.tiktoken"))
+        rows += [(i, bytearray(tokens[a:b].astype(np.uint16).tobytes())) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+    p, kinds = lm_scoring.fit(spark.createDataFrame(rows, "row long, tokens binary"), counts_, queries.tokenizer("byte_bpe_50k.tiktoken"))
     changed = (p["embed"] != lm_scoring.new_model(kinds)["embed"]).any(1)
     assert changed[np.setdiff1d(tokens, [lm_scoring.END])].all() and not changed[counts_.argmin()]
 
 
+def test_lm_matches_plain_attention():
+    """Each token by itself, in float64 and full softmaxes, from the definition of the model."""
+    rng = np.random.default_rng(5)
+    kinds = lm_scoring.groups(rng.integers(0, 50, lm_scoring.VOCABULARY), rng.random(lm_scoring.VOCABULARY) < 0.5, n=5, width=6)
+    p = {k: w.astype(np.float64) + rng.normal(0, 0.1, w.shape) for k, w in lm_scoring.new_model(kinds, d=4).items()}
+    n = [1, 7, 8, 9, 40]
+    tokens, bounds = rng.integers(0, lm_scoring.VOCABULARY, sum(n)), np.cumsum([0, *n])
+    got = lm_scoring.token_logs(p, kinds, lm_scoring._tables(p), tokens, bounds, batch=3)
+    share = lambda z, i: z[i] - np.log(np.exp(z).sum())
+    for text in range(len(n)):
+        own = tokens[bounds[text] : bounds[text + 1]]
+        inputs = np.concatenate((np.full(lm_scoring.CELL, lm_scoring.PAD), [lm_scoring.START], own[:-1]))
+        for i, t in enumerate(own):
+            at = i + lm_scoring.CELL
+            seen = np.arange(i // lm_scoring.CELL * lm_scoring.CELL, at + 1)
+            e = p["embed"][inputs]
+            s = np.exp([e[at] @ p["q"] @ (e[j] @ p["k"]) / 2 + p["ago"][at - j] for j in seen])
+            h = np.maximum((s / s.sum()) @ (e[seen] @ p["v"]) + e[at] @ p["r"], 0)
+            want, g = share(h @ p["out"] + p["bias"], kinds.of[t]), kinds.of[t]
+            if g < kinds.n - 1:
+                want += share(h @ p["out2"][g] + p["bias2"][g], kinds.member[t])
+            else:
+                want += share(h @ p["out3"] + p["bias3"], kinds.rare_of[t]) + share(h @ p["out4"][kinds.rare_of[t]] + p["bias4"][kinds.rare_of[t]], kinds.rare_member[t])
+            assert math.isclose(got[bounds[text] + i], want, rel_tol=1e-9), (text, i)
+
+
+def test_lm_beats_add_one_counts(spark):
+    """On held-out texts of 10,000 documents, on all and on those whose words are all known."""
+    r = queries.op7_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").select("n_tokens", "n_known", "score", "base_score").toPandas()
+    known = r[r.n_known == r.n_tokens]
+    assert len(known) > 200 and r.score.sum() > r.base_score.sum() and known.score.sum() > known.base_score.sum()
+
+
 def test_lm_odd_rows(odd, none):
     ranks = queries.tokenizer("byte_bpe_50k.tiktoken")
     rows = lm_scoring.score_texts(odd, ranks).collect()
