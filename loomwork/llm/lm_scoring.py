@@ -138,7 +138,7 @@ def _read(ranks: str):
             held = batch["held_out"].to_numpy(zero_copy_only=False)
             tally.add(np.array([END_WORD]), np.array([int((~held).sum())]))
             subwords[END] += int((~held).sum())
-            for first, block in blocks(batch["text"], word_ids):
+            for first, block in blocks(batch["text"], word_ids, 1 << 21):
                 trains = ~held[first + block.rows]
                 n = np.bincount(block.inverse[trains], minlength=len(block.distinct))
                 tally.add(block.distinct[n > 0], n[n > 0])
@@ -524,24 +524,24 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part]), *(pa.array([x], pa.binary()) for x in values)], ["name", "part", "rows", "weights", "seen"])
 
 
-def fit(texts: DataFrame, counts: np.ndarray, ranks: str, tokens_a_task: int = 4_000_000, rounds: int = 4, least_tokens: int = 8_000_000, most_passes: int = 8, rate: float = 0.03, d: int = 16) -> tuple[dict, Groups]:
+def fit(texts: DataFrame, counts: np.ndarray, ranks: str, rounds: int = 4, least_tokens: int = 8_000_000, most_passes: int = 8, rate: float = 0.03, d: int = 16) -> tuple[dict, Groups]:
     """The attention model, from all training texts (row, tokens).
 
     A round takes every rounds-th text by row, so that each is learned from once; with fewer than least_tokens tokens
-    the tasks go over their texts several times, up to most_passes. In a round, tasks train side by side from common weights,
-    on about tokens_a_task tokens in all rounds together; then each row of weights is averaged over the tasks that changed
-    it, by how often. Only the averages (7 MB at most) come to the driver.
+    the tasks go over their texts several times, up to most_passes. In a round, tasks (the splits of texts' files) train side
+    by side from common weights; then each row of weights is averaged over the tasks that changed it, by how often. Only
+    the averages (7 MB at most) come to the driver.
     """
     with open(ranks, "rb") as f:
         table = [base64.b64decode(line.split()[0]) for line in f]
     starts_word = np.array([t[:1] == b" " for t in table] + [True] * (VOCABULARY - len(table)))
     kinds = groups(counts, starts_word)
-    p, total = new_model(kinds, d), max(1, int(counts.sum()))
-    tasks, passes = max(1, round(total / tokens_a_task)), min(most_passes, max(1, round(least_tokens / total)))
+    p = new_model(kinds, d)
+    passes = min(most_passes, max(1, round(least_tokens / max(1, int(counts.sum())))))
     for r in range(rounds):
-        own = texts.where(F.pmod("row", F.lit(rounds)) == r).select("row", "tokens").repartition(tasks, "row")
+        own = texts.where(F.pmod("row", F.lit(rounds)) == r).select("tokens")
         trained = own.mapInArrow(_train(p, kinds, rate * (1 - r / rounds) ** 1.5, passes), _PARTS)
-        for part in trained.repartition(min(tasks, 32), "name", "part").mapInArrow(_average, _PARTS).collect():
+        for part in trained.repartition("name", "part").mapInArrow(_average, _PARTS).collect():
             rows, w = np.frombuffer(part["rows"], np.int64), p[part["name"]]
             w[rows] = np.frombuffer(part["weights"], np.float32).reshape(len(rows), *w.shape[1:])
     return p, kinds
@@ -556,7 +556,7 @@ def _score(shared, n: int, v: int):
         for batch in batches:
             scores = [score_tokens(p, kinds, tables, tokens, bounds) for _, tokens, bounds in _sequences(batch["tokens"], 300_000)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            for first, block in blocks(batch["text"], None):
+            for first, block in blocks(batch["text"], None, 1 << 22):
                 at = np.minimum(np.searchsorted(head, block.distinct), max(0, len(head) - 1))
                 inside = head[at] == block.distinct if len(head) else np.zeros(len(block.distinct), bool)
                 value = np.where(inside, np.log10(head_n[at] + 1.0) - log_n, 0.0) if len(head) else np.zeros(len(block.distinct))
@@ -605,7 +605,7 @@ def score_texts(docs: DataFrame, ranks: str, head: int = 200_000, **fit_with) ->
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     read = base.mapInArrow(_read(ranks), "doc_id long, held_out boolean, text string, tokens binary, subword boolean, key long, n long")
     # Tokens are written once: training and scoring read them.
-    read = written(read.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+    read = written(read.withColumn("row", F.monotonically_increasing_id()), "lm-texts", compression="zstd")
     texts = read.where("tokens is not null")
     counts = written(read.where("key is not null").groupBy("subword", "key").agg(F.sum("n").alias("n")), "lm-counts")
     subwords = np.zeros(VOCABULARY, np.int64)
