@@ -136,18 +136,28 @@ def _score(net: ByteCnn, names: list[str]):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 32_768, **train_with) -> ByteCnn:
-    """Trains on at most sample labelled documents of at most longest bytes, the first by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: int = 64 << 20, **train_with) -> ByteCnn:
+    """Trains on at most sample labelled documents of at most sample_bytes together, the first by a hash of doc_id, whole
+    texts of any length.
 
     So what comes to the driver is bounded by the parameters. Rows whose crc32(doc_id) mod 4 is 2 are held out; null
     labels and doc_ids are left out; a doc_id with several labels counts with its least one.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
-    # Twice the sample, as some labelled documents may be absent or too long.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(known, "doc_id")
+    sizes = found.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("key")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample).collect()
+    total, taken = 0, []
+    for r in sizes:  # at most sample rows
+        total += r["size"]
+        if total > sample_bytes and taken:
+            break
+        taken.append((r["doc_id"], r["key"]))
+    if not taken:
+        return train([], [], **train_with)
+    chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, key long")
+    rows = found.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"]).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(len(taken)).collect()
     return train([r["text"].encode() for r in rows], [r["label"] for r in rows], **train_with)
 
 

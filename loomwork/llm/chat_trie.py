@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -36,14 +37,28 @@ def format_turn(role: Column, text: Column) -> Column:
 def conversation_paths(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): a conversation's turns in order, each with its node, the digest of all turns so far.
 
-    rows: (conv_id, turn, role, text). Order: turn, then role and text; null turns first, null roles and texts empty.
+    rows: (conv_id, turn, role, text). Order: turn, then role and text; null turns first, null roles and texts empty. A row
+    without a conv_id is a conversation of its own.
     """
     clean = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    clean = clean.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
     own = F.md5(F.concat_ws("\n", F.octet_length("role").cast("string"), "role", "text"))
-    gathered = clean.withColumn("own", own).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "own"))).alias("turns"))
-    empty = F.array().cast("array<string>")
-    nodes = F.aggregate("turns", empty, lambda path, t: F.array_append(path, F.md5(F.concat(F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")), t["own"]))))
-    return gathered.withColumn("nodes", nodes)
+    gathered = clean.withColumn("own", own).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "own"))).alias("turns"))
+    kind = gathered.schema["turns"].dataType.simpleString()
+    return gathered.select("conv_id", "turns").mapInArrow(_chain, f"conv_id long, turns {kind}, nodes array<string>")
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each conversation: digests of the digest before and the turn's own, linear in its turns."""
+    for batch in batches:
+        nodes = []
+        for turns in batch["turns"]:
+            digest, path = "", []
+            for own in turns.values.field("own").to_pylist():
+                digest = hashlib.md5((digest + own).encode()).hexdigest()
+                path.append(digest)
+            nodes.append(path)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.list_(pa.string()))], [*batch.schema.names, "nodes"])
 
 
 def running_starts(nodes: DataFrame, order: list[str], length: str, tasks: int) -> DataFrame:
@@ -115,8 +130,8 @@ def prefix_tree(rows: DataFrame, ranks: str | None = None, tasks: int | None = N
     third of all conversations share makes no task longer: its tree is cut by range, and only one sum a task is
     put in order.
 
-    Order in a conversation: turn, role, text. Null texts and roles are empty, null turns come first, null conv_ids are
-    one conversation; repeated rows are turns of their own. Only one conversation must fit in a task, as its digest
+    Order in a conversation: turn, role, text. Null texts and roles are empty, null turns come first; a row without a
+    conv_id is a conversation of its own; repeated rows are turns of their own. Only one conversation must fit in a task, as its digest
     and path need it whole. No rows give no rows. Columns besides the four are not read.
     """
     spark = rows.sparkSession
@@ -131,6 +146,7 @@ def prefix_tree(rows: DataFrame, ranks: str | None = None, tasks: int | None = N
     nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "role", "text")))
     nodes = nodes.join(owners, "node").select("node", "parent", "depth", "path", "role", format_turn(F.col("role"), F.col("text")).alias("formatted"))
     nodes = nodes.mapInArrow(_tokenise(ranks), "node string, parent string, depth long, path long, ids array<int>, loss_start long, loss_end long, length long")
+    nodes = written(nodes, "trie-tokens")  # the range partition reads them twice
     placed = written(running_starts(nodes, ["path", "depth"], "length", tasks), "trie-nodes")
     # Each distinct path with the places of its nodes: from these, what a node that it owns attends to.
     spots = ordered.select("path", F.explode("nodes").alias("node")).join(placed.select("node", "depth", "start", "length", F.col("path").alias("owner")), "node")
@@ -169,10 +185,25 @@ def _read_back(ranks: str | None):
 
 
 def conversation_digests(tree: DataFrame, paths: DataFrame, ranks: str | None = None) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the tree."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, leaf_start, n_tokens, n_intervals) of each
+    conversation, read back through the layout.
+
+    A conversation is what its last turn attends to: the turns inside its ancestor intervals and itself, in the order of
+    the sequence, with a position id for each token; a turn that the intervals miss, or that is out of place, would
+    change the digests. leaf_start: where the last turn stands; n_tokens: its last position id and one; n_intervals:
+    its ancestor intervals. Conversations without an id are rows of their own, repeated ones too; no rows give no rows.
+    """
     turns = tree.select("node", "ids", "loss_start", "loss_end").mapInArrow(_read_back(ranks), "node string, role string, text string, loss string, chars long")
-    spots = paths.select("conv_id", F.posexplode("nodes").alias("depth", "node"))
-    read = spots.join(turns, "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text", "loss", "chars"))).alias("turns"))
+    turns = turns.join(tree.select("node", "start", "length", "position", "ancestors"), "node")
+    rows = paths.withColumn("conversation", F.monotonically_increasing_id())
+    rows = written(rows, "trie-rows")
+    spots = rows.select("conversation", "conv_id", F.element_at("nodes", -1).alias("leaf"), F.explode("nodes").alias("node"))
+    fields = ["start", "length", "position", "role", "text", "loss", "chars"]
+    # Only the last turn brings its intervals along.
+    own = spots.join(turns, "node").withColumn("intervals", F.when(F.col("node") == F.col("leaf"), F.col("ancestors")))
+    read = own.groupBy("conversation", "conv_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("turns"), F.first("intervals", ignorenulls=True).alias("intervals"), F.max(F.when(F.col("node") == F.col("leaf"), F.struct("start", "length", "position"))).alias("leaf"))
+    inside = F.filter("turns", lambda t: (t["start"] == F.col("leaf.start")) | F.exists("intervals", lambda s: (s["start"] <= t["start"]) & (t["start"] + t["length"] <= s["end"])))
+    read = read.withColumn("turns", inside)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: t["loss"]), "")
     return read.select(
@@ -182,4 +213,7 @@ def conversation_digests(tree: DataFrame, paths: DataFrame, ranks: str | None =
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda s, t: s + t["chars"]).alias("formatted_chars"),
+        F.col("leaf.start").alias("leaf_start"),
+        (F.col("leaf.position") + F.col("leaf.length")).alias("n_tokens"),
+        F.size("intervals").cast("long").alias("n_intervals"),
     )

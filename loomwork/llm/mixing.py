@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ def leaf_budgets(sizes: DataFrame, mixture: DataFrame, share: float, max_epochs:
     return leaves.withColumn("budget", fill(leaves, ["domain", "lang"], "source", "source_weight", "capacity", F.col("lang_budget"))).select(*LEAF, "tokens", "budget")
 
 
-def _key(seed: int) -> Column:
+def _key(seed: int, epochs: Column) -> Column:
     """A document's place in the leaf's last epoch: other epochs and seeds give other orders."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epochs.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def leaf_plan(sizes: DataFrame, mixture: DataFrame, share: float, max_epochs: int, seed: int) -> DataFrame:
@@ -65,14 +67,14 @@ def leaf_plan(sizes: DataFrame, mixture: DataFrame, share: float, max_epochs: in
     budgets = leaf_budgets(sizes, mixture, share, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     budgets = cut(budgets.withColumn("epochs", whole).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")))
-    keyed = sizes.join(budgets.select(*LEAF, "epochs", "left"), ["lang", "source"]).withColumn("key", _key(seed)).withColumn("group", F.substring("key", 1, _DIGITS))
+    keyed = sizes.join(budgets.select(*LEAF, "epochs", "left"), ["lang", "source"]).withColumn("key", _key(seed, F.col("epochs"))).withColumn("group", F.substring("key", 1, _DIGITS))
     groups = keyed.groupBy(*LEAF, "left", "group").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("group").rowsBetween(Window.unboundedPreceding, 0))
     ends = groups.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
     ends = ends.groupBy(*LEAF).agg(F.min_by(F.struct("group", (F.col("left") - F.col("upto") + F.col("n")).alias("room")), "group").alias("end")).select(*LEAF, "end.group", "end.room")
-    inside = keyed.join(ends, [*LEAF, "group"])
-    # Documents with equal keys are taken together or not at all.
-    inside = inside.withColumn("used", F.sum("n_tokens").over(Window.partitionBy(*LEAF, "group").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
+    # Documents with equal keys (those without a doc_id) are taken together or not at all: one row from here on.
+    inside = keyed.join(ends, [*LEAF, "group"]).groupBy(*LEAF, "group", "room", "key").agg(F.sum("n_tokens").alias("n_tokens"))
+    inside = inside.withColumn("used", F.sum("n_tokens").over(Window.partitionBy(*LEAF, "group").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
     last = inside.where(F.col("used") <= F.col("room")).groupBy(*LEAF).agg(F.max("key").alias("key"))
     plan = budgets.select(*LEAF, "epochs").join(ends.select(*LEAF, "group"), LEAF, "left").join(last, LEAF, "left")
     return plan.select(*LEAF, "epochs", F.coalesce("key", "group", F.lit("")).alias("last_key"))
@@ -80,11 +82,13 @@ def leaf_plan(sizes: DataFrame, mixture: DataFrame, share: float, max_epochs: in
 
 def mark(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """docs (doc_id, lang, source, ...) with domain and copies; leaves that plan lacks: null and 0."""
-    plan = plan.withColumnsRenamed({"lang": "_lang", "source": "_source", "domain": "_domain"})
-    same = (F.coalesce(docs["lang"].cast("string"), F.lit("")) == plan["_lang"]) & (F.coalesce(docs["source"].cast("string"), F.lit("")) == plan["_source"])
-    names = [c for c in docs.columns if c not in ("domain", "copies")]
-    copies = F.coalesce(F.col("epochs"), F.lit(0)) + F.when(_key(seed) <= F.col("last_key"), 1).otherwise(0)
-    return docs.join(plan, same, "left").select(*names, F.col("_domain").alias("domain"), copies.cast("long").alias("copies"))
+    prefix = f"plan_{uuid.uuid4().hex}_"  # no column of docs has such a name
+    plan = plan.select(*(F.col(c).alias(prefix + c) for c in plan.columns))
+    mine = lambda c: F.col(prefix + c)
+    same = (F.coalesce(F.col("lang").cast("string"), F.lit("")) == mine("lang")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == mine("source"))
+    names = [f"`{c}`" for c in docs.columns if c not in ("domain", "copies")]
+    copies = F.coalesce(mine("epochs"), F.lit(0)) + F.when(_key(seed, mine("epochs")) <= mine("last_key"), 1).otherwise(0)
+    return docs.join(plan, same, "left").select(*names, mine("domain").alias("domain"), copies.cast("long").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, mixture: DataFrame, max_epochs: int = 2, share: float = 0.6, seed: int = 17) -> DataFrame:
@@ -98,7 +102,7 @@ def mix_sources(docs: DataFrame, mixture: DataFrame, max_epochs: int = 2, share:
     next epoch's seeded order that fits in the rest of the budget, so a budget is missed by less than a document.
 
     Documents of leaves that mixture lacks get 0 copies; null lang and source count as empty texts, null texts have
-    no tokens; ties in the order (repeated rows) are taken together or not at all. No rows give no rows. Other
+    no tokens; ties in the order (repeated rows, and rows of a leaf without a doc_id) are taken together or not at all. No rows give no rows. Other
     columns are passed on, but those named domain and copies.
     """
     sizes = written(token_counts(docs), "mixing-sizes")

@@ -156,9 +156,10 @@ def _pack(size: int, slack: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's pieces with their bins: fill, and, if underfull, the bin's number among the task's ones of that fill."""
         task = TaskContext.get().partitionId()
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        own = [b for b in batches if len(b)]
+        if not own:
             return
+        table = pa.Table.from_batches(own)
         length = table["length"].to_numpy()
         order = np.argsort(-length, kind="stable")
         ranked = length[order]

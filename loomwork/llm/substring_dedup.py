@@ -40,10 +40,9 @@ def sentences(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, first, word_start, word_end, hashes
 
 
-def spans(row: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, hashes: np.ndarray, least: int, least_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, end, hash) of the runs of each sentence: the shortest of at least least sentences and least_words
-    words that starts at it, the shortest one that ends at it, and the sentence alone if it has long_words; none where the
-    text ends or starts in between. Each run comes once."""
+def spans(row: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, hashes: np.ndarray, least: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, end, hash) of the shortest runs of at least least sentences and least_words words that start at
+    each sentence, and of the shortest that end at it; none where the text ends or starts in between. Each run comes once."""
     n = len(row)
     i = np.arange(n)
     end = np.maximum(i + least, np.searchsorted(word_end, word_start + least_words) + 1)
@@ -52,16 +51,13 @@ def spans(row: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, hashes:
     back = start >= np.searchsorted(row, row)
     # A run that is the shortest both from its start and to its end is left out here.
     back[back] = end[start[back]] != i[back] + 1
-    alone = word_end - word_start >= long_words
-    if least == 1:
-        alone &= ~(fits & (end == i + 1))
-    first, last = np.concatenate((i[fits], start[back], i[alone])), np.concatenate((end[fits], i[back] + 1, i[alone] + 1))
+    first, last = np.concatenate((i[fits], start[back])), np.concatenate((end[fits], i[back] + 1))
     order = np.argsort(first, kind="stable")
     first, last = first[order], last[order]
     return first, last, fold(hashes, word_start[first], word_end[last - 1])
 
 
-def _spans(least: int, least_words: int, long_words: int):
+def _spans(least: int, least_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each span of each text: its first place, and the others in more. A place is pos << 32 | n."""
         for batch in batches:
@@ -70,7 +66,7 @@ def _spans(least: int, least_words: int, long_words: int):
                 if not len(row):
                     continue
                 lead = per_row(row, len(offsets) - 1)
-                i, end, h = spans(row, word_start, word_end, hashes, least, least_words, long_words)
+                i, end, h = spans(row, word_start, word_end, hashes, least, least_words)
                 order = np.argsort(h, kind="stable")
                 order = order[np.argsort(row[i[order]].astype(np.uint16), kind="stable")]
                 i, end, h = i[order], end[order], h[order]
@@ -119,29 +115,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(n_sentences, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind)], [*names, "text", "n_sentences", "n_removed", "removed"])
 
 
-def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10, long_words: int = 25) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10) -> DataFrame:
     """docs (doc_id, text, ...) with the sentences gone that a repeated span covers, plus n_sentences, n_removed and
     removed (start, end): the runs of removed sentences, counted from 0.
 
-    A span is the shortest run of sentences that has least sentences and least_words words, from a given sentence on or
-    up to one; a sentence of long_words words is a span of its own besides. So every sentence of a repeated passage of two
-    or more sentences and least_words words is covered at any place, and lone short lines are left alone. Spans are equal if their words are (A-Z lower-cased, whatever white
-    space is between); they are compared by 64-bit hashes over the whole corpus. The first place of a span, by
-    doc_id, text and position, stays; the sentences of all other places go, in the same text too. What is left of a
-    text is unchanged, white space goes with the sentence before it.
+    A span is any run of at least least sentences and least_words words. Spans are equal if their words are (A-Z
+    lower-cased, whatever white space is between); they are compared by 64-bit hashes over the whole corpus. The first
+    place of a span, by doc_id, text and position, stays; the sentences of all other places go, in the same text too.
+    What is left of a text is unchanged, white space goes with the sentence before it. A sentence that repeats alone stays.
+
+    Two spans for each sentence stand for all: the shortest that starts at it, and the shortest that ends at it. For
+    let a longer run be repeated, with its first place elsewhere. Each of its sentences from which a shortest span still
+    ends inside the run is covered by that one, which is repeated as well and comes first where the run does. The others
+    lie after the start of the shortest span that ends with the run, or a span from them would fit; so that one covers them.
 
     A null text becomes an empty one; empty and white texts stay as they are. Rows alike in doc_id and text are one text
     to this operator: they get the same result. Null doc_ids come first. Other columns are passed on (named
-    repeats, text_key, n_sentences, n_removed or removed they are replaced). No rows give no rows.
+    n_sentences, n_removed or removed they are replaced). No rows give no rows.
 
-    A span that a text holds many times is one row of that text. First places are found by a pre-aggregated minimum
-    for each span, so a passage that a third of all documents share is one row a task there; the join that follows
-    can be split.
+    A span that a text holds many times is one row of that text, and repeated rows are one text before their places
+    are gathered. First places are found by a pre-aggregated minimum for each span, so a passage that a third of all
+    documents share is one row a task there; the join that follows can be split.
     """
-    base = docs.drop("repeats", "text_key", "n_sentences", "n_removed", "removed")
-    base = base.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("text_key", F.xxhash64("text"))
+    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
+    others = [c for c in names if c not in ("doc_id", "text")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # What else a row holds travels as one struct, so that no name can clash.
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"))
     found = written(
-        base.select("doc_id", "text", "text_key").mapInArrow(_spans(least, least_words, long_words), "span long, doc_id long, text_key long, place long, more array<long>"),
+        base.select("doc_id", "text", "text_key").mapInArrow(_spans(least, least_words), "span long, doc_id long, text_key long, place long, more array<long>"),
         "substring-spans",
     )
     at = F.struct("doc_id", "text_key", "place")
@@ -151,10 +153,9 @@ def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10, long_
     in_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
     later = found.join(firsts, "span").where(~in_first | F.col("more").isNotNull())
     places = F.when(in_first, F.col("more")).otherwise(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>"))))
-    repeats = later.select("doc_id", "text_key", places.alias("places")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("repeats"))
-    repeats = repeats.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
-    joined = base.join(repeats, same, "left").drop("_doc_id", "_text_key", "text_key")
-    fields = [f for f in joined.schema.fields if f.name not in ("text", "repeats")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.mapInArrow(_cut, f"{schema}, text string, n_sentences long, n_removed long, removed array<struct<start:int,end:int>>").select(*docs.drop("repeats", "text_key", "n_sentences", "n_removed", "removed").columns, "n_sentences", "n_removed", "removed")
+    later = later.select("doc_id", "text_key", F.explode(places).alias("place"))
+    repeats = later.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("repeats"))
+    repeats = repeats.withColumnsRenamed({"doc_id": "of_doc", "text_key": "of_text"})
+    joined = base.join(repeats, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")), "left").select("doc_id", "rest", "text", "repeats")
+    cut = joined.mapInArrow(_cut, f"doc_id long, rest {joined.schema['rest'].dataType.simpleString()}, text string, n_sentences long, n_removed long, removed array<struct<start:int,end:int>>")
+    return cut.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.c{others.index(c)}").alias(c) for c in names), "n_sentences", "n_removed", "removed")

@@ -45,8 +45,9 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
-def without_repeats(docs, least=2, least_words=10, long_words=25):
-    """{doc_id: (text left, sentences removed)} for unique ids."""
+def without_repeats(docs, least=2, least_words=10):
+    """{doc_id: (text left, sentences removed)} for unique ids: every run of least sentences and least_words words, of any length, is
+    looked up; all its places but the first lose their sentences."""
     parts = {}
     for i, text in docs.items():
         text = text or ""
@@ -59,24 +60,18 @@ def without_repeats(docs, least=2, least_words=10, long_words=25):
                 sents.append((own, found[n - len(own) + 1][1]))
                 own = []
         parts[i] = sents
-    seen, gone = {}, {i: set() for i in docs}
+    seen, gone = set(), {i: set() for i in docs}
     for i in sorted(docs):
-        s = parts[i]
-        for p in range(len(s)):
-            e, n = p, 0
-            if len(s[p][0]) >= long_words:
-                e = p + 1
-            else:
-                while e < len(s) and (e - p < least or n < least_words):
-                    n += len(s[e][0])
-                    e += 1
-                if e - p < least or n < least_words:
-                    continue
-            key = tuple(w for own, _ in s[p:e] for w in own)
-            if key in seen:
-                gone[i].update(range(p, e))
-            else:
-                seen[key] = i, p
+        for p in range(len(parts[i])):
+            run, n = 0, 0
+            for e, (own, _) in enumerate(parts[i][p:], p + 1):
+                for w in own:
+                    run = hash((run, w))
+                n += len(own)
+                if e - p >= least and n >= least_words:
+                    if run in seen:
+                        gone[i].update(range(p, e))
+                    seen.add(run)
     out = {}
     for i, text in docs.items():
         s = parts[i]
