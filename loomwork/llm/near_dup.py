@@ -68,12 +68,13 @@ def _sketch(k: int, bands: int, band_rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(first, n),
+                        batch["text_key"].slice(first, n),
                         _set_keys(sets, bounds),
                         pa.array(np.diff(bounds)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel())),
                         binaries(mix(signature).astype(np.uint8).ravel(), np.arange(n + 1) * m),
                     ],
-                    ["doc_id", "set_key", "n_shingles", "bands", "signature"],
+                    ["doc_id", "text_key", "set_key", "n_shingles", "bands", "signature"],
                 )
 
     return sketch
@@ -89,20 +90,34 @@ def _plausible(m: int, least: float):
     return plausible
 
 
-def _keyed(k: int):
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keeps the texts that have the wanted set; a doc_id may stand for several texts."""
-        for batch in batches:
-            keys = []
-            for _, offsets, data in text_blocks(batch["text"], 1 << 19):
-                n = len(offsets) - 1
-                _, _, rows, hashes = words(offsets, data)
-                rows, sets = shingles(rows, hashes, n, k)
-                keys += _set_keys(sets, per_row(rows, n)).to_pylist()
-            same = [x == y for x, y in zip(keys, batch["u"].to_pylist(), strict=True)]
-            yield batch.select(["u", "text"]).filter(pa.array(same, pa.bool_()))
-
-    return keyed
+def _near(m: int, least: float, num: int, den: int):
+    def near(table: pa.Table) -> pa.Table:
+        """Of a block of a bucket: the members (u) that have a plausible partner of another component in the other fine part
+        or, in a block of one part with itself, in any; with the fine parts (i, j) where they are to meet."""
+        u, fine, size = table["u"].to_pylist(), table["fine"].to_numpy(), table["n"].to_numpy()
+        sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(len(u), m)
+        kind = np.unique(np.array(table["c"].to_pylist(), object), return_inverse=True)[1]
+        right = table["right"].to_numpy()
+        left = np.flatnonzero(~right) if right.any() else np.arange(len(u))
+        other = np.flatnonzero(right) if right.any() else np.arange(len(u))
+        theirs = np.ascontiguousarray(sign[other].T)
+        found = set()
+        for i in range(0, len(left), 256):
+            own = left[i : i + 256]
+            agree = np.zeros((len(own), len(other)), np.uint16)
+            for j in range(m):
+                agree += sign[own, j][:, None] == theirs[j][None]
+            fits = (agree >= least * m) & (kind[own][:, None] != kind[other][None])
+            fits &= den * np.minimum(size[own][:, None], size[other][None]) >= num * np.maximum(size[own][:, None], size[other][None])
+            x, y = np.nonzero(fits)
+            x, y = own[x], other[y]
+            lo, hi = np.minimum(fine[x], fine[y]), np.maximum(fine[x], fine[y])
+            for who in (x, y):
+                found.update(map(tuple, np.unique(np.stack((who, lo, hi), 1), axis=0).tolist()))
+        rows = sorted(found)
+        return pa.table({"u": pa.array([u[w] for w, _, _ in rows], pa.binary()), "c": pa.array([table["c"][w].as_py() for w, _, _ in rows], pa.binary()), "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int64()), "i": pa.array([a for _, a, _ in rows], pa.int32()), "j": pa.array([b for _, _, b in rows], pa.int32()), "right": pa.array([a != b and int(fine[w]) == b for w, a, b in rows], pa.bool_())})
+
+    return near
 
 
 def _across(k: int, num: int, den: int):
@@ -176,10 +191,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     pair just at 0.8 shares no bucket with a chance of 0.672**32, about 3 in a million. In each bucket every
     set is compared with the bucket's least one: pairs whose sizes rule a link out, or whose signatures agree by
     less than six standard deviations under the threshold, go first; the others are confirmed on the full sets. Where
-    the links found leave a bucket in several components, all its members are compared across them, in blocks of
-    about block by block members, by products of their full sets' incidence matrices; only links that join two
-    components come out. So no pair in a bucket is lost, and rows stay in proportion to the members of
-    buckets. Sets are compared as 64-bit hashes.
+    the links found leave a bucket in several components, all its members are compared across them: by signatures
+    in blocks of 8 * block by 8 * block members, and those that have a plausible partner by products of their full sets'
+    incidence matrices, in blocks of about block by block; only links that join two components come out. So no pair in a
+    bucket is lost. A bucket of M members that stay apart takes M * M / (8 * block) rows of a signature; texts are
+    copied to blocks only where a partner is plausible. Sets are compared as 64-bit hashes.
 
     Rows with equal sets form one class before anything is compared, so that exact copies cost one row each.
     A null, empty or white text has no shingles, is linked with nothing and is its own component. Repeated rows
@@ -187,12 +203,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     null ids only has a null component_id and is kept. Columns besides doc_id and text are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("text_key", F.xxhash64("text"))
     sketched = written(
-        base.mapInArrow(_sketch(k, bands, band_rows), "doc_id long, set_key binary, n_shingles long, bands array<long>, signature binary"),
+        base.mapInArrow(_sketch(k, bands, band_rows), "doc_id long, text_key long, set_key binary, n_shingles long, bands array<long>, signature binary"),
         "near-dup-sketch",
     )
     full = sketched.where("n_shingles > 0")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("sign"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("sign"))
     classes = written(classes, "near-dup-classes")
     placed = classes.select(F.col("set_key").alias("u"), F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("u").alias("v"), F.count("*").alias("m")).where("m > 1").select("bucket", "v")
@@ -208,9 +225,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return sized.select("u", "v", "u_sign", "v_sign").mapInArrow(_plausible(m, least), "u binary, v binary")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        ids = classes.select(F.col("set_key").alias("u"), "id").join(wanted, "u", "left_semi")
-        texts = base.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("u", "text").mapInArrow(_keyed(k), "u binary, text string")
-        return written(texts.dropDuplicates(["u"]), "near-dup-texts")
+        """(u, text): one text of each wanted set, found by its doc_id and hash, so that a null or repeated doc_id brings no other."""
+        rows = classes.select(F.col("set_key").alias("u"), F.col("row.doc_id").alias("of_doc"), F.col("row.text_key").alias("of_text")).join(wanted, "u", "left_semi")
+        texts = base.join(rows, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))).select("u", "text")
+        return written(texts.groupBy("u").agg(F.first("text").alias("text")), "near-dup-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         texts = texts_of(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct())
@@ -224,29 +242,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
         return both.where(~F.coalesce("u_in", "u").eqNullSafe(F.coalesce("v_in", "v"))).select("u", "v")
 
+    def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+        """groups after further links: only the components that these join are gone through again."""
+        of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
+        between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")).distinct()
+        joined = written(components(written(between, "near-dup-between")), "near-dup-joined")
+        moved = groups.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        return written(moved.unionByName(joined.join(groups.select("node"), "node", "left_anti")), "near-dup-groups")
+
     tried = written(plausible(members.where("u <> v").select("u", "v").distinct()), "near-dup-pairs")
     # One comparison of each set first: most of the others are then within a component.
     nearest = tried.groupBy("u").agg(F.min("v").alias("v"))
     links = confirmed(nearest)
     grouped = written(components(links), "near-dup-groups")
     more = confirmed(written(apart(tried.join(nearest, ["u", "v"], "left_anti"), grouped), "near-dup-more"))
-    links = links.unionByName(more)
-    grouped = written(components(links), "near-dup-groups")
+    grouped = merged(grouped, more)
     labelled = members.select("bucket", "u").join(grouped.withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", F.coalesce("component", "u").alias("c"))
     labelled = written(labelled, "near-dup-labelled")
     split = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("m > 2 and lo <> hi").select("bucket")
     split = written(split, "near-dup-split")
-    rest = written(labelled.join(split, "bucket"), "near-dup-rest")
+    rest = written(labelled.join(split, "bucket").join(classes.select(F.col("set_key").alias("u"), "n", "sign"), "u"), "near-dup-rest")
     parts = written(rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "near-dup-parts")
-    rest = rest.join(parts, "bucket").join(texts_of(rest.select("u").distinct()), "u")
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
-    # Part i meets part j in the block (i, j), i <= j.
+    dealt = rest.join(parts, "bucket").withColumn("fine", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).withColumn("part", F.floor(F.col("fine") / 8).cast("int"))
+    # Part i meets part j in the block (i, j), i <= j: first by signatures, eight fine parts at a time; then, by full sets, what
+    # has a plausible partner, in the fine parts where that is. So texts go only where they may be linked.
     ends = lambda x: F.struct(F.least(F.col("part"), x).alias("i"), F.greatest(F.col("part"), x).alias("j"))
-    blocks = dealt.select("bucket", "u", "c", "text", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), ends)).alias("at"))
-    blocks = blocks.select("bucket", "at.i", "at.j", "u", "c", "text", ((F.col("at.i") != F.col("at.j")) & (F.col("part") == F.col("at.j"))).alias("right"))
+    met = dealt.select("bucket", "u", "c", "n", "sign", "fine", "part", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / 8).cast("int")), ends)).alias("at"))
+    met = met.select("bucket", "at.i", "at.j", "u", "c", "n", "sign", "fine", ((F.col("at.i") != F.col("at.j")) & (F.col("part") == F.col("at.j"))).alias("right"))
+    met = met.repartition("bucket", "i", "j")  # else all blocks of a bucket would stay in one task
+    meets = "u binary, c binary, bucket long, i int, j int, right boolean"
+    near = written(met.groupBy("bucket", "i", "j").applyInArrow(_near(m, least, num, den), meets).distinct(), "near-dup-near")
+    blocks = near.join(texts_of(near.select("u").distinct()), "u").select("bucket", "i", "j", "u", "c", "text", "right")
     blocks = blocks.repartition("bucket", "i", "j")  # else all blocks of a bucket would stay in one task
     across = written(blocks.groupBy("bucket", "i", "j").applyInArrow(_across(k, num, den), "u binary, v binary").distinct(), "near-dup-across")
-    grouped = written(components(links.unionByName(across)), "near-dup-groups")
+    grouped = merged(grouped, across)
 
     ids = classes.select("set_key", "id").join(grouped.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "id", F.coalesce("component", "set_key").alias("component"))
     ids = written(ids, "near-dup-ids")
