@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,60 @@ class Router:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def log_chances(self, x: np.ndarray) -> np.ndarray:
+        z = self.logits(x)
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+@dataclass
+class Tree:
+    """A router to coarse parts and, where there are many parts, one in each coarse part; each has width parts (1: no more).
+
+    Part = coarse part * width + part in it. A query's parts are looked for in its most probable coarse ones, wide of them.
+    """
+
+    top: Router
+    below: list[Router | None]
+    width: int = 1
+    wide: int = 64
+
+    @property
+    def parts(self) -> int:
+        return len(self.below) * self.width
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        coarse = self.top.logits(x).argmax(1)
+        out = coarse * self.width
+        for c in np.unique(coarse):
+            if self.below[c] is not None:
+                own = np.flatnonzero(coarse == c)
+                out[own] += self.below[c].logits(x[own]).argmax(1)
+        return out
+
+    def order(self, x: np.ndarray) -> list[np.ndarray]:
+        """The parts of each vector, most probable first."""
+        z = self.top.log_chances(x)
+        if self.width == 1:
+            return list(np.argsort(-z, 1, kind="stable"))
+        near = np.argsort(-z, 1, kind="stable")[:, : self.wide]
+        chances = np.empty((len(x), near.shape[1], self.width))
+        for c in np.unique(near):
+            row, place = np.nonzero(near == c)
+            own = np.full((len(row), self.width), -np.log(self.width)) if self.below[c] is None else self.below[c].log_chances(x[row])
+            chances[row, place] = z[row, c][:, None] + own
+        parts = (near[:, :, None] * self.width + np.arange(self.width)).reshape(len(x), -1)
+        return list(np.take_along_axis(parts, np.argsort(-chances.reshape(len(x), -1), 1, kind="stable"), 1))
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """(n, k): the k others with the largest inner products."""
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    return np.argpartition(-s, k - 1, 1)[:, :k]
+    out = np.empty((len(x), k), np.int64)
+    for i in range(0, len(x), 1024):
+        s = -(x[i : i + 1024] @ x.T)
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = np.inf
+        out[i : i + 1024] = np.argpartition(s, k - 1, 1)[:, :k]
+    return out
 
 
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float = 1.1, rounds: int = 20) -> np.ndarray:
@@ -115,19 +164,47 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def fit(vectors: DataFrame, rows_per_part: int = 2000, sample: int = 4096, most_parts: int = 128, k: int = 20) -> Router | None:
-    """A router; none for fewer vectors than two parts have.
+def train_part(x: np.ndarray, parts: int, k: int, **train_with) -> Router:
+    return train_router(x, balanced_parts(x, neighbour_graph(x, min(k, len(x) - 1)), parts), parts, **train_with)
+
+
+def _below(parts: int, k: int, sample: int):
+    def below(table: pa.Table) -> pa.Table:
+        """The router inside a coarse part, from a bounded sample of it."""
+        table = table.sort_by([("h", "ascending"), ("vec_id", "ascending")]).slice(0, sample)
+        router = train_part(_matrix(table["v"]), parts, k, hidden=32)
+        weights = [w.astype(np.float32) for w in (router.w1, router.b1, router.w2, router.b2)]
+        return pa.table({"coarse": table["coarse"].slice(0, 1), "router": pa.array([pickle.dumps((*weights, router.scale))], pa.binary())})
+
+    return below
+
+
+def fit(vectors: DataFrame, rows_per_part: int = 2000, least_parts: int = 8, most_coarse: int = 64, sample: int = 4096, k: int = 20) -> Tree | None:
+    """Routers to about a part for each rows_per_part vectors (vec_id, v), least_parts at least; none for under 32 vectors a part.
 
-    Learned on at most sample vectors, the first by a hash of vec_id, so that what comes to the driver is bounded.
+    Up to most_coarse parts are told apart by one router, learned from at most sample vectors, the first by a hash of
+    vec_id. Beyond, there are about as many coarse parts as parts in each, so that either number grows with the root of
+    the table: the coarse router learns from 32 vectors a part if that is more than sample, and the routers inside are
+    trained by tasks, each from at most sample vectors of its part. What comes to the driver: these samples, 128 bytes a
+    part of routers.
     """
     n = vectors.count()
-    parts = min(most_parts, n // rows_per_part)
-    if parts < 2:
+    parts = max(least_parts, n // rows_per_part)
+    if n < 32 * least_parts:
         return None
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    x = _matrix(rows["v"])
-    graph = neighbour_graph(x, min(k, len(x) - 1))
-    return train_router(x, balanced_parts(x, graph, parts), parts)
+    coarse = parts if parts <= most_coarse else max(most_coarse, math.ceil(parts**0.5))
+    rows = vectors.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(max(sample, 32 * coarse)).select("v").toArrow()
+    tree = Tree(train_part(_matrix(rows["v"]), coarse, k), [None] * coarse)
+    if parts <= most_coarse:
+        return tree
+    tree.width = math.ceil(parts / coarse)
+    placed = written(vectors.select("vec_id", "v").mapInArrow(_part_of(tree, 1), "vec_id long, v array<double>, part int"), "ann-coarse").withColumnRenamed("part", "coarse")
+    sizes = placed.groupBy("coarse").count()  # a row for each coarse part
+    few = placed.join(F.broadcast(sizes), "coarse").withColumn("h", F.xxhash64("vec_id", F.lit("below")))
+    few = few.where((F.col("count") >= 32 * tree.width) & (F.pmod("h", F.lit(1 << 20)) * F.col("count") < (1 << 20) * 1.2 * sample)).select("coarse", "h", "vec_id", "v")
+    for row in few.groupBy("coarse").applyInArrow(_below(tree.width, k, sample), "coarse int, router binary").collect():
+        tree.below[row["coarse"]] = Router(*pickle.loads(row["router"]))
+    return tree
 
 
 def _measure(ids: np.ndarray, q: np.ndarray, k: int):
@@ -145,39 +222,43 @@ def _measure(ids: np.ndarray, q: np.ndarray, k: int):
     return measure
 
 
-def probes_needed(placed: DataFrame, router: Router, k: int, target: float = 0.95, queries: int = 200) -> int:
+def probes_needed(placed: DataFrame, tree: Tree, k: int, target: float = 0.95, queries: int = 200) -> int:
     """The least number of most probable parts that hold target of the true k nearest of some queries, by brute force over all
     vectors; the queries are the first by a hash of vec_id."""
-    some = placed.orderBy(F.xxhash64("vec_id", F.lit("probe")), "vec_id").limit(queries).select("vec_id", "v").toArrow()
+    some = placed.select(F.xxhash64("vec_id", F.lit("probe")).alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(queries).toArrow()
     ids, q = some["vec_id"].to_numpy(), _matrix(some["v"])
     best = placed.select("vec_id", "v", "part").mapInArrow(_measure(ids, q, k), "query int, part int, score double")
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k).select("query", "part").toArrow()
-    z = router.logits(q)
-    rank = np.argsort(np.argsort(-z, 1, kind="stable"), 1)
-    place = rank[best["query"].to_numpy(), best["part"].to_numpy()]
-    found = np.cumsum(np.bincount(place, minlength=z.shape[1])) / len(place)
+    ranks = []
+    for order in tree.order(q):
+        ranks.append(np.full(tree.parts, tree.parts - 1))
+        ranks[-1][order] = np.arange(len(order))
+    place = np.array(ranks)[best["query"].to_numpy(), best["part"].to_numpy()]
+    found = np.cumsum(np.bincount(place, minlength=tree.parts)) / len(place)
     return int(np.searchsorted(found, target)) + 1
 
 
-def _part_of(router: Router | None):
+def _part_of(tree: Tree | None, width: int | None = None):
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = router.logits(_matrix(batch["v"])).argmax(1) if router and len(batch) else np.zeros(len(batch))
+            part = tree.part(_matrix(batch["v"])) // (width and tree.width or 1) if tree and len(batch) else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], [*batch.schema.names, "part"])
 
     return part_of
 
 
-def _route(router: Router | None, probes: int, sizes: dict[int, int], enough: int):
+def _route(tree: Tree | None, probes: int, sizes: dict[int, int], enough: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The most probable parts of each query, at least probes and so many that they hold enough vectors."""
+        """The most probable parts of each query, at least probes and so many that they hold enough vectors; and how many
+        vectors they hold."""
         for batch in batches:
-            z = router.logits(_matrix(batch["v"])) if router and len(batch) else np.zeros((len(batch), 1))
-            order = np.argsort(-z, 1, kind="stable")
-            have = np.cumsum(np.array([sizes.get(p, 0) for p in range(z.shape[1])])[order], 1)
-            n = np.minimum(np.maximum((have < enough).sum(1) + 1, probes), z.shape[1])
-            parts = pa.array([o[:m] for o, m in zip(order.astype(np.int32), n, strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, parts], [*batch.schema.names, "parts"])
+            lists, scanned = [], []
+            for order in tree.order(_matrix(batch["v"])) if tree and len(batch) else [np.zeros(1, np.int64)] * len(batch):
+                have = np.cumsum([sizes.get(int(p), 0) for p in order])
+                n = min(max(int((have < enough).sum()) + 1, probes), len(order))
+                lists.append(order[:n].astype(np.int32))
+                scanned.append(int(have[n - 1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(scanned, pa.int64())], [*batch.schema.names, "parts", "scanned"])
 
     return route
 
@@ -223,28 +304,35 @@ def _nearest(k: int):
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, block: int = 4096, **fit_with) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) found for each row where queries holds.
+    """(query_id, rank, vec_id, score, n_parts, n_scanned): the k nearest of vectors (vec_id, embedding) found for each row where
+    queries holds; n_parts and n_scanned: how many parts it asked, and how many vectors these hold.
 
     Nearness: the largest inner product, in double precision on the vectors as they are; ties go to the smaller vec_id.
     Rows with the query's own vec_id are not its candidates. Vectors that are null, empty or zero, or hold null or
-    non-finite components, or are not of the commonest length, take no part; nor do null vec_ids. Repeated rows are
-    candidates each. With fewer than k candidates all are returned; no rows give no rows. Other columns are not read.
-
-    Every vector belongs to the part that a small network finds most probable; it learned balanced parts of the
-    neighbour graph of a bounded sample. Queries go to their most probable parts, as many as hold 95 % of the true
-    neighbours of 200 measured queries. A part is searched in blocks
-    of about block vectors by block queries, dealt by hash, so that a part that copies have swollen takes more
-    tasks, not longer ones; each block gives one list of k a query, and these are merged.
+    non-finite components take no part; nor do null vec_ids. A query meets the vectors of its own length: those of the
+    commonest length by parts, others in one part for each length, whole. Repeated rows are candidates each. With fewer
+    than k candidates all are returned; no rows give no rows. Other columns are not read.
+
+    Every vector belongs to the part that small networks find most probable; they learned balanced parts of neighbour
+    graphs of bounded samples. Queries go to their most probable parts, as many as hold 95 % of the true
+    neighbours of 200 measured queries: few where vectors have clusters, most of them where they have none. A part is
+    searched in blocks of about block vectors by block queries, dealt by hash, so that a part that copies have swollen takes
+    more tasks, not longer ones; each block gives one list of k a query, and these are merged.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    lengths = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    base = base.where(F.size("v") == (lengths["n"] if lengths else 0))
-    router = fit(base, k=k, **fit_with)
-    placed = written(base.mapInArrow(_part_of(router), "vec_id long, v array<double>, asks boolean, part int"), "ann-vectors")
-    probes = probes_needed(placed, router, k) if router else 1
-    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most most_parts rows
-    asked = placed.where("asks").select(F.col("vec_id").alias("query_id"), "v").mapInArrow(_route(router, probes, sizes, 4 * k), "query_id long, v array<double>, parts array<int>")
-    asked = written(asked.withColumn("part", F.explode("parts")).drop("parts"), "ann-queries")
+    common = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    usual, rest = base.where(F.size("v") == (common["n"] if common else 0)), base.where(F.size("v") != (common["n"] if common else 0))
+    tree = fit(usual, k=k, **fit_with)
+    kind = "vec_id long, v array<double>, asks boolean, part int"
+    placed = usual.mapInArrow(_part_of(tree), kind).unionByName(rest.withColumn("part", -F.size("v")))
+    placed = written(placed, "ann-vectors")
+    probes = probes_needed(placed.where("part >= 0"), tree, k) if tree else 1
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # a row for each part
+    asks = placed.where("asks").select(F.col("vec_id").alias("query_id"), "v", "part")
+    asked = asks.where("part >= 0").drop("part").mapInArrow(_route(tree, probes, sizes, 4 * k), "query_id long, v array<double>, parts array<int>, scanned long")
+    others = F.broadcast(vectors.sparkSession.createDataFrame([(p, n) for p, n in sizes.items() if p < 0], "part int, scanned long"))
+    asked = asked.unionByName(asks.where("part < 0").join(others, "part").select("query_id", "v", F.array("part").alias("parts"), "scanned"))
+    asked = written(asked.select("query_id", "v", F.size("parts").alias("n_parts"), F.col("scanned").alias("n_scanned"), F.explode("parts").alias("part")), "ann-queries")
     asking = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
     grid = [(p, math.ceil(n / block), max(1, math.ceil(asking.get(p, 0) / block))) for p, n in sizes.items()]
     spark = vectors.sparkSession
@@ -255,5 +343,6 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, block:
     keys = ["part", "v_block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, near array<struct<away:double,vec_id:bigint>>")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    ranked = best.select("query_id", F.posexplode("near").alias("place", "x"))
-    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.away")).alias("score"))
+    work = asked.groupBy("query_id").agg(F.max("n_parts").alias("n_parts"), F.max("n_scanned").alias("n_scanned"))
+    ranked = best.join(work, "query_id").select("query_id", "n_parts", "n_scanned", F.posexplode("near").alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.away")).alias("score"), "n_parts", "n_scanned")

@@ -85,6 +85,22 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("with_", [{}, {"rows_per_part": 100, "most_coarse": 8}])
+def test_clusters_are_routed(spark, with_):
+    """Vectors in 24 clusters: nine tenths of the neighbours, from less than a third of the rows; also by two levels."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (24, 16))
+    x = centres[rng.integers(0, 24, 4000)] + rng.normal(0, 0.15, (4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, scanned = {}, {}
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, **with_).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        scanned[r["query_id"]] = r["n_scanned"]
+    hits = sum(len(got[q] & {i for i, _ in exact(np.arange(4000), x, q, 20)}) for q in range(0, 4000, 20))
+    assert len(got) == 200 and hits >= 0.9 * 200 * 20 and np.mean(list(scanned.values())) < 4000 / 3
+
+
 def test_neighbours_ties_and_odd_rows(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0], "s") for i in range(60)] + [(60, [3.0, 3.0], "s"), (61, None, "s"), (62, [0.0, 0.0], "s"), (63, [1.0, None], "s"), (64, [nan, 1.0], "s"), (65, [float("inf"), 1.0], "s"), (66, [1.0], "s"), (None, [5.0, 5.0], "s"), (67, [], "s")]
@@ -92,6 +108,10 @@ def test_neighbours_ties_and_odd_rows(spark):
     got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=5, block=16).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got[:5]] == [(0, 1, 60, 9.0), (0, 2, 1, 5.0), (0, 3, 2, 5.0), (0, 4, 3, 5.0), (0, 5, 4, 5.0)]
     assert {r["query_id"] for r in got} == {0, 20, 40, 60}
+    own = ann.nearest_neighbours(df, F.col("vec_id") == 66, k=5).collect()
+    assert own == []  # no other vector has its length
+    pair = df.union(spark.createDataFrame([(68, [2.0], "s"), (69, [3.0], "s")], df.schema))
+    assert [(r["vec_id"], r["score"]) for r in ann.nearest_neighbours(pair, F.col("vec_id") == 66, k=5).orderBy("rank").collect()] == [(69, 3.0), (68, 2.0)]
     few = ann.nearest_neighbours(df.where("vec_id < 3"), F.lit(True), k=20).collect()
     assert len(few) == 6
     assert ann.nearest_neighbours(df.where("false"), F.lit(True)).count() == 0
