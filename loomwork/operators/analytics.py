@@ -23,18 +23,36 @@ def gap_filled(df: DataFrame, day: str, counts: list[str]) -> DataFrame:
     return calendar.join(df, day, "left").select(day, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles of each group: a distributed aggregate, no group is sorted in one task's memory."""
-    return df.groupBy(*by).agg(*(F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in percents))
-
-
-def peak_concurrency(intervals: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """The most intervals open at once in each group; one that ends as another starts is still open."""
+def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int], buckets: int = 4096) -> DataFrame:
+    """Nearest-rank percentiles of each group, exact: equal values are counted first, a histogram finds the bucket that holds a
+    rank, and only that bucket's values are put in order. So no task orders a group; nulls and NaN take no part."""
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    spans = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    width = F.col("_hi") - F.col("_lo")
+    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(0)
+    placed = counts.join(spans, by).withColumn("_b", bucket)
+    order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*by, "_b", "_total").agg(F.sum("_n").alias("_m")).withColumn("_upto", F.sum("_m").over(order))
+    ranks = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.ceil(F.col("_total") * (p / 100)), F.lit(1)).alias("rank")) for p in percents))
+    wanted = sums.withColumn("_w", F.explode(ranks)).where((F.col("_upto") >= F.col("_w.rank")) & (F.col("_upto") - F.col("_m") < F.col("_w.rank")))
+    wanted = wanted.select(*by, "_b", "_w.p", (F.col("_w.rank") - F.col("_upto") + F.col("_m")).alias("_rest"))
+    inside = Window.partitionBy(*by, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.join(wanted, [*by, "_b"]).withColumn("_upto", F.sum("_n").over(inside)).where(F.col("_upto") >= F.col("_rest"))
+    return found.groupBy(*by).agg(*(F.min(F.when(F.col("p") == p, F.col("_v"))).alias(f"p{p}") for p in percents))
+
+
+def peak_concurrency(intervals: DataFrame, by: list[str], start: str, end: str, slice_width: int = 3_600_000) -> DataFrame:
+    """The most intervals open at once in each group; one that ends as another starts is still open.
+
+    Starts and ends are summed by slices of time first; running sums go over the slices' totals, then over the moments
+    inside each slice, so that a group is spread over as many tasks as it has slices."""
     ends = intervals.select(*by, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(intervals.select(*by, F.col(end).alias("t"), F.lit(-1).alias("d")))
-    # Equal moments are summed first, so that a group's window has a row for each moment and sign.
-    ends = ends.groupBy(*by, "t", "d").agg(F.sum("d").alias("n"))
-    order = Window.partitionBy(*by).orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
-    return ends.withColumn("open", F.sum("n").over(order)).groupBy(*by).agg(F.max("open").alias("peak"))
+    ends = ends.groupBy(*by, "t", "d").agg(F.sum("d").alias("n")).withColumn("slice", F.floor(F.col("t") / slice_width))
+    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ends.groupBy(*by, "slice").agg(F.sum("n").alias("n")).select(*by, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    order = Window.partitionBy(*by, "slice").orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
+    running = ends.withColumn("open", F.sum("n").over(order)).groupBy(*by, "slice").agg(F.max("open").alias("open"))
+    return running.join(totals, [*by, "slice"]).groupBy(*by).agg(F.max(F.col("before") + F.col("open")).alias("peak"))
 
 
 def sessions(events: DataFrame, by: list[str], ts: str, gap_s: int) -> DataFrame:

@@ -32,9 +32,11 @@ def bm25(docs: DataFrame, key: str, field: str, terms: list[str], k1: float = 1.
     """
     terms = list(dict.fromkeys(terms))
     words = docs.select(key, T.normalized_words(F.col(field)).alias("w"))
-    tf = words.select(key, F.size("w").alias("length"), *(F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = F.broadcast(tf.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))))
-    hit = tf.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(stats)
+    tf = words.select(key, F.size("w").alias("length"), F.array(*(F.size(F.filter("w", _equals(t))) for t in terms)).alias("tf"))
+    stats = F.broadcast(tf.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms)))))
+    # A generator, not a filter: a filter would be pushed below the counts, and every text tokenised again for each term.
+    row = F.struct("length", *(F.col("tf")[i].alias(f"tf{i}") for i in range(len(terms))))
+    hit = tf.select(key, F.inline(F.when(F.exists("tf", lambda n: n > 0), F.array(row)).otherwise(F.array().cast(f"array<struct<length:int,{','.join(f'tf{i}:int' for i in range(len(terms)))}>>")))).crossJoin(stats)
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
         n, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")

@@ -25,9 +25,9 @@ def exact_duplicates(table):
     return hygiene.exact_duplicates(table("documents"), [], F.col("text"), [F.col("doc_id")], "doc_id")
 
 
-@query(f"""WITH {_TRIGRAMS} SELECT source, trigram, count(*) AS n_docs FROM g GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(f"""WITH {_TRIGRAMS} SELECT source, trigram, count(*) AS n_docs FROM g GROUP BY 1, 2""")
 def trigram_df(table):
-    return hygiene.trigram_frequency(table("documents"), "source", "doc_id", "text").where("n_docs > 1")
+    return hygiene.trigram_frequency(table("documents"), "source", "doc_id", "text")
 
 
 @query(f"""WITH {_TRIGRAMS}, t AS (SELECT source, count(*) AS total FROM documents WHERE length(text) > 0 GROUP BY 1 HAVING count(*) >= 5)

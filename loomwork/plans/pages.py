@@ -48,13 +48,15 @@ def orphans(table):
     return p.join(P.link_edges(table("pages")).select("host", "href").distinct(), ["host", "href"], "left_anti").select("page_id", "host")
 
 
-@query(f"""WITH {_LINKS}, e AS (SELECT DISTINCT page_id AS a, CAST(hash_page AS BIGINT) AS b FROM (SELECT page_id, length(href) % 97 AS hash_page FROM l) WHERE page_id < 97),
+@query(f"""WITH {_LINKS}, p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages), e AS (SELECT DISTINCT l.page_id AS a, p.page_id AS b FROM l JOIN p ON p.host = l.host AND p.path = l.href WHERE l.page_id <> p.page_id),
 f AS (SELECT coalesce(x.a, y.b) AS a, coalesce(x.b, y.a) AS b, CASE WHEN x.a IS NOT NULL AND y.a IS NOT NULL THEN 'mutual' WHEN x.a IS NOT NULL THEN 'out' ELSE 'in' END AS relation FROM e x FULL JOIN e y ON x.a = y.b AND x.b = y.a)
-SELECT a AS page, relation, count(*) AS n FROM f GROUP BY 1, 2""")
+SELECT page_id AS page, coalesce(relation, 'none') AS relation, count(*) AS n FROM pages LEFT JOIN f ON a = page_id GROUP BY 1, 2""")
 def link_groups(table):
-    """Mutual, outgoing and incoming neighbours in a graph of pages derived from link lengths."""
-    e = P.link_edges(table("pages")).where("page_id < 97").select(F.col("page_id").alias("a"), (F.length("href") % 97).cast("long").alias("b")).distinct()
-    return P.link_groups(e, "a", "b").groupBy(F.col("a").alias("page"), "relation").agg(F.count("*").alias("n"))
+    """Mutual, outgoing and incoming neighbours of each page, by the links whose host and path are another page's; none: without any."""
+    targets = table("pages").select(F.col("page_id").alias("b"), U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("href"))
+    e = P.link_edges(table("pages")).withColumnRenamed("page_id", "a").join(targets, ["host", "href"]).where("a <> b").select("a", "b").distinct()
+    groups = P.link_groups(e, "a", "b").withColumnRenamed("a", "page")
+    return table("pages").select(F.col("page_id").alias("page")).join(groups, "page", "left").groupBy("page", F.coalesce("relation", F.lit("none")).alias("relation")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT {_HOST} AS host, count(*) AS n, count(*) FILTER (url LIKE 'https:%') AS secure, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1""")

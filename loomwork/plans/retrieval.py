@@ -67,15 +67,18 @@ def field_max_union(table):
 
 _FUSED = f"""WITH {_bm25_sql(TERMS)}, s AS (SELECT doc_id, round(score, 6) AS score FROM hits),
 a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 100),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 100),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY 1 - round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 9), doc_id) AS rank FROM documents JOIN embeddings ON doc_id = vec_id, q QUALIFY rank <= 100),
 f AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, string_agg(origin, ',' ORDER BY origin) AS origins
-      FROM (SELECT *, 'lexical' AS origin FROM a UNION ALL SELECT *, 'size' FROM b) GROUP BY 1)"""
+      FROM (SELECT *, 'lexical' AS origin FROM a UNION ALL SELECT *, 'vector' FROM b) GROUP BY 1)"""
 
 
 def _rankings(table):
     lexical = R.bm25(table("documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 6))
-    size = table("documents").select("doc_id", F.length("text").alias("n"))
-    return {"lexical": R.ranked(lexical, "doc_id", [F.desc("score"), F.col("doc_id")], 100), "size": R.ranked(size, "doc_id", [F.desc("n"), F.col("doc_id")], 100)}
+    # A document's vector has its id; documents without one are found by words alone.
+    vectors = table("documents").select("doc_id").join(table("embeddings"), F.col("doc_id") == F.col("vec_id")).crossJoin(F.broadcast(_query_vector(table)))
+    near = vectors.select("doc_id", F.round(R.cosine_distance(F.col("embedding"), F.col("q")), 9).alias("dist"))
+    return {"lexical": R.ranked(lexical, "doc_id", [F.desc("score"), F.col("doc_id")], 100), "vector": R.ranked(near, "doc_id", [F.col("dist"), F.col("doc_id")], 100)}
 
 
 @query(_FUSED + " SELECT doc_id, score, origins FROM f")
