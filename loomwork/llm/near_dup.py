@@ -92,16 +92,15 @@ def _plausible(m: int, least: float):
 
 def _near(m: int, least: float, num: int, den: int):
     def near(table: pa.Table) -> pa.Table:
-        """Of a block of a bucket: the members (u) that have a plausible partner of another component in the other fine part
-        or, in a block of one part with itself, in any; with the fine parts (i, j) where they are to meet."""
+        """Of a block of a bucket, outsiders (left) against members of a part (right): those with a plausible partner of
+        another component, with the fine part where they are to meet it. A member's own fine part is where it stays."""
         u, fine, size = table["u"].to_pylist(), table["fine"].to_numpy(), table["n"].to_numpy()
         sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(len(u), m)
         kind = np.unique(np.array(table["c"].to_pylist(), object), return_inverse=True)[1]
-        right = table["right"].to_numpy()
-        left = np.flatnonzero(~right) if right.any() else np.arange(len(u))
-        other = np.flatnonzero(right) if right.any() else np.arange(len(u))
+        right = table["right"].to_numpy(zero_copy_only=False)
+        left, other = np.flatnonzero(~right), np.flatnonzero(right)
         theirs = np.ascontiguousarray(sign[other].T)
-        found = set()
+        found = [np.zeros((0, 3), np.int64)]
         for i in range(0, len(left), 256):
             own = left[i : i + 256]
             agree = np.zeros((len(own), len(other)), np.uint16)
@@ -111,11 +110,12 @@ def _near(m: int, least: float, num: int, den: int):
             fits &= den * np.minimum(size[own][:, None], size[other][None]) >= num * np.maximum(size[own][:, None], size[other][None])
             x, y = np.nonzero(fits)
             x, y = own[x], other[y]
-            lo, hi = np.minimum(fine[x], fine[y]), np.maximum(fine[x], fine[y])
-            for who in (x, y):
-                found.update(map(tuple, np.unique(np.stack((who, lo, hi), 1), axis=0).tolist()))
-        rows = sorted(found)
-        return pa.table({"u": pa.array([u[w] for w, _, _ in rows], pa.binary()), "c": pa.array([table["c"][w].as_py() for w, _, _ in rows], pa.binary()), "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int64()), "i": pa.array([a for _, a, _ in rows], pa.int32()), "j": pa.array([b for _, _, b in rows], pa.int32()), "right": pa.array([a != b and int(fine[w]) == b for w, a, b in rows], pa.bool_())})
+            for who, side in ((x, 0), (y, 1)):
+                found.append(np.unique(np.stack((who, fine[y], np.full(len(who), side)), 1), axis=0))
+        rows = np.unique(np.concatenate(found), axis=0)
+        at = pa.array(rows[:, 0])
+        columns = [*(table[c].take(at).combine_chunks() for c in ("u", "c", "bucket")), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2] == 1)]
+        return pa.table(columns, ["u", "c", "bucket", "j", "right"])
 
     return near
 
@@ -123,8 +123,7 @@ def _near(m: int, least: float, num: int, den: int):
 def _across(k: int, num: int, den: int):
     def across(table: pa.Table) -> pa.Table:
         """Links between members of different components in a block of a bucket, found on full sets: one for each two
-        components that they join. Members of the left part meet those of the right one, or each other if there is one part.
-        """
+        components that they join. Outsiders (left) meet the members of a part (right)."""
         sets, sizes = [], []
         for _, offsets, data in text_blocks(table["text"], 1 << 19):
             n = len(offsets) - 1
@@ -144,11 +143,10 @@ def _across(k: int, num: int, den: int):
             has = np.zeros((len(size), len(used)), np.float32)
             has[row[part], column] = 1
             both += has @ has.T
-        u, c, right = table["u"].to_pylist(), table["c"].to_pylist(), table["right"].to_numpy()
+        u, c, right = table["u"].to_pylist(), table["c"].to_pylist(), table["right"].to_numpy(zero_copy_only=False)
         kind = np.unique(np.array(c, object), return_inverse=True)[1]
-        linked = (den * both >= num * (size[:, None] + size[None] - both)) & (kind[:, None] < kind[None])
-        if right.any():
-            linked &= right[:, None] != right[None]
+        linked = (den * both >= num * (size[:, None] + size[None] - both)) & (kind[:, None] != kind[None])
+        linked &= ~right[:, None] & right[None]
         x, y = np.nonzero(linked)
         first = np.unique(kind[x].astype(np.int64) * len(size) + kind[y], return_index=True)[1]
         return pa.table({"u": pa.array([u[i] for i in x[first]], pa.binary()), "v": pa.array([u[i] for i in y[first]], pa.binary())})
@@ -191,11 +189,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     pair just at 0.8 shares no bucket with a chance of 0.672**32, about 3 in a million. In each bucket every
     set is compared with the bucket's least one: pairs whose sizes rule a link out, or whose signatures agree by
     less than six standard deviations under the threshold, go first; the others are confirmed on the full sets. Where
-    the links found leave a bucket in several components, all its members are compared across them: by signatures
-    in blocks of 8 * block by 8 * block members, and those that have a plausible partner by products of their full sets'
-    incidence matrices, in blocks of about block by block; only links that join two components come out. So no pair in a
-    bucket is lost. A bucket of M members that stay apart takes M * M / (8 * block) rows of a signature; texts are
-    copied to blocks only where a partner is plausible. Sets are compared as 64-bit hashes.
+    the links found leave a bucket in several components, the members outside its largest one are compared with all: by
+    signatures in parts of 8 * block members, and those that have a plausible partner by products of their full sets'
+    incidence matrices, in parts of about block; only links that join two components come out. So no pair in a
+    bucket is lost. With M members and K outsiders that takes M + K * M / (8 * block) rows of a signature, and texts are
+    copied to the parts, of M / block, where a partner is plausible. Sets are compared as 64-bit hashes.
 
     Rows with equal sets form one class before anything is compared, so that exact copies cost one row each.
     A null, empty or white text has no shingles, is linked with nothing and is its own component. Repeated rows
@@ -263,18 +261,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     split = written(split, "near-dup-split")
     rest = written(labelled.join(split, "bucket").join(classes.select(F.col("set_key").alias("u"), "n", "sign"), "u"), "near-dup-rest")
     parts = written(rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "near-dup-parts")
-    dealt = rest.join(parts, "bucket").withColumn("fine", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).withColumn("part", F.floor(F.col("fine") / 8).cast("int"))
-    # Part i meets part j in the block (i, j), i <= j: first by signatures, eight fine parts at a time; then, by full sets, what
-    # has a plausible partner, in the fine parts where that is. So texts go only where they may be linked.
-    ends = lambda x: F.struct(F.least(F.col("part"), x).alias("i"), F.greatest(F.col("part"), x).alias("j"))
-    met = dealt.select("bucket", "u", "c", "n", "sign", "fine", "part", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / 8).cast("int")), ends)).alias("at"))
-    met = met.select("bucket", "at.i", "at.j", "u", "c", "n", "sign", "fine", ((F.col("at.i") != F.col("at.j")) & (F.col("part") == F.col("at.j"))).alias("right"))
-    met = met.repartition("bucket", "i", "j")  # else all blocks of a bucket would stay in one task
-    meets = "u binary, c binary, bucket long, i int, j int, right boolean"
-    near = written(met.groupBy("bucket", "i", "j").applyInArrow(_near(m, least, num, den), meets).distinct(), "near-dup-near")
-    blocks = near.join(texts_of(near.select("u").distinct()), "u").select("bucket", "i", "j", "u", "c", "text", "right")
-    blocks = blocks.repartition("bucket", "i", "j")  # else all blocks of a bucket would stay in one task
-    across = written(blocks.groupBy("bucket", "i", "j").applyInArrow(_across(k, num, den), "u binary, v binary").distinct(), "near-dup-across")
+    # A bucket's largest component needs no comparison inside: only the others, the outsiders, meet all members.
+    largest = rest.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("largest"))
+    dealt = rest.join(parts, "bucket").join(largest, "bucket")
+    dealt = dealt.withColumn("fine", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).withColumn("part", F.floor(F.col("fine") / 8).cast("int"))
+    # Members stay in their part and outsiders go to all: first by signatures, eight fine parts at a time; then, by full
+    # sets, to the fine parts where they have a plausible partner. So texts go only where they may be linked.
+    columns = ["bucket", "u", "c", "n", "sign", "fine"]
+    outside = dealt.where("c <> largest").select(*columns, F.lit(False).alias("right"), F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / 8).cast("int"))).alias("part"))
+    met = dealt.select(*columns, F.lit(True).alias("right"), "part").unionByName(outside)
+    met = met.repartition("bucket", "part")  # else all blocks of a bucket would stay in one task
+    near = met.groupBy("bucket", "part").applyInArrow(_near(m, least, num, den), "u binary, c binary, bucket long, j int, right boolean")
+    # A member's blocks are gathered, so that its text is joined once, and dealt with it afterwards.
+    near = written(near.groupBy("u", "c", "bucket").agg(F.collect_set(F.struct("j", "right")).alias("places")), "near-dup-near")
+    blocks = near.join(texts_of(near.select("u").distinct()), "u").select("bucket", "u", "c", "text", F.explode("places").alias("at")).select("bucket", "at.j", "u", "c", "text", "at.right")
+    blocks = blocks.repartition("bucket", "j")
+    across = written(blocks.groupBy("bucket", "j").applyInArrow(_across(k, num, den), "u binary, v binary").distinct(), "near-dup-across")
     grouped = merged(grouped, across)
 
     ids = classes.select("set_key", "id").join(grouped.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "id", F.coalesce("component", "set_key").alias("component"))
