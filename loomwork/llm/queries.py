@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .byte_cnn import classify_documents
 from .chat_trie import conversation_digests, prefix_tree
+from .exact_dedup import exact_duplicates
+from .fill_in_middle import fill_in_middle, restored
+from .importance import importance_resample
 from .lm_scoring import score_texts
 from .mixing import leaf_plan, mark, token_counts
 from .near_dup import near_duplicates
@@ -177,6 +180,86 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), SIZE, END)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS lines,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+d AS (
+  SELECT *, len(lines) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(lines) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(lines) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, array_to_string(lines[:least(a, b)], '') AS prefix, array_to_string(lines[least(a, b) + 1:greatest(a, b)], '') AS middle,
+         array_to_string(lines[greatest(a, b) + 1:], '') AS suffix
+  FROM d),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                 ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256
+FROM o
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The checksum runs over the bytes of each distinct feature; its table follows from the polynomial.
+OP13_SQL = """
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS crcs
+  FROM range(256) t(b)),
+texts AS (SELECT true AS raw, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+w AS (
+  SELECT raw, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM texts),
+one AS (SELECT raw, id, unnest(w) AS feature FROM w),
+two AS (SELECT raw, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM w),
+f AS (SELECT raw, id, feature, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL),
+spelled AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM f)),
+crc AS (
+  SELECT feature, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(feature))), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+    lambda c, byte: xor(c >> 8, crcs[(xor(c, byte) & 255) + 1]), 4294967295)) AS crc
+  FROM spelled, crc_table),
+b AS (SELECT raw, id, crc % 10000 AS bucket, n FROM f JOIN crc USING (feature)),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (raw), 0) AS s, coalesce(sum(n) FILTER (NOT raw), 0) AS t FROM b GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))::DOUBLE)) AS gain FROM c),
+x AS (SELECT id AS doc_id, sum(n) AS n, sum(n * gain) AS total FROM b JOIN g USING (bucket) WHERE raw GROUP BY 1),
+s AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(total / x.n), 0) AS BIGINT) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || w.id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM w LEFT JOIN x ON w.id = x.doc_id WHERE w.raw),
+r AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS k, count(*) FILTER (n_words >= 20) OVER () AS long_docs FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * long_docs // 100 THEN k END AS rank
+FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -188,6 +271,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_importance_resampling": OP13_SQL}
