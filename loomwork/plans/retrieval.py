@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from .registry import query
+from .search import document_index
 
 TERMS = ["the", "ofthe", "tion", "der", "les"]
 
@@ -29,7 +30,8 @@ def bm25_scores(table):
 
 @query(f"WITH {_bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
 def bm25_search(table):
-    return R.bm25(table("documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(10)
+    """The ten best documents, from the written index: only the terms' postings are read, and of these only blocks that may hold one."""
+    return document_index(table).search(TERMS, 10).select(F.col("doc").alias("doc_id"), "score")
 
 
 _KNN = """q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
@@ -74,7 +76,7 @@ f AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, string_agg(origi
 
 
 def _rankings(table):
-    lexical = R.bm25(table("documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 6))
+    lexical = document_index(table).search(TERMS, 100).withColumnRenamed("doc", "doc_id")
     # A document's vector has its id; documents without one are found by words alone.
     vectors = table("documents").select("doc_id").join(table("embeddings"), F.col("doc_id") == F.col("vec_id")).crossJoin(F.broadcast(_query_vector(table)))
     near = vectors.select("doc_id", F.round(R.cosine_distance(F.col("embedding"), F.col("q")), 9).alias("dist"))
