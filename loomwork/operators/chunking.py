@@ -65,10 +65,26 @@ def blocks(text: str) -> Iterator[tuple[str, str, str]]:
     yield from flush()
 
 
+def within(words: list[str], tokens: Callable[[str], int], most_tokens: int, most_chars: int) -> Iterator[str]:
+    """words, those over a cap cut into the longest parts that are within both."""
+    for word in words:
+        while len(word) > most_chars or tokens(word) > most_tokens:
+            # The longest fitting start, as tokens grow with length; one character at least.
+            low, high = 1, min(len(word) - 1, most_chars)
+            while low < high:
+                half = (low + high + 1) // 2
+                low, high = (half, high) if tokens(word[:half]) <= most_tokens else (low, half - 1)
+            if len(word) == 1:
+                break
+            yield word[:low]
+            word = word[low:]
+        yield word
+
+
 def chunks_of(text: str, tokens: Callable[[str], int], most_tokens: int, most_chars: int, overlap: int, structured: bool) -> Iterator[tuple]:
     n = 0
     for kind, header, body in blocks(text) if structured else [("text", "", text)]:
-        words = body.split()
+        words = list(within(body.split(), tokens, most_tokens, most_chars))
         sizes = [tokens(w) for w in words]
         if structured and kind == "text" and len(words) > 24:
             yield n, "section_summary" if header else "summary", 0, min(120, len(words)), header, sum(sizes[:120]), " ".join(words[:120])
@@ -104,7 +120,8 @@ def one_token(word: str) -> int:
 
 
 def window_chunks(df: DataFrame, key: str, text: str, tokens: Callable[[str], int] = one_token, most_tokens: int = 3500, most_chars: int = 12_000, overlap: int = 400) -> DataFrame:
-    """(key, chunk, kind, start, end, header, n_tokens, text): windows over a whole text; start and end count words. tokens: of a word."""
+    """(key, chunk, kind, start, end, header, n_tokens, text): windows over a whole text; start and end count words. tokens: of a word.
+    A word over a cap counts as several: the longest parts that fit."""
     return _chunk(df, key, text, tokens, False, most_tokens, most_chars, overlap)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..functions import text as T
-from ..operators import chunking, hygiene
+from ..operators import chunking, hygiene, splitting
 from .registry import query
 
 _WORDS = "regexp_extract_all(lower(text), '[a-zа-яё0-9]+')"
@@ -153,3 +153,39 @@ def contamination(table):
     """Benchmark items with which a document shares a run of 13 words, and how many runs."""
     runs = lambda t, key: t.select(key, F.explode(F.array_distinct(T.windows(T.normalized_words(F.col("text")), 13, " "))).alias("g"))
     return runs(table("documents"), "doc_id").join(runs(table("benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+
+
+SPLIT = 900
+_SPLIT = rf"""b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM b),
+para AS (SELECT doc_id, k AS pk, regexp_replace(p[k], '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, CASE WHEN length(t) <= {SPLIT} THEN [t] ELSE regexp_split_to_array(t, '\n\s*\n') END AS p FROM w)) WHERE p[k] <> ''),
+sent AS (SELECT doc_id, pk, k AS sk, s[k] AS s, length(s[k]) AS n FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, pk, CASE WHEN length(t) <= {SPLIT} THEN [t] ELSE list_filter(regexp_split_to_array(regexp_replace(t, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') END AS s FROM para))),
+pack AS (WITH RECURSIVE r AS (
+  SELECT doc_id, pk, sk, n, 1 AS part, n AS size FROM sent WHERE sk = 1 UNION ALL
+  SELECT s.doc_id, s.pk, s.sk, s.n, r.part + CASE WHEN r.n > {SPLIT} OR r.size + 1 + s.n > {SPLIT} THEN 1 ELSE 0 END, CASE WHEN r.n > {SPLIT} OR r.size + 1 + s.n > {SPLIT} THEN s.n ELSE r.size + 1 + s.n END
+  FROM r JOIN sent s ON s.doc_id = r.doc_id AND s.pk = r.pk AND s.sk = r.sk + 1) SELECT * FROM r),
+hard AS (WITH RECURSIVE r AS (
+  SELECT doc_id, pk, sk, 0 AS hk, '' AS piece, s AS rest FROM sent WHERE n > {SPLIT} UNION ALL
+  SELECT doc_id, pk, sk, hk + 1, regexp_replace(rest[:c], '\s+$', ''), regexp_replace(rest[c + 1:], '^\s+', '') FROM (
+    SELECT *, CASE WHEN length(rest) <= {SPLIT} THEN length(rest) WHEN contains(rest[2:{SPLIT}], ' ') THEN {SPLIT} - instr(reverse(rest[:{SPLIT}]), ' ') ELSE {SPLIT} END AS c FROM r WHERE rest <> '')) SELECT * FROM r WHERE hk > 0),
+parts AS (SELECT doc_id, pk, min(sk) AS sk, 0 AS hk, string_agg(s, ' ' ORDER BY sk) AS body FROM pack JOIN sent USING (doc_id, pk, sk, n) WHERE n <= {SPLIT} GROUP BY doc_id, pk, part UNION ALL SELECT doc_id, pk, sk, hk, piece FROM hard)"""
+
+
+@query(rf"WITH {_SPLIT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pk, sk, hk) - 1 AS part, length(body) AS n_chars, sha256(body) AS body_sha256 FROM parts")
+def split_blocks(table):
+    """Parts of at most 900 characters of every text: paragraphs, else runs of sentences, else words."""
+    parts = splitting.split_blocks(table("documents"), "doc_id", "text", SPLIT)
+    return parts.select("doc_id", F.col("part").cast("long").alias("part"), F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_shipdate::DATE || ' |' || CASE WHEN l_returnflag = 'R' THEN ' came back' ELSE '' END AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+n AS (SELECT *, len(string_split(line, ' ')) AS n FROM l), r AS (
+  SELECT l_orderkey, k, line, 0 AS part, n AS used FROM n WHERE k = 1 UNION ALL
+  SELECT n.l_orderkey, n.k, n.line, r.part + CASE WHEN r.used + n.n > 16 THEN 1 ELSE 0 END, CASE WHEN r.used + n.n > 16 THEN n.n ELSE r.used + n.n END FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.k = r.k + 1)
+SELECT l_orderkey AS order_key, CAST(part AS BIGINT) AS part, min(k) - 1 AS first_row, count(*) AS n_rows, sha256('| line | part | shipped |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY k)) AS body_sha256 FROM r GROUP BY 1, 2""")
+def split_tables(table):
+    """Every order as a table in markdown (an order has few lines), its rows dealt to parts of 30 tokens that repeat the header."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "l_linenumber", "l_partkey", F.to_date("l_shipdate")), F.lit(" |"), F.when(F.col("l_returnflag") == "R", " came back").otherwise(""))
+    lines = table("lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("line")))).alias("rows"))
+    text = F.array_join(F.concat(F.array(F.lit("| line | part | shipped |"), F.lit("| --- | --- | --- |")), F.col("rows.line")), "\n")
+    parts = splitting.split_tables(lines.select("order_key", text.alias("text")), "order_key", "text", 30)
+    return parts.select("order_key", *(F.col(c).cast("long").alias(c) for c in ("part", "first_row", "n_rows")), F.sha2("body", 256).alias("body_sha256"))
