@@ -1,4 +1,4 @@
 """All queries of the library by name, and their SQL."""
 
-from . import activity, corpus, crawl, pages, policies, retrieval, search, supply, tables  # noqa: F401
+from . import activity, corpus, crawl, pages, policies, retrieval, search, supply, tables, visits  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

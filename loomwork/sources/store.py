@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,10 @@ def version(table: DataFrame) -> str:
     files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     row = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
     return f"{row['n']}-{int(row['h'] or 0) & (1 << 64) - 1:016x}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
