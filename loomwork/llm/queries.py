@@ -143,35 +143,32 @@ FROM keyed
 URL_RULES = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
 
 
-def symbol_hosts(pages: DataFrame) -> DataFrame:
-    """(host): those of whose pages more than an eighth have a title with three symbols in a row."""
-    title = F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), "<title>([^<]*)</title>", 1)
-    shares = pages.groupBy(host_of(F.col("url").cast("string")).alias("host")).agg(F.avg(title.rlike("[#*$%]{3}").cast("int")).alias("share"))
-    return shares.where("host <> '' and share > 0.125").select("host")
+def thin_urls(pages: DataFrame) -> DataFrame:
+    """(url): those of pages with three symbols in a row, or with at most two paragraphs; a share of them that does not fade with their number."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.where(html.rlike("[#*$%]{3}") | (F.regexp_count(html, F.lit("<p>")) <= 2)).select("url")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter(pages, URL_RULES, symbol_hosts(pages))
+    return url_filter(pages, URL_RULES, thin_urls(pages), by="url")
 
 
 OP9_SQL = """
 WITH p AS (
-  SELECT page_id, html,
+  SELECT page_id, url,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-b AS (
-  SELECT host FROM p WHERE host <> '' GROUP BY host
-  HAVING avg(CAST(regexp_matches(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1), '[#*$%]{3}') AS INT)) > 0.125),
+b AS (SELECT url FROM pages WHERE (regexp_matches(coalesce(html, ''), '[#*$%]{3}') OR len(regexp_extract_all(coalesce(html, ''), '<p>')) <= 2) AND url IS NOT NULL),
 r(rule_host, rule_path, rule_verdict) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (
-  SELECT p.page_id, p.host, p.path, r.rule_host || r.rule_path AS rule, r.rule_verdict,
-         row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) AS k
+  SELECT p.page_id, p.url, p.host, p.path, r.rule_host || r.rule_path AS rule, r.rule_verdict,
+         row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) AS k
   FROM p LEFT JOIN r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
 SELECT page_id, host, path, rule,
-       coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(rule_verdict, CASE WHEN url IN (SELECT url FROM b) THEN 'block' ELSE 'allow' END) AS verdict
 FROM m WHERE k = 1
 """
 

@@ -63,7 +63,7 @@ def _passes(h1: Column, h2: Column, level: tuple, hashes: int) -> Column:
 
 def _level(keys: DataFrame, n: int, seed: int, hashes: int, bits_per_key: float) -> tuple[np.ndarray, int]:
     """A Bloom filter of keys (h1, h2): bitmaps of 4 KB are built by Spark, pre-aggregated in each task."""
-    size = _BUCKET * max(1, math.ceil(n * bits_per_key / _BUCKET))
+    size = max(64, math.ceil(n * bits_per_key))
     places = keys.select(F.explode(F.transform(_places(F.col("h1"), F.col("h2"), seed, hashes, size), lambda p: p + 1)).alias("p"))
     maps = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
     bitmap = np.zeros((size + _BUCKET) // 8 + 1, np.uint8)
@@ -74,7 +74,7 @@ def _level(keys: DataFrame, n: int, seed: int, hashes: int, bits_per_key: float)
     return bitmap, size
 
 
-def build_cascade(keys: DataFrame, bits_per_key: float = 10.0, hashes: int = 4, most_bytes: int = 64 << 20, most_levels: int = 60) -> list[Cascade]:
+def build_cascade(keys: DataFrame, bits_per_key: float = 6.0, hashes: int = 3, most_bytes: int = 64 << 20, most_levels: int = 60) -> list[Cascade]:
     """Filter cascades for keys (key, listed), the whole universe of keys that will ever be asked for.
 
     Level 1 holds the listed keys; level 2 the other keys that pass level 1; level 3 the listed keys that pass
@@ -108,7 +108,7 @@ def build_cascade(keys: DataFrame, bits_per_key: float = 10.0, hashes: int = 4,
     return out
 
 
-def listed(df: DataFrame, key: str, cascades: list[Cascade], hashes: int = 4, name: str = "listed") -> DataFrame:
+def listed(df: DataFrame, key: str, cascades: list[Cascade], hashes: int = 3, name: str = "listed") -> DataFrame:
     """df with name: is its key (of the cascades' universe) listed? Without a join; a null key is not listed."""
     h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.lit("second"), F.col(key))
     parts = []
@@ -144,17 +144,23 @@ def longest_rule(rules: list[UrlRule], host: Column, path: Column) -> tuple[Colu
     return rule, verdict
 
 
-def url_filter(pages: DataFrame, rules: list[UrlRule], block_list: DataFrame) -> DataFrame:
+def universe(pages: DataFrame, block_list: DataFrame, by: str) -> DataFrame:
+    """(key, listed) of every host or url (by) that pages or block_list have."""
+    keys = host_of(F.col("url").cast("string")) if by == "host" else F.col(by).cast("string")
+    return pages.select(keys.alias("key"), F.lit(False).alias("listed")).unionByName(block_list.select(F.col(by).cast("string").alias("key"), F.lit(True).alias("listed")))
+
+
+def url_filter(pages: DataFrame, rules: list[UrlRule], block_list: DataFrame, by: str = "host") -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of pages (page_id, url).
 
-    verdict: allow or block, that of the longest rule that fits, else block if the host is in block_list (host), else
-    allow. The list is asked through a filter cascade over all hosts of pages. A null url, or one without
-    ://, has an empty host and path; so has an empty url. Repeated rows and null page_ids are rows like others;
-    an empty list blocks nothing; null hosts in it and its other columns are not read, nor are those of pages.
+    verdict: allow or block, that of the longest rule that fits, else block if the host (by host) or the whole url (by url) is in
+    block_list, which has a column of that name, else allow. The list is asked through a filter cascade over all hosts or urls of
+    pages. A null url, or one without ://, has an empty host and path; so has an empty url. A null url is in no list of urls.
+    Repeated rows and null page_ids are rows like others; an empty list blocks nothing; nulls in it and its other columns are not
+    read, nor are those of pages.
     """
     asked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    asked = asked.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    universe = asked.select(F.col("host").alias("key"), F.lit(False).alias("listed")).unionByName(block_list.select(F.col("host").alias("key"), F.lit(True).alias("listed")))
-    judged = listed(asked, "host", build_cascade(universe))
+    asked = asked.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = listed(asked, by, build_cascade(universe(pages, block_list, by)))
     rule, verdict = longest_rule(rules, F.col("host"), F.col("path"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

@@ -148,6 +148,26 @@ def test_url_rules(spark, url, host, path, rule, verdict):
     assert len(rows) == 3 and {(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows} == {(host, path, rule, verdict)}
 
 
+@pytest.mark.parametrize("sf, levels", [("sf0.01", 2), ("sf0.1", 3)])
+def test_the_query_s_cascade_decides_rows(spark, sf, levels):
+    """The list of the registered query is not empty, takes several levels, and blocks pages that no rule fits."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    keys = url_filter.universe(pages, queries.thin_urls(pages), "url")
+    assert keys.where("listed").count() >= 0.05 * pages.count()
+    assert len(url_filter.build_cascade(keys)[0].levels) >= levels
+    rows = queries.op9_url_filter(spark, f"/root/testdata/{sf}")
+    assert rows.where("rule is null and verdict = 'block'").count() >= 0.02 * pages.count() and rows.where("rule is null and verdict = 'allow'").count() > 0
+
+
+@pytest.mark.parametrize("by", ["host", "url"])
+def test_url_lists_of_odd_rows(spark, by):
+    urls = [None, "", "no scheme", "http://a.test/x", "http://a.test/x", "http://A.test/y", "http://b.test/" + "z" * 100_000, "http://b.test/"]
+    pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(urls)], "page_id long, url string, host string, key string")
+    block = [("a.test", "http://a.test/x"), (None, None), ("b.test", "http://b.test/" + "z" * 100_000), ("unseen", "http://unseen/"), ("a.test", "http://a.test/x")]
+    got = [r["verdict"] for r in url_filter.url_filter(pages, [], spark.createDataFrame(block, "host string, url string"), by).orderBy("page_id").collect()]
+    assert got == (["allow"] * 3 + ["block"] * 5 if by == "host" else ["allow"] * 3 + ["block", "block", "allow", "block", "allow"])
+
+
 def test_url_filter_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.url_filter(pages, queries.URL_RULES, spark.createDataFrame([], "host string")).count() == 0
