@@ -45,23 +45,65 @@ def without_boilerplate(docs: DataFrame, frequent: DataFrame, source: str, key:
     return counts.select(source, key, "block", (~frequent_block).alias("kept"))
 
 
-def similar_by_lines(docs: DataFrame, key: str, text: str, least: float, most_sharing: int) -> DataFrame:
-    """(left, right, similarity): pairs whose sets of line shingles have a Jaccard similarity of at least least.
-
-    Equal sets count as one class, known by its least key, before pairs are made. Of each class only the rarest shingles
-    meet others: sets with Jaccard >= t share one of the first (1 - t) * n + 1 in any common order, so with the
-    rarest first few classes meet. most_sharing only sorts shingles: those in more classes come last.
+def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class, s) of each document with a line: class is the least key of those with the same set of line shingles; s the set, as 64-bit hashes in order."""
+    sets = docs.select(key, T.content_shingles(F.col(text)).alias("_s")).where(F.size("_s") > 0)
+    sets = sets.select(key, F.array_sort(F.array_distinct(F.transform("_s", lambda x: F.xxhash64(x)))).alias("s"))
+    digest = F.sha2(F.array_join(F.transform("s", lambda h: h.cast("string")), ","), 256)
+    sets = sets.withColumn("_c", digest)
+    return sets.join(sets.groupBy("_c").agg(F.min(key).alias("class")), "_c").select(key, "class", "s")
+
+
+def similar_by_lines(docs: DataFrame, key: str, text: str, least: float, block: int = 512) -> DataFrame:
+    """(left, right, similarity): pairs of classes (line_classes) whose sets have a Jaccard similarity of at least least, left < right.
+
+    Copies count as one class before pairs are made; line_classes says which documents it stands for. Sets with Jaccard >= t share
+    one of the first n - ceil(t * n) + 1 in any common order, so each class puts forward that many of its shingles, the rarest
+    first. What puts a shingle forward is grouped by size of set, and two groups meet only if their sizes and the shingle's
+    places in them leave room for the overlap that t asks for. Groups meet in blocks, each pair of blocks by itself: no shingle,
+    however frequent, makes one task large, and what cannot be similar is not paired.
     """
-    sets = docs.select(key, F.array_sort(T.content_shingles(F.col(text))).alias("s")).where(F.size("s") > 0)
-    classes = sets.withColumn("c", F.sha2(F.array_join("s", "\x1f"), 256)).groupBy("c").agg(F.min(key).alias(key), F.first("s").alias("s"))
-    flat = classes.select("c", F.explode("s").alias("g"))
+    classes = line_classes(docs, key, text).groupBy("class").agg(F.first("s").alias("s"))
+    flat = classes.select("class", F.explode("s").alias("g"))
     rarity = flat.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = flat.join(rarity, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct(F.least("df", F.lit(most_sharing)).alias("df"), "g"))).alias("r"))
-    prefix = ranked.select("c", F.size("r").alias("n"), F.explode(F.slice("r", F.lit(1), F.size("r") - F.ceil(F.size("r") * least).cast("int") + 1)).alias("x")).where("x.df > 1").select("c", "n", "x.g")
-    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") < F.col("b.c")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))).select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
-    full = pairs.join(classes.select(F.col("c").alias("ca"), F.col(key).alias("ka"), F.col("s").alias("sa")), "ca").join(classes.select(F.col("c").alias("cb"), F.col(key).alias("kb"), F.col("s").alias("sb")), "cb")
-    scored = full.withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least)
-    return scored.select(F.least("ka", "kb").alias("left"), F.greatest("ka", "kb").alias("right"), "similarity")
+    # Shingles of one class alone are kept: they count for the places of the others.
+    ordered = flat.join(rarity, "g").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r")).withColumn("n", F.size("r"))
+    prefix = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)
+    put = ordered.select("class", "n", F.posexplode(prefix).alias("place", "x")).where("x.df > 1").select("class", "n", (F.col("n") - F.col("place")).alias("left"), F.col("x.g").alias("g"))
+
+    groups = put.groupBy("g", "n").agg(F.count("*").alias("m"), F.max("left").alias("left"))
+    needed = lambda a, b: F.ceil((F.col(a) + F.col(b)) * (least / (1 + least)) - 1e-9)
+    a, b = (groups.select("g", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "m", "left"))) for side in "ab")
+    met = a.join(b, "g").where((F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= least * F.col("n_b")) & (needed("n_a", "n_b") <= F.least("left_a", "left_b")))
+    met = met.where((F.col("n_a") < F.col("n_b")) | (F.col("m_a") > 1))
+    blocks = lambda m: F.sequence(F.lit(0), F.ceil(F.col(m) / block).cast("int") - 1)
+    units = met.select("g", "n_a", "m_a", "n_b", "m_b", F.explode(blocks("m_a")).alias("x")).select("*", F.explode(blocks("m_b")).alias("y")).where((F.col("n_a") < F.col("n_b")) | (F.col("x") <= F.col("y")))
+
+    # Only groups of several blocks are looked up, by salts, so that their members are spread; others are block 0.
+    salts = 32
+    large = groups.where(F.col("m") > block).select("g", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    put = put.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "class"), F.lit(salts)).cast("int")).join(large, ["g", "n", "salt"], "left")
+    put = put.withColumn("block", F.coalesce(F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / block)), F.lit(0)).cast("int"))
+
+    def dealt(side: str, number: str) -> DataFrame:
+        """Members of one side of each unit; a class's block follows from its hash, so blocks have about block members."""
+        own = put.select("g", F.col("n").alias(f"n_{side}"), F.col("block").alias(number), F.col("class").alias(f"class_{side}"), F.col("left").alias(f"left_{side}"))
+        return units.select("g", "n_a", "n_b", "x", "y").join(own, ["g", f"n_{side}", number])
+
+    pairs = dealt("a", "x").join(dealt("b", "y"), ["g", "n_a", "n_b", "x", "y"])
+    same = (F.col("n_a") == F.col("n_b")) & (F.col("x") == F.col("y"))
+    pairs = pairs.where((F.col("class_a") != F.col("class_b")) & (~same | (F.col("class_a") < F.col("class_b"))) & (needed("n_a", "n_b") <= F.least("left_a", "left_b"))).select(F.least("class_a", "class_b").alias("left"), F.greatest("class_a", "class_b").alias("right")).distinct()
+    full = pairs.join(classes.select(F.col("class").alias("left"), F.col("s").alias("_a")), "left").join(classes.select(F.col("class").alias("right"), F.col("s").alias("_b")), "right")
+    return full.withColumn("similarity", T.jaccard(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= least).select("left", "right", "similarity")
+
+
+def near_duplicate_members(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(key, class, n_members, n_links) of each document with a line: the documents of its class, itself included, and the other classes that are like it."""
+    members = line_classes(docs, key, text).select(key, "class")
+    pairs = similar_by_lines(docs, key, text, least)
+    links = pairs.select(F.col("left").alias("class")).unionByName(pairs.select(F.col("right").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    about = members.groupBy("class").agg(F.count("*").alias("n_members")).join(links, "class", "left")
+    return members.join(about, "class").select(key, "class", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def chunk_duplicates(chunks: DataFrame, by: list[str], order: list[str], text: str) -> DataFrame:

@@ -59,7 +59,23 @@ c AS (SELECT min(doc_id) AS doc_id, s FROM s WHERE len(s) > 0 GROUP BY s)"""
 FROM c a JOIN c b ON a.doc_id < b.doc_id WHERE list_has_any(a.s, b.s) AND len(list_intersect(a.s, b.s)) >= 0.5 * len(list_distinct(list_concat(a.s, b.s)))""")
 def near_duplicates(table):
     """Pairs of different documents (least ids of equal ones) that share half of their line shingles."""
-    return hygiene.similar_by_lines(table("documents"), "doc_id", "text", 0.5, 1000).withColumn("similarity", F.round("similarity", 6))
+    return hygiene.similar_by_lines(table("documents"), "doc_id", "text", 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
+_PAIRS = f"""{_SETS}, pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS similarity FROM c a JOIN c b ON a.doc_id < b.doc_id WHERE list_has_any(a.s, b.s))"""
+
+
+@query(f"WITH {_PAIRS} SELECT a AS \"left\", b AS \"right\", round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.9")
+def near_duplicates_strict(table):
+    """The same for pairs that count as unchanged: nine tenths in common."""
+    return hygiene.similar_by_lines(table("documents"), "doc_id", "text", 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT d, count(*) AS n FROM (SELECT a AS d FROM pairs WHERE similarity >= 0.1 UNION ALL SELECT b FROM pairs WHERE similarity >= 0.1) GROUP BY 1)
+SELECT s.doc_id, c.doc_id AS class, count(*) OVER (PARTITION BY c.doc_id) AS n_members, coalesce(n.n, 0) AS n_links FROM s JOIN c USING (s) LEFT JOIN n ON n.d = c.doc_id""")
+def near_duplicate_members(table):
+    """Every document with its class of equal sets, and how many other classes share a tenth of their shingles with it."""
+    return hygiene.near_duplicate_members(table("documents"), "doc_id", "text", 0.1)
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
