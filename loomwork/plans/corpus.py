@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..functions import text as T
-from ..operators import chunking, hygiene, splitting
+from ..operators import chunking, hygiene, personal, splitting
 from .registry import query
 
 _WORDS = "regexp_extract_all(lower(text), '[a-zа-яё0-9]+')"
@@ -205,3 +205,27 @@ def split_tables(table):
     text = F.array_join(F.concat(F.array(F.lit("| line | part | shipped |"), F.lit("| --- | --- | --- |")), F.col("rows.line")), "\n")
     parts = splitting.split_tables(lines.select("order_key", text.alias("text")), "order_key", "text", 30)
     return parts.select("order_key", *(F.col(c).cast("long").alias(c) for c in ("part", "first_row", "n_rows")), F.sha2("body", 256).alias("body_sha256"))
+
+
+def _digit_sql(weights: list[int]) -> str:
+    return "(" + " + ".join(f"CAST(x[{i}] AS INT) * {w}" for i, w in enumerate(weights, 1)) + ") % 11 % 10"
+
+
+_RIGHT = {
+    "inn_ru": f"lambda x: CASE WHEN length(x) = 10 THEN CAST(x[10] AS INT) = {_digit_sql(personal.INN_10)} ELSE CAST(x[11] AS INT) = {_digit_sql(personal.INN_11)} AND CAST(x[12] AS INT) = {_digit_sql(personal.INN_12)} END",
+    "snils_ru": "lambda x: CAST(x[10:11] AS INT) = (" + " + ".join(f"CAST(x[{i}] AS INT) * {10 - i}" for i in range(1, 10)) + ") % 101 % 100",
+}
+_FOUND = {k: f"regexp_extract_all(coalesce(text, ''), '{p}')" for k, p in personal.KINDS.items()}
+_FOUND = {k: f"list_filter(list_transform({f}, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), {_RIGHT[k]})" if k in _RIGHT else f for k, f in _FOUND.items()}
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + event_id, 'ИНН ' || CAST(7700000000 + event_id AS VARCHAR) || ', СНИЛС 112-233-' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ' ' || lpad(CAST(event_id % 97 AS VARCHAR), 2, '0') FROM events),
+n AS (SELECT doc_id, {", ".join(f"len({f}) AS {k}" for k, f in _FOUND.items())} FROM d)
+SELECT *, CASE WHEN {" + ".join(k for k in personal.KINDS if k.endswith("_ru"))} > 0 THEN 'block' WHEN email > 0 THEN 'mask' ELSE 'pass' END AS verdict FROM n""")
+def personal_data(table):
+    """How many finds of each kind every document has, and every event as a text of two numbers, most of which have wrong check digits."""
+    numbers = F.concat(F.lit("ИНН "), (F.lit(7_700_000_000) + F.col("event_id")).cast("string"), F.lit(", СНИЛС 112-233-"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(" "), F.lpad((F.col("event_id") % 97).cast("string"), 2, "0"))
+    texts = table("documents").select("doc_id", "text").unionByName(table("events").select((F.col("event_id") + 1_000_000_000).alias("doc_id"), numbers.alias("text")))
+    rows = personal.gate(personal.personal_data(texts, "doc_id", "text"), "input", [personal.ANY])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(k)
+    return rows.select("doc_id", *(count(k) for k in personal.KINDS), "verdict")
