@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import jsons as J
 from ..functions import text as T
 from ..functions import url as U
 from .pages import _HOST, _LINKS, _PATH
@@ -201,3 +202,24 @@ def kept_first(table):
     t = F.trim("text")
     k = table("documents").select("doc_id", F.xxhash64(t).alias("h"), F.sha2(t, 256).alias("t")).where(t != "").groupBy("h", "t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     return k.orderBy("doc_id").limit(100).select("doc_id", "n", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"))
+
+
+_PATCHES = """p AS (SELECT event_id, props, json_object('type', event_type, 'meta', json_object('user', user_id, 'at', json_object('k', json_extract(props, '$.k'), 'old', 1), 'tags', json_array(event_type, user_id)), 'note', 'x') AS one,
+  CASE event_id % 5 WHEN 0 THEN '{"k":null,"meta":{"at":{"old":null,"new":[1,{"a":null}]}}}' WHEN 1 THEN '{"meta":{"tags":null,"user":{"id":7}},"note":null}' WHEN 2 THEN '{"meta":[1,2],"type":null}' WHEN 3 THEN '{"meta":{"at":"ü"},"deep":{"a":{"b":{"c":null,"d":{}}}}}' ELSE '{}' END AS two FROM events)"""
+
+
+_PATHS = {"k": "$.k", "type": "$.type", "note": "$.note", "user": "$.meta.user", "at_k": "$.meta.at.k", "at_old": "$.meta.at.old", "at_new": "$.meta.at.new", "tags": "$.meta.tags", "deep": "$.deep"}
+
+
+@query(f"""WITH {_PATCHES}, m AS (SELECT event_id, json_merge_patch(json_merge_patch(props, one), two) AS m FROM p)
+SELECT event_id, array_to_string(list_sort(json_keys(m)), ',') AS keys, coalesce(array_to_string(list_sort(json_keys(m, '$.meta')), ','), '') AS meta_keys, {", ".join(f"json_extract_string(m, '{p}') AS {c}" for c, p in _PATHS.items())} FROM m""")
+def json_merge_patches(table):
+    """Properties after two patches: nested objects, keys taken away, arrays and texts in place of objects."""
+    two = F.element_at(F.array(*map(F.lit, [
+        '{"k":null,"meta":{"at":{"old":null,"new":[1,{"a":null}]}}}', '{"meta":{"tags":null,"user":{"id":7}},"note":null}', '{"meta":[1,2],"type":null}', '{"meta":{"at":"ü"},"deep":{"a":{"b":{"c":null,"d":{}}}}}', "{}",
+    ])), (F.col("event_id") % 5 + 1).cast("int"))
+    k = F.get_json_object("props", "$.k")
+    one = F.concat(F.lit('{"type":"'), "event_type", F.lit('","meta":{"user":'), "user_id", F.lit(',"at":{"k":'), k, F.lit(',"old":1},"tags":["'), "event_type", F.lit('",'), "user_id", F.lit(']},"note":"x"}'))
+    m = table("events").select("event_id", J.merge_patch(J.merge_patch(F.col("props"), one), two).alias("m"))
+    keys = lambda text: F.array_join(F.array_sort(F.json_object_keys(text)), ",")
+    return m.select("event_id", keys(F.col("m")).alias("keys"), F.coalesce(keys(F.get_json_object("m", "$.meta")), F.lit("")).alias("meta_keys"), *(F.get_json_object("m", p).alias(c) for c, p in _PATHS.items()))
