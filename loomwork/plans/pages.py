@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..operators import html_blocks as B
 from ..operators import pages as P
 from ..operators import scheduling as S
 from .registry import query
@@ -82,3 +83,25 @@ def visit_intervals(table):
 def html_to_markdown(table):
     """Main text and structure of each page."""
     return P.extracted(table("pages"), "page_id", "html").select("page_id", "title", "n_headings", "n_lists", "n_paragraphs", F.length("markdown").alias("chars"), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+_BLOCKS = r"""b AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*|<div class="ad">[^<]*</div>|<!--.*?-->', '', 'g'), '</?(?:h1|p|article|body|html)(?: [^>]*)?>|<!DOCTYPE html>') AS s FROM pages),
+t AS (SELECT page_id, i, list_filter(list_transform(string_split(replace(replace(regexp_replace(replace(replace(s[i], chr(10), ' '), '<br>', chr(10)), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS l FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM b)),
+n AS (SELECT page_id, array_to_string(l, chr(10)) AS body, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block FROM t WHERE len(l) > 0),
+h AS (SELECT page_id, body AS heading FROM n WHERE block = 0)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT page_id, CAST(block AS INT) AS block, CASE WHEN block = 0 THEN 'heading' ELSE 'paragraph' END AS kind, heading AS section_path, sha256(body) AS body_sha256 FROM n JOIN h USING (page_id)")
+def html_blocks(table):
+    """Every block of every page, with the headings above it."""
+    b = B.html_blocks(table("pages"), "page_id", "html")
+    return b.select("page_id", "block", "kind", "section_path", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(f"""WITH {_BLOCKS}, m AS (SELECT page_id, string_agg(CASE WHEN block = 0 THEN '# ' || body ELSE body END, chr(10) || chr(10) ORDER BY block) AS m, count(*) FILTER (block = 0) AS n_headings, count(*) FILTER (block > 0) AS n_paragraphs FROM n GROUP BY 1)
+SELECT page_id, sha256(m) AS markdown_sha256, '1:' || heading AS outline, CAST(len(list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '')) AS INT) AS n_words, n_headings, n_paragraphs FROM m JOIN h USING (page_id)""")
+def page_documents(table):
+    """Every page put together from its blocks: text in markdown, outline and counts."""
+    d = B.documents(B.html_blocks(table("pages"), "page_id", "html"), "page_id")
+    outline = F.array_join(F.transform("outline", lambda o: F.concat(o["level"].cast("string"), F.lit(":"), o["section_path"])), "\n")
+    return d.select("page_id", F.sha2("markdown", 256).alias("markdown_sha256"), outline.alias("outline"), "n_words", "n_headings", "n_paragraphs")
