@@ -55,18 +55,46 @@ def peak_concurrency(intervals: DataFrame, by: list[str], start: str, end: str,
     return running.join(totals, [*by, "slice"]).groupBy(*by).agg(F.max(F.col("before") + F.col("open")).alias("peak"))
 
 
+def median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median): the mean of the two middle values, which are nearest ranks from below and from above."""
+    low = nearest_rank(df, by, value, [50])
+    high = nearest_rank(df.withColumn(value, -F.col(value)), by, value, [50]).withColumnRenamed("p50", "_high")
+    return low.join(high, by).select(*by, ((F.col("p50") - F.col("_high")) / 2).alias("median"))
+
+
 def sessions(events: DataFrame, by: list[str], ts: str, gap_s: int) -> DataFrame:
-    """(by, session_start, session_end, n_events): runs of events less than gap_s apart."""
-    order = Window.partitionBy(*by).orderBy(ts)
-    marked = events.withColumn("_ms", millis(ts)).withColumn("new", F.when(F.col("_ms") - F.lag("_ms").over(order) < gap_s * 1000, 0).otherwise(1))
-    marked = marked.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "k").agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("n_events")).drop("k")
+    """(by, session_start, session_end, n_events): runs of events less than gap_s apart.
+
+    Time is cut in slices of gap_s, each ordered by itself: an event begins a session if it is far from the one before it in its slice, or
+    from the last one of the slice before. Sessions are numbered by sums over the slices' totals, so that a group is spread
+    over as many tasks as it has slices.
+    """
+    gap = gap_s * 1000
+    e = events.select(*by, F.col(ts).alias("_ts"), millis(ts).alias("_ms")).withColumn("_slice", F.floor(F.col("_ms") / gap))
+    last = e.groupBy(*by, "_slice").agg(F.max("_ms").alias("_last")).withColumn("_slice", F.col("_slice") + 1)
+    on = [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by] + [F.col("e._slice") == F.col("l._slice")]
+    e = e.alias("e").join(last.alias("l"), on, "left").select("e.*", "_last")
+    order = Window.partitionBy(*by, "_slice").orderBy("_ms")
+    before = F.coalesce(F.lag("_ms").over(order), "_last")
+    e = e.withColumn("_new", F.when(F.col("_ms") - before < gap, 0).otherwise(1))
+    e = e.withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = e.groupBy(*by, "_slice", "_k").agg(F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.count("*").alias("_n"), F.max("_new").alias("_new"))
+    # A row for each piece of a session in a slice from here on.
+    running = Window.partitionBy(*by).orderBy("_slice", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_session", F.sum("_new").over(running))
+    return parts.groupBy(*by, "_session").agg(F.min("_start").alias("session_start"), F.max("_end").alias("session_end"), F.sum("_n").alias("n_events")).drop("_session")
 
 
 def sliding_count(events: DataFrame, by: list[str], ts: str, seconds: int) -> DataFrame:
-    """events with n_recent: how many of the group's events lie in the seconds up to each, itself included."""
-    order = Window.partitionBy(*by).orderBy(millis(ts)).rangeBetween(-(seconds * 1000 - 1), 0)
-    return events.withColumn("n_recent", F.count("*").over(order))
+    """events with n_recent: how many of the group's events lie in the seconds up to each, itself included.
+
+    Each event is counted in the slice of time that it lies in, and in the next one, which its seconds reach into: a group is spread
+    over as many tasks as it has slices.
+    """
+    width = seconds * 1000
+    own = events.withColumn("_ms", millis(ts)).withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", F.floor(F.col("_ms") / width) + F.col("_at"))
+    order = Window.partitionBy(*by, "_slice").orderBy("_ms").rangeBetween(-(width - 1), 0)
+    return own.withColumn("n_recent", F.count("*").over(order)).where("_at = 0").drop("_ms", "_at", "_slice")
 
 
 def last_writer(df: DataFrame, key: list[str], version: list[str], values: list[str]) -> DataFrame:

@@ -100,11 +100,11 @@ def rerank_score(base: Column, text: Column, terms: list[str], kind_bonus: Colum
     return base + 0.08 * F.least(overlap, F.lit(4)) + kind_bonus
 
 
-def ranking_metrics(hits: DataFrame, by: str, rank: str, relevant: str, k: int) -> DataFrame:
-    """(by, mrr, precision, ndcg) at k of ranked lists with graded relevance."""
-    top = hits.where(F.col(rank) <= k)
-    gain = (F.pow(F.lit(2.0), F.col(relevant)) - 1) / F.log2(F.col(rank) + 1.0)
-    ideal_rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(relevant), rank))
-    ideal = hits.withColumn("_i", ideal_rank).where(F.col("_i") <= k).groupBy(by).agg(F.sum((F.pow(F.lit(2.0), F.col(relevant)) - 1) / F.log2(F.col("_i") + 1.0)).alias("_ideal"))
-    got = top.groupBy(by).agg(F.coalesce(F.max(F.when(F.col(relevant) > 0, 1 / F.col(rank))), F.lit(0.0)).alias("mrr"), (F.sum((F.col(relevant) > 0).cast("int")) / k).alias("precision"), F.sum(gain).alias("_dcg"))
+def ranking_metrics(hits: DataFrame, by: str, order: list[Column], relevant: str, k: int) -> DataFrame:
+    """(by, mrr, precision, ndcg) at k of lists with graded relevance, ranked by order. Both rankings keep k rows of a list in each task before
+    they are shuffled; whole lists are never ranked."""
+    gain = lambda rank: (F.pow(F.lit(2.0), F.col(relevant)) - 1) / F.log2(F.col(rank) + 1.0)
+    first = lambda name, *by_: hits.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*by_))).where(F.col(name) <= k)
+    ideal = first("_i", F.desc(relevant), *order).groupBy(by).agg(F.sum(gain("_i")).alias("_ideal"))
+    got = first("_r", *order).groupBy(by).agg(F.coalesce(F.max(F.when(F.col(relevant) > 0, 1 / F.col("_r"))), F.lit(0.0)).alias("mrr"), (F.sum((F.col(relevant) > 0).cast("int")) / k).alias("precision"), F.sum(gain("_r")).alias("_dcg"))
     return got.join(ideal, by).select(by, "mrr", "precision", F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).otherwise(0.0).alias("ndcg"))

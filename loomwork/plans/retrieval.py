@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -131,10 +130,9 @@ ideal AS (SELECT list, sum((2 ** rel - 1) / log2(i + 1)) AS ideal FROM i WHERE i
 SELECT list, round(mrr, 6) AS mrr, round(precision, 6) AS precision, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg FROM dcg JOIN ideal USING (list)""")
 def quality_metrics(table):
     """MRR, precision and NDCG at 10 of seven ranked lists; a vector is relevant if it has the query's label."""
-    q = F.broadcast(table("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("ql")))
+    q = F.broadcast(table("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("ql")).limit(1))
     d = table("embeddings").where("vec_id > 0").crossJoin(q).select((F.col("vec_id") % 7).alias("list"), "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), R.cosine_distance(F.col("embedding"), F.col("q")).alias("dist"))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy("dist", "vec_id")))
-    m = R.ranking_metrics(d, "list", "rank", "rel", 10)
+    m = R.ranking_metrics(d, "list", [F.col("dist"), F.col("vec_id")], "rel", 10)
     return m.select("list", *(F.round(c, 6).alias(c) for c in ("mrr", "precision", "ndcg")))
 
 

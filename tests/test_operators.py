@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomwork.operators import analytics as A
 from loomwork.operators import retrieval as R
@@ -39,3 +40,34 @@ def test_postings_count_terms_by_field(spark):
     assert got == {(1, "head", "a"): (2, 3), (1, "head", "b"): (1, 3), (1, "body", "b"): (1, 1), (2, "body", "b"): (2, 2)}
 
 
+
+
+def test_sessions_and_sliding_counts_match_counting(spark):
+    """Groups of bursts and gaps just at the limit, ties and a null group."""
+    rng = np.random.default_rng(9)
+    rows = [(g, int(t)) for g in ("a", "b", None) for t in np.cumsum(rng.choice([0, 1, 4999, 5000, 5001, 12_000], 150))] + [("one", 7)]
+    df = spark.createDataFrame([(g, t, "x") for g, t in rows], "g string, t long, k string").select("g", F.timestamp_millis("t").alias("ts"), "k")
+    got = sorted(((r["g"], r["s"], r["e"], r["n_events"]) for r in A.sessions(df, ["g"], "ts", 5).select("g", F.unix_millis("session_start").alias("s"), F.unix_millis("session_end").alias("e"), "n_events").collect()), key=repr)
+    want = []
+    for g in ("a", "b", None, "one"):
+        runs = []
+        for t in sorted(t for h, t in rows if h == g):
+            if runs and t - runs[-1][-1] < 5000:
+                runs[-1].append(t)
+            else:
+                runs.append([t])
+        want += [(g, r[0], r[-1], len(r)) for r in runs]
+    assert got == sorted(want, key=repr)
+    counted = sorted(((r["g"], r["t"], r["n_recent"]) for r in A.sliding_count(df, ["g"], "ts", 5).select("g", F.unix_millis("ts").alias("t"), "n_recent").collect()), key=repr)
+    assert counted == sorted(((g, t, sum(h == g and t - 5000 < u <= t for h, u in rows)) for g, t in rows), key=repr)
+
+
+def test_medians_and_ranking_metrics(spark):
+    rng = np.random.default_rng(10)
+    groups = {"even": rng.integers(0, 9, 40).astype(float), "odd": rng.normal(0, 5, 41), "one": np.array([3.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    assert {r["g"]: round(r["median"], 9) for r in A.median(df, ["g"], "v").collect()} == {g: round(float(np.median(v)), 9) for g, v in groups.items()}
+    hits = [("a", 1, 0), ("a", 2, 1), ("a", 3, 3), ("b", 1, 0), ("b", 2, 0), ("c", 5, 2)]
+    got = {r["g"]: (r["mrr"], r["precision"], round(r["ndcg"], 9)) for r in R.ranking_metrics(spark.createDataFrame(hits, "g string, d int, rel int"), "g", [F.col("d")], "rel", 2).collect()}
+    ndcg = (1 / math.log2(3)) / (7 + 1 / math.log2(3))
+    assert got == {"a": (0.5, 0.5, round(ndcg, 9)), "b": (0.0, 0.0, 0.0), "c": (1.0, 0.5, 1.0)}
