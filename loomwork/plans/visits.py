@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cron, page_state
+from ..operators import cron, locks, page_state
 from .registry import query
 
 
@@ -94,3 +94,16 @@ def due_sources(table):
     cron_of = F.element_at(F.array(*map(F.lit, CRONS)), (F.col("user_id") % len(CRONS) + 1).cast("int"))
     s = last.crossJoin(now).withColumn("cron", cron_of)
     return s.select("user_id", cron.is_valid(F.col("cron")).alias("valid"), cron.is_due(cron.masks(F.col("cron")), F.col("last_at"), F.col("now")).alias("due"))
+
+
+LOCK_MS, LOCK_AFTER = 21_600_000, 3
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'error'), w AS (
+  SELECT user_id, min(t) AS s FROM f GROUP BY 1 UNION ALL SELECT w.user_id, (SELECT min(t) FROM f WHERE f.user_id = w.user_id AND t >= w.s + {LOCK_MS}) FROM w WHERE s IS NOT NULL),
+p AS (SELECT w.user_id, s, t, row_number() OVER (PARTITION BY w.user_id, s ORDER BY t) AS k FROM w JOIN f ON f.user_id = w.user_id AND t >= s AND t < s + {LOCK_MS})
+SELECT user_id, s AS window_start, count(*) AS failures, min(t) FILTER (k = {LOCK_AFTER}) AS locked_at, CASE WHEN count(*) >= {LOCK_AFTER} THEN max(t) + {LOCK_MS} END AS locked_until FROM p GROUP BY 1, 2""")
+def failure_windows(table):
+    """Errors of each user in windows that begin with the first one, and the locks that three in a window set."""
+    errors = table("events").where("event_type = 'error'").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return locks.failure_windows(errors, "user_id", "t", LOCK_MS, LOCK_AFTER)

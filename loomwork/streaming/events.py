@@ -50,3 +50,32 @@ def rate_limited(events: DataFrame, key: str, ts: str, limit: int = 60, seconds:
         yield pd.DataFrame({key: [k[0]] * len(times), ts: times, "accepted": accepted})
 
     return events.select(key, F.col(ts).cast("timestamp").alias(ts)).groupBy(key).applyInPandasWithState(judge, f"{key} {kind}, {ts} timestamp, accepted boolean", "taken array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def failure_locks(events: DataFrame, key: str, ts: str, length: int = 900_000, most: int = 10, late: str = "10 minutes") -> DataFrame:
+    """(key, window_start, failures, locked_at, locked_until) of a stream of failures, in milliseconds: a row for each window once the watermark has passed its end.
+
+    State of a key: its open windows' times that are not yet certain, which a timer on the watermark bounds. A window begins with the first
+    failure that is in none; rows are those that locks.failure_windows gives for the same failures as a table. Failures later
+    than late are dropped.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def judge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times = sorted((list(state.get[0]) if state.exists else []) + [t.value // 1_000_000 for b in batches for t in b[ts]])
+        now, rows = state.getCurrentWatermarkMs(), []
+        while times and times[0] + length <= now:
+            own = [t for t in times if t < times[0] + length]
+            at = own[most - 1] if len(own) >= most else None
+            rows.append((k[0], own[0], len(own), at, None if at is None else own[-1] + length))
+            times = times[len(own) :]
+        if times:
+            state.update((times,))
+            state.setTimeoutTimestamp(max(times[0] + length, now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=[key, "window_start", "failures", "locked_at", "locked_until"]).astype({"locked_at": "Int64", "locked_until": "Int64"})
+
+    rows = events.select(key, F.col(ts).cast("timestamp").alias(ts)).where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
+    schema = f"{key} {kind}, window_start long, failures long, locked_at long, locked_until long"
+    return rows.groupBy(key).applyInPandasWithState(judge, schema, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
