@@ -145,19 +145,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: in
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.join(known, "doc_id")
-    sizes = found.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("key")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample).collect()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("key")]
+    # Sizes and hashes meet the labels, never the texts: those of the sample are fetched by a broadcast of their names.
+    sizes = texts.select("doc_id", "key", F.octet_length("text").alias("size")).join(known, "doc_id").orderBy(*order).limit(sample).collect()
     total, taken = 0, []
     for r in sizes:  # at most sample rows
         total += r["size"]
         if total > sample_bytes and taken:
             break
-        taken.append((r["doc_id"], r["key"]))
+        taken.append((r["doc_id"], r["key"], r["label"]))
     if not taken:
         return train([], [], **train_with)
-    chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, key long")
-    rows = found.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"]).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(len(taken)).collect()
+    chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, key long, label int")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "key"]).orderBy(*order).limit(len(taken)).collect()
     return train([r["text"].encode() for r in rows], [r["label"] for r in rows], **train_with)
 
 
