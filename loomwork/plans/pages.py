@@ -85,8 +85,9 @@ def html_to_markdown(table):
     return P.extracted(table("pages"), "page_id", "html").select("page_id", "title", "n_headings", "n_lists", "n_paragraphs", F.length("markdown").alias("chars"), F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
+#: As HTML has it, &amp and &quot need no semicolon: titles cut to a length end in the middle of one.
 _BLOCKS = r"""b AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*|<div class="ad">[^<]*</div>|<!--.*?-->', '', 'g'), '</?(?:h1|p|article|body|html)(?: [^>]*)?>|<!DOCTYPE html>') AS s FROM pages),
-t AS (SELECT page_id, i, list_filter(list_transform(string_split(replace(replace(regexp_replace(replace(replace(s[i], chr(10), ' '), '<br>', chr(10)), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS l FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM b)),
+t AS (SELECT page_id, i, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(replace(replace(s[i], chr(10), ' '), '<br>', chr(10)), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS l FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM b)),
 n AS (SELECT page_id, array_to_string(l, chr(10)) AS body, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block FROM t WHERE len(l) > 0),
 h AS (SELECT page_id, body AS heading FROM n WHERE block = 0)"""
 

@@ -58,3 +58,20 @@ def test_documents_and_odd_rows(spark):
     assert one["markdown"] == "# A\n\nb c\n\n## D\n\n- e\n\n```\nf\n```\n\n| g |\n| --- |" and [(o["level"], o["section_path"]) for o in one["outline"]] == [(1, "A"), (2, "A / D")]
     assert tuple(one[c] for c in ("n_headings", "n_paragraphs", "n_lists", "n_tables", "n_code")) == (2, 1, 1, 1, 1) and got[4]["n_words"] == 200_000 and got[5]["markdown"] == "text"
     assert B.html_blocks(blocks.select(F.col("id"), F.lit(None).cast("string").alias("h")), "id", "h").count() == 0
+
+
+def test_sql_reads_references_without_semicolon(spark, tmp_path):
+    """A heading that was cut inside a reference: the SQL of both queries of pages decodes it as HTML does."""
+    import duckdb
+
+    from loomwork.plans import catalogue
+
+    html = ["a &amp;&amp", "&quot;b&quot", "c &am", "d &amp;quot; &ampe"]
+    rows = [(i, f"<!DOCTYPE html><html><head><title>{h}</title></head><body><article><h1>{h}</h1><p>x &amp; {h}</p></article></body></html>") for i, h in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_documents", "html_blocks"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(catalogue.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
