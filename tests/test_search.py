@@ -88,6 +88,17 @@ def test_a_frequent_term_is_spread_over_files(spark, tmp_path):
     assert made.blocks(["same"]).agg(F.sum("n")).first()[0] == 4000
 
 
+def test_a_term_is_one_row_a_block(spark, tmp_path):
+    """What is shuffled and written grows with the terms of a block, not with documents times terms; copies of a key in several blocks add up."""
+    df = spark.range(4000).select((F.col("id") % 1999).alias("id"), F.lit("one two").alias("body")).coalesce(1)
+    made = build_index(df, "id", [field("body", "body")], str(tmp_path))
+    assert spark.read.parquet(f"{made.path}/postings").count() == 2 and made.postings().count() == 8000 and made.copies == 3
+    small = build_index(df, "id", [field("body", "body")], str(tmp_path), docs_per_block=100)
+    for index in (made, small):
+        first, second, third = index.search(["one"], 3).collect()
+        assert (first["doc"], second["doc"], third["doc"]) == (0, 1, 2) and abs(first["score"] * 2 / 3 - third["score"]) < 2e-6
+
+
 def test_index_of_odd_rows(spark, tmp_path):
     schema = "id string, body string, doc int, term string, bucket int"
     rows = [("a", "x y", 1, "t", 2), ("a", "x", 1, "t", 2), ("b", None, 1, "t", 2), (None, "x", 1, "t", 2), ("c", "", 1, "t", 2), ("d", "long " * 200_000, 1, "t", 2), ("e", "x" * 300_000, 1, "t", 2)]
