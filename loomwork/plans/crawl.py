@@ -9,6 +9,7 @@ from ..functions import jsons as J
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import analytics as A
+from ..operators import hygiene
 from .pages import _HOST, _LINKS, _PATH
 from .registry import query
 
@@ -57,8 +58,8 @@ def host_sources(table):
 FROM (SELECT source, regexp_extract_all(lower(text), '[a-zа-яё0-9]+') AS w FROM documents) WHERE len(w) >= 3)) GROUP BY 1""".replace("CAST(sum(len(s)) AS BIGINT)", "count(*)"))
 def shingles_per_source(table):
     """Places and distinct trigrams of each source; hashes are shuffled, not words, and counted a task first."""
-    grams = table("documents").select("source", F.explode(T.windows(T.normalized_words(F.col("text")), 3, " ")).alias("g")).select("source", F.xxhash64("g").alias("h"))
-    return grams.groupBy("source", "h").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("places"), F.count("*").alias("shingles"))
+    grams = hygiene.block_trigrams(table("documents"), "source", "text").select("source", F.xxhash64("trigram").alias("h"), "n")
+    return grams.groupBy("source", "h").agg(F.sum("n").alias("n")).groupBy("source").agg(F.sum("n").alias("places"), F.count("*").alias("shingles"))
 
 
 @query("""WITH r AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..operators import hygiene
 from ..operators import pages as P
 from ..operators import policy
 from .registry import query
@@ -35,10 +36,9 @@ def metadata_only(table):
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zа-яё0-9]+') AS w FROM documents), g AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS shingle FROM w WHERE len(w) >= 3)
 SELECT shingle, count(DISTINCT doc_id) AS doc_count, count(*) AS total_count FROM g GROUP BY 1""")
 def corpus_shingle_frequency(table):
-    """Documents and places of each word trigram. Counted a document first, so that a frequent one is a row a document at most."""
-    grams = table("documents").select("doc_id", F.explode(T.windows(T.normalized_words(F.col("text")), 3, " ")).alias("shingle"))
-    per_doc = grams.groupBy("doc_id", "shingle").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("shingle").agg(F.count("*").alias("doc_count"), F.sum("n").alias("total_count"))
+    """Documents and places of each word trigram, counted in each task by blocks of documents first, and shuffled once."""
+    counts = hygiene.trigram_counts(table("documents"), None, "doc_id", "text")
+    return counts.select(F.col("trigram").alias("shingle"), F.col("n_docs").alias("doc_count"), F.col("n").alias("total_count"))
 
 
 @query("""SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN LATERAL (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) ON true""")
