@@ -6,10 +6,11 @@ Sunday. Day of month and day of week must both hold. Times are epoch seconds, in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources import store
 
 #: Bounds of the five fields, and names of week days and months.
 BOUNDS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 6)}
@@ -139,6 +140,26 @@ def next_fire(m: Column, after: Column) -> Column:
     return let(F.struct(m.alias("m"), after.cast("long").alias("after")), lambda s: F.when(s["m"].isNotNull() & s["after"].isNotNull(), at(s)))
 
 
+def next_fires(rows: DataFrame, cron: str, after: str, name: str = "next_fire") -> DataFrame:
+    """rows with name: next_fire of each row's cron after its epoch second.
+
+    A schedule is read once, and the first fitting day after a day looked for once for each schedule and day; a row has its own day's minutes
+    to look at only. The days are written, so that few of them are known to be few and rows are not shuffled to meet them.
+    """
+    date_no = lambda: F.floor(F.col(after) / _DAY).cast("int")
+    schedules = store.written(rows.select(F.col(cron).alias("_cron")).where("_cron is not null").distinct(), "schedules").select("_cron", masks(F.col("_cron")).alias("_m")).where("_m is not null")
+    days = rows.select(F.col(cron).alias("_cron"), date_no().alias("_day")).where("_day is not null").distinct().join(store.written(schedules, "masks"), "_cron")
+    today = F.date_from_unix_date("_day")
+    first_time = _first(F.col("_m")["hour"]) * 60 + _first(F.col("_m")["minute"])
+    fits = _days(F.col("_m"), F.trunc(today, "month")).bitwiseAND(_bit(F.dayofmonth(today))) != 0
+    days = store.written(days.select("_cron", "_day", "_m", fits.alias("_fits"), (_next_day(F.col("_m"), today).cast("long") * _DAY + first_time * 60).alias("_later")), "days-of-schedules")
+    met = rows.withColumn("_day", date_no()).join(days.withColumnRenamed("_day", "_of"), (F.col(cron) == F.col("_cron")) & (F.col("_day") == F.col("_of")), "left")
+    start = F.col("_day").cast("long") * _DAY
+    minute = F.floor((F.col(after) - start) / 60).cast("int")
+    this_day = start + F.when(F.col("_fits"), _time_left(F.col("_m"), minute)) * 60
+    return met.select(*rows.columns, F.coalesce(this_day, F.col("_later")).alias(name))
+
+
 def is_due(m: Column, baseline: Column, now: Column) -> Column:
     """Whether the schedule has fired after baseline (now, if it is later; a year ago without one), up to now. Manual and invalid ones never are."""
     since = F.least(F.coalesce(baseline, now - 366 * _DAY), now)

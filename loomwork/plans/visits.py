@@ -82,7 +82,7 @@ def next_fires(table):
     """When a schedule fires next after each event; the schedules take turns."""
     cron_of = F.element_at(F.array(*map(F.lit, CRONS)), (F.col("event_id") % len(CRONS) + 1).cast("int"))
     e = table("events").select("event_id", F.col("ts").cast("timestamp").cast("long").alias("at"), cron_of.alias("cron"))
-    return e.select("event_id", cron.next_fire(cron.masks(F.col("cron")), F.col("at")).alias("next_fire"))
+    return cron.next_fires(e, "cron", "at").select("event_id", "next_fire")
 
 
 @query(f"""WITH {_FIRES}, s AS (SELECT user_id, user_id % {len(CRONS)} AS cron_no, max(ts) AS last_at FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)

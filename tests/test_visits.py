@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import cron
 from loomwork.operators import page_state as P
+from loomwork.plans import visits
 
 KINDS = list(P.RESULTS)
 
@@ -157,3 +158,12 @@ def test_valid_and_due(spark):
     assert due.where(cron.is_due(cron.masks(F.col("cron")), F.col("baseline"), F.lit(now)) != F.col("want")).count() == 0
     now_rows = spark.createDataFrame([("* * * * *", True), ("0 0 1 1 *", False), ("invalid", False), ("0 10 3 6 *", True)], "cron string, want boolean")
     assert now_rows.where(cron.matches(cron.masks(F.col("cron")), F.lit(now + 59)) != F.col("want")).count() == 0
+
+
+def test_fires_by_schedule_and_day_equal_those_by_row(spark):
+    crons = [*visits.CRONS, None, "", "0 0 30 2 *"]
+    rows = [(i, crons[i % len(crons)], None if i % 50 == 7 else 1_700_000_000 + i * 7919 - (i % 5) * 10**8) for i in range(600)] + [(999, "* * * * *", -61)]
+    df = spark.createDataFrame(rows, "id int, cron string, at long")
+    got = cron.next_fires(df, "cron", "at", "n")
+    assert got.columns == [*df.columns, "n"] and "aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no schedule is read for a row
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.select("*", cron.next_fire(cron.masks(F.col("cron")), F.col("at"))).collect()} and got.count() == 601
