@@ -17,9 +17,12 @@ PATTERNS = {
 
 
 def reasons(text: Column) -> Column:
-    """Names of the kinds found, in a fixed order."""
+    """Names of the kinds found, in a fixed order. Texts that lack what all kinds of numbers hold, two digits in a row, or the sign of an address are not searched for them."""
     t = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*(F.when(t.rlike(p), name) for name, p in PATTERNS.items())))
+    numbers = F.array(*(F.when(t.rlike(p), name) for name, p in PATTERNS.items() if name != "email"))
+    none = F.array().cast("array<string>")
+    address = F.array(F.when(t.contains("@") & t.rlike(PATTERNS["email"]), "email"))
+    return F.array_compact(F.concat(F.when(t.rlike("[0-9]{2}"), numbers).otherwise(none), address))
 
 
 def masked(text: Column, sign: str = "***") -> Column:

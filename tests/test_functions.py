@@ -116,3 +116,13 @@ def test_windows_and_sessions(spark):
     df = spark.createDataFrame([("a", t0 + dt.timedelta(minutes=m)) for m in (0, 1, 9, 30)], "k string, ts timestamp")
     assert sorted(r["count"] for r in events.windowed_counts(df, "ts", ["k"], "10 minutes").collect()) == [1, 3]
     assert sorted(r["count"] for r in events.session_counts(df, "ts", ["k"], "10 minutes").collect()) == [1, 3]
+
+
+def test_texts_without_digits_or_signs_are_not_searched(spark):
+    """The same kinds as by every pattern on every text, and the patterns stand under a condition."""
+    texts = ["", None, "no digits here", "one 1 two 2", "8 999 123 45 67", "+7 (999) 123-45-67x", "12 34 567890", "112-233-445 95", "1" * 16, "1" * 10, "1" * 12, "1" * 11, "a@b", "a@b.cd 12", "x a@b.cd", "12 a@b.c", "8(999)1234567\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.array_compact(F.array(*(F.when(F.coalesce("t", F.lit("")).rlike(p), name) for name, p in pii.PATTERNS.items())))
+    got = df.select(pii.reasons(F.col("t")).alias("got"), every.alias("want"))
+    assert all(r["got"] == r["want"] for r in got.collect())
+    assert "[0-9]{2}) THEN" in df.select(pii.reasons(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
