@@ -153,8 +153,8 @@ def remove_repeats(docs: DataFrame, least: int = 2, least_words: int = 10) -> Da
     in_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
     later = found.join(firsts, "span").where(~in_first | F.col("more").isNotNull())
     places = F.when(in_first, F.col("more")).otherwise(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>"))))
-    later = later.select("doc_id", "text_key", F.explode(places).alias("place"))
-    repeats = later.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("repeats"))
+    # A set of lists: repeated rows bring the same ones.
+    repeats = later.select("doc_id", "text_key", places.alias("places")).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("repeats"))
     repeats = repeats.withColumnsRenamed({"doc_id": "of_doc", "text_key": "of_text"})
     joined = base.join(repeats, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")), "left").select("doc_id", "rest", "text", "repeats")
     cut = joined.mapInArrow(_cut, f"doc_id long, rest {joined.schema['rest'].dataType.simpleString()}, text string, n_sentences long, n_removed long, removed array<struct<start:int,end:int>>")

@@ -45,3 +45,10 @@ def test_repeats_go_to_the_last_sentence(spark, lengths):
     rows = [(d, sentence(f"a{d}x", 12) + passage + sentence(f"z{d}x", 12)) for d in range(3)] + [(3, passage)]
     left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {0: rows[0][1], 3: ""} | {d: sentence(f"a{d}x", 12) + sentence(f"z{d}x", 12) for d in (1, 2)}
+
+
+def test_places_are_gathered_as_lists(spark):
+    """No row for each place: a passage that most texts share makes no more rows than it has spans."""
+    df = spark.createDataFrame([(i, "One two three four five six. Seven eight nine ten eleven. " * 3) for i in range(4)], "doc_id long, text string")
+    out = substring_dedup.remove_repeats(df)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString() and sorted(r["n_removed"] for r in out.collect()) == [4, 6, 6, 6]
