@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .store import cut
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of a bitmap of bitmap_construct_agg.
 _BUCKET = 32_768
+#: Keys for each task at least: levels shrink, and so does the number of their tasks.
+_TASK_KEYS = 1 << 16
 
 
 def host_of(url: Column) -> Column:
@@ -61,19 +65,47 @@ def _passes(h1: Column, h2: Column, level: tuple, hashes: int) -> Column:
     return test(*(_places(h1, h2, seed, hashes, size)[i] for i in range(hashes)))
 
 
+def _passing(keys: DataFrame, level: tuple, hashes: int) -> DataFrame:
+    """The keys (h1, h2, listed) that pass a level. No filter, as one would go below coalesce and start Python for each part."""
+    shared, seed, size = level
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            out = np.ones(batch.num_rows, bool)
+            for i in range(hashes):
+                out &= _seen(bitmap, batch[f"p{i}"].to_numpy())
+            yield batch.select(["h1", "h2", "listed"]).filter(pa.array(out))
+
+    places = _places(F.col("h1"), F.col("h2"), seed, hashes, size)
+    return keys.select("h1", "h2", "listed", *(places[i].alias(f"p{i}") for i in range(hashes))).mapInArrow(passing, "h1 long, h2 long, listed boolean")
+
+
 def _level(keys: DataFrame, n: int, seed: int, hashes: int, bits_per_key: float) -> tuple[np.ndarray, int]:
     """A Bloom filter of keys (h1, h2): bitmaps of 4 KB are built by Spark, pre-aggregated in each task."""
     size = max(64, math.ceil(n * bits_per_key))
     places = keys.select(F.explode(F.transform(_places(F.col("h1"), F.col("h2"), seed, hashes, size), lambda p: p + 1)).alias("p"))
     maps = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
     bitmap = np.zeros((size + _BUCKET) // 8 + 1, np.uint8)
-    # Spark's bitmaps count positions from 1: bucket 1 holds 1 to 32,768.
-    for row in maps.toLocalIterator():
-        at = (row["bucket"] - 1) * _BUCKET // 8
-        bitmap[at : at + _BUCKET // 8] |= np.frombuffer(row["map"], np.uint8)
+    # Spark's bitmaps count positions from 1: bucket 1 holds 1 to 32,768. One job for all partitions; most_bytes bounds the whole.
+    for batch in maps.toArrow().to_batches():
+        for bucket, part in zip(batch["bucket"].to_pylist(), batch["map"], strict=True):
+            at = (bucket - 1) * _BUCKET // 8
+            bitmap[at : at + _BUCKET // 8] |= np.frombuffer(part.as_buffer(), np.uint8)
     return bitmap, size
 
 
+def _sizes(keys: DataFrame) -> tuple[int, int]:
+    """Numbers of listed and other keys."""
+    n = {row["listed"]: row["count"] for row in keys.groupBy("listed").count().collect()}
+    return n.get(True, 0), n.get(False, 0)
+
+
+def _gathered(keys: DataFrame, n: int) -> DataFrame:
+    """keys, n in number, in no more tasks than they fill; nothing is shuffled."""
+    return keys.coalesce(max(1, math.ceil(n / _TASK_KEYS)))
+
+
 def build_cascade(keys: DataFrame, bits_per_key: float = 6.0, hashes: int = 3, most_bytes: int = 64 << 20, most_levels: int = 60) -> list[Cascade]:
     """Filter cascades for keys (key, listed), the whole universe of keys that will ever be asked for.
 
@@ -87,21 +119,24 @@ def build_cascade(keys: DataFrame, bits_per_key: float = 6.0, hashes: int = 3, m
     spark = keys.sparkSession
     keys = keys.where("key is not null").groupBy("key").agg(F.max(F.coalesce(F.col("listed"), F.lit(False))).alias("listed"))
     keys = cut(keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), "listed"))
-    n = keys.where("listed").count()
+    n, others = _sizes(keys)
+    keys = _gathered(keys, n + others)
     shards = max(1, math.ceil(n * bits_per_key / 8 / most_bytes))
     out = []
     for shard in range(shards):
         own = keys.where(F.pmod("h1", F.lit(shards)) == shard) if shards > 1 else keys
         inside, outside = own.where("listed"), own.where(~F.col("listed"))
+        left = _sizes(own)[0] if shards > 1 else n
         cascade = Cascade(0, shard=shard, shards=shards)
-        while (left := inside.count()) and len(cascade.levels) < most_levels:
+        while left and len(cascade.levels) < most_levels:
             seed = len(cascade.levels) + 1
             bitmap, size = _level(inside, left, seed, hashes, bits_per_key)
             shared = spark.sparkContext.broadcast(bitmap)
             cascade.levels.append((shared, seed, size))
             cascade.bits += size
-            passed = cut(outside.where(_passes(F.col("h1"), F.col("h2"), cascade.levels[-1], hashes)))
-            inside, outside = passed, inside
+            passed = cut(_passing(outside, cascade.levels[-1], hashes))
+            left = passed.count()
+            inside, outside = _gathered(passed, left), inside
         if left:
             raise RuntimeError("keys with equal 128-bit hashes cannot be told apart")
         out.append(cascade)

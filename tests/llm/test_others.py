@@ -134,6 +134,25 @@ def test_cascade_is_exact(spark):
         assert out.count() == 20_000 and out.where("want <> listed").count() == 0
 
 
+def test_a_cascade_s_jobs_do_not_grow_with_partitions(spark):
+    """Bitmaps come in one job a level, and small levels are read by few tasks."""
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 3).alias("listed"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("cascade", "cascade")
+        cascades = url_filter.build_cascade(keys)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("cascade")
+        spark.sparkContext.setJobGroup("", "")
+        assert len(jobs) <= 6 * (len(cascades[0].levels) + 1)
+        assert url_filter.listed(keys.withColumnRenamed("listed", "want"), "key", cascades).where("want <> listed").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule, verdict",
     [
