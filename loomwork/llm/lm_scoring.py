@@ -261,9 +261,10 @@ def new_model(kinds: Groups, d: int = 16, seed: int = 1) -> dict[str, np.ndarray
 
 
 def _tables(p: dict, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each input token (of rows): (query and residual), key, value."""
+    """For each input token (of rows): (query and residual), key, (value and a one)."""
     embed = p["embed"] if rows is None else p["embed"][rows]
-    return np.concatenate((embed @ (p["q"] / np.sqrt(len(p["q"])).astype(embed.dtype)), embed @ p["r"]), 1), embed @ p["k"], embed @ p["v"]
+    v = np.concatenate((embed @ p["v"], np.ones((len(embed), 1), embed.dtype)), 1)
+    return np.concatenate((embed @ (p["q"] / np.sqrt(len(p["q"])).astype(embed.dtype)), embed @ p["r"]), 1), embed @ p["k"], v
 
 
 def _windowed(a: np.ndarray) -> np.ndarray:
@@ -277,7 +278,8 @@ def _turned(a: np.ndarray) -> np.ndarray:
 
 
 def _attend(p: dict, tables: tuple, x: np.ndarray) -> tuple:
-    """Masked attention of each cell but the first over itself and the one before, up to each place's own input."""
+    """Masked attention of each cell but the first over itself and the one before, up to each place's own input: (queries, keys,
+    values and a column of ones, weights, what the weights sum to, what is attended to, that and the residual)."""
     d = tables[1].shape[1]
     qr, k, v = tables[0].take(x[1:], 0), _windowed(tables[1].take(x, 0)), _windowed(tables[2].take(x, 0))
     q = qr[:, :, :d]
@@ -285,10 +287,11 @@ def _attend(p: dict, tables: tuple, x: np.ndarray) -> tuple:
     s += p["ago"][_AGO] + _MASK
     np.minimum(s, _MOST, out=s)
     np.exp(s, out=s)
-    s /= np.matmul(np.ones((1, 2 * CELL), s.dtype), s) + s.dtype.type(1e-30)
-    h = np.matmul(s.transpose(0, 2, 1), v)
-    h += qr[:, :, d:]
-    return q, k, v, s, h
+    # The ones beside the values sum the weights in the same product.
+    both = np.matmul(s.transpose(0, 2, 1), v)
+    total = both[:, :, d:] + s.dtype.type(1e-30)
+    found = both[:, :, :d] / total
+    return q, k, v, s, total, found, found + qr[:, :, d:]
 
 
 def _sorted_targets(kinds: Groups, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple], list[tuple]]:
@@ -310,13 +313,21 @@ def _sorted_targets(kinds: Groups, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, flat[at], segments, [(int(rare_of[i]), start + i, start + j) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _logits(a: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """a @ out + bias, cut to _MOST on either side; a's last column is ones."""
-    w = np.concatenate((out, bias[None]))
-    z = a @ w
-    if (a.max(0, initial=0) @ np.abs(w)).max() > _MOST:  # no value can be larger; mostly there is nothing to cut
+def _weights(out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights and biases of groups, (groups, d + 1, width)."""
+    return np.concatenate((out, bias[:, None]), 1)
+
+
+def _exps(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of the logits a @ w[group] of each segment (group, start, end) of rows, cut to _MOST on either side; the
+    logits of right). a's last column is ones. Each segment is one product, all else is done for all rows at once."""
+    z = np.empty((len(a), w.shape[2]), a.dtype)
+    for g, lo, hi in segments:
+        np.matmul(a[lo:hi], w[g], out=z[lo:hi])
+    if z.max(initial=0) > _MOST or z.min(initial=0) < -_MOST:  # mostly there is nothing to cut
         np.clip(z, -_MOST, _MOST, out=z)
-    return z
+    mine = z[np.arange(len(a)), right]
+    return np.exp(z, out=z), mine
 
 
 def _activations(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -327,32 +338,40 @@ def _activations(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return a
 
 
-def _log_chance(a: np.ndarray, out: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
-    z = _logits(a, out, bias)
-    mine = z[np.arange(len(a)), right]
-    np.exp(z, out=z)
-    return mine - np.log(z @ np.ones(z.shape[1], z.dtype))
+def _log_chance(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray) -> np.ndarray:
+    e, mine = _exps(a, w, segments, right)
+    return mine - np.log(e @ np.ones(e.shape[1], e.dtype))
+
 
+def _whole(n: int) -> list[tuple]:
+    return [(0, 0, n)]
 
-def token_logs(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds: np.ndarray, batch: int = 2048) -> np.ndarray:
+
+def token_logs(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds: np.ndarray, batch: int = 1024) -> np.ndarray:
     """The natural log of each token's probability given those before it in its window."""
     x, y, _ = windows(tokens, bounds)
+    w, w2, w3 = _weights(p["out"][None], p["bias"][None]), _weights(p["out2"], p["bias2"]), _weights(p["out3"][None], p["bias3"][None])
     out = np.zeros(len(x) * CELL)
     for i in range(0, len(x) - 1, batch):
         j = min(i + batch, len(x) - 1)
         at, t, segments, rare = _sorted_targets(kinds, y[i + 1 : j + 1])
-        a = _activations(_attend(p, tables, x[i : j + 1])[4], at)
-        own = _log_chance(a, p["out"], p["bias"], kinds.of[t]).astype(np.float64)
-        for g, s, e in segments:
-            own[s:e] += _log_chance(a[s:e], p["out2"][g], p["bias2"][g], kinds.member[t[s:e]])
+        a = _activations(_attend(p, tables, x[i : j + 1])[-1], at)
+        own = _log_chance(a, w, _whole(len(a)), kinds.of[t]).astype(np.float64)
+        n = rare[0][1] if rare else len(a)
+        own[:n] += _log_chance(a[:n], w2, segments, kinds.member[t[:n]])
         if rare:
-            own[rare[0][1] :] += _log_chance(a[rare[0][1] :], p["out3"], p["bias3"], kinds.rare_of[t[rare[0][1] :]])
-        for g, s, e in rare:
-            own[s:e] += _log_chance(a[s:e], p["out4"][g], p["bias4"][g], kinds.rare_member[t[s:e]])
+            own[n:] += _log_chance(a[n:], w3, _whole(len(a) - n), kinds.rare_of[t[n:]])
+            groups_, parts = _rare_segments(rare)
+            own[n:] += _log_chance(a[n:], _weights(p["out4"][groups_], p["bias4"][groups_]), parts, kinds.rare_member[t[n:]])
         out[(i + 1) * CELL + at] = own
     return out[y.ravel() >= 0]
 
 
+def _rare_segments(rare: list[tuple]) -> tuple[np.ndarray, list[tuple]]:
+    """(rare groups, segments with their places among these, from 0)."""
+    return np.array([g for g, _, _ in rare], np.int64), [(i, lo - rare[0][1], hi - rare[0][1]) for i, (_, lo, hi) in enumerate(rare)]
+
+
 def score_tokens(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
     return np.add.reduceat(token_logs(p, kinds, tables, tokens, bounds), bounds[:-1]) / np.log(10)
@@ -367,18 +386,20 @@ def _total(e: np.ndarray) -> np.ndarray:
     return np.ones(len(e), e.dtype) @ e
 
 
-def _softmax(a: np.ndarray, out: np.ndarray, bias: np.ndarray, right: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of the cross-entropy, a share of n: of out, of bias and of a without its ones."""
-    e = _logits(a, out, bias)
-    np.exp(e, out=e)
+def _softmax(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray, n: int, da: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the cross-entropy, a share of n: of the weights and of the biases of groups; that of a without its
+    ones is added to da."""
+    e, _ = _exps(a, w, segments, right)
     total = e @ np.ones(e.shape[1], e.dtype)
     e[np.arange(len(a)), right] -= total
     total *= n
-    np.reciprocal(total, out=total)
-    g = (a * total[:, None]).T @ e
-    da = e @ out.T
-    da *= total[:, None]
-    return g[:-1], g[-1], da
+    e /= total[:, None]
+    g, change = np.zeros_like(w), np.empty_like(da)
+    for i, lo, hi in segments:
+        np.matmul(a[lo:hi].T, e[lo:hi], out=g[i])
+        np.matmul(e[lo:hi], w[i, :-1].T, out=change[lo:hi])
+    da += change
+    return g[:, :-1], g[:, -1]
 
 
 def _gradients(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict:
@@ -390,51 +411,49 @@ def _gradients(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict:
     place[rows] = np.arange(len(rows))
     u, d = place.take(x), len(p["q"])
     tables = _tables(p, rows)
-    q, k, v, s, h = _attend(p, tables, u)
+    q, k, v, s, total, found, h = _attend(p, tables, u)
     at, t, segments, rare = _sorted_targets(kinds, y[1:])
-    a, n = _activations(h, at), float(max(1, len(t)))
-    g = {k: np.zeros_like(p[k]) for k in ("out2", "bias2", "out3", "bias3")}
-    g["out"], g["bias"], da = _softmax(a, p["out"], p["bias"], kinds.of[t], n)
-    for i, lo, hi in segments:
-        g["out2"][i], g["bias2"][i], more = _softmax(a[lo:hi], p["out2"][i], p["bias2"][i], kinds.member[t[lo:hi]], n)
-        da[lo:hi] += more
+    a, n = _activations(h, at), max(1, len(t))
+    g, da = {k: np.zeros_like(p[k]) for k in ("out3", "bias3")}, np.zeros((len(at), d), h.dtype)
+    out, bias = _softmax(a, _weights(p["out"][None], p["bias"][None]), _whole(len(a)), kinds.of[t], n, da)
+    g["out"], g["bias"] = out[0], bias[0]
+    lo = rare[0][1] if rare else len(a)
+    g["out2"], g["bias2"] = _softmax(a[:lo], _weights(p["out2"], p["bias2"]), segments, kinds.member[t[:lo]], n, da[:lo])
     if rare:
-        lo = rare[0][1]
-        g["out3"], g["bias3"], more = _softmax(a[lo:], p["out3"], p["bias3"], kinds.rare_of[t[lo:]], n)
-        da[lo:] += more
-    own = np.array([i for i, _, _ in rare], np.int64)
-    out4, bias4 = np.empty((len(own), *p["out4"].shape[1:]), a.dtype), np.empty((len(own), kinds.rare_width), a.dtype)
-    for j, (i, lo, hi) in enumerate(rare):
-        out4[j], bias4[j], more = _softmax(a[lo:hi], p["out4"][i], p["bias4"][i], kinds.rare_member[t[lo:hi]], n)
-        da[lo:hi] += more
-    g["out4"], g["bias4"] = (own, out4), (own, bias4)
+        out, bias = _softmax(a[lo:], _weights(p["out3"][None], p["bias3"][None]), _whole(len(a) - lo), kinds.rare_of[t[lo:]], n, da[lo:])
+        g["out3"], g["bias3"] = out[0], bias[0]
+    own, parts = _rare_segments(rare)
+    out, bias = _softmax(a[lo:], _weights(p["out4"][own], p["bias4"][own]), parts, kinds.rare_member[t[lo:]], n, da[lo:])
+    g["out4"], g["bias4"] = (own, out), (own, bias)
     da *= a[:, :d] > 0
     dh = np.zeros((len(x) * CELL - CELL, d), a.dtype)
     dh[at] = da
     dh = dh.reshape(h.shape)
-    dv = np.matmul(s, dh)
-    ds = np.matmul(v, _turned(dh))
-    # The mean of ds under s: dh times what was attended to, which is h without the residual.
-    ones = np.ones(d, a.dtype)
-    ds -= np.matmul((h - tables[0].take(u[1:], 0)[:, :, d:]) * dh, ones)[:, None]
+    # Weights are not divided by their sum, so what comes back to them and the values is.
+    share = np.empty((*h.shape[:2], d + 1), a.dtype)
+    np.divide(dh, total, out=share[:, :, :d])
+    # The mean of ds under s: dh times what was attended to; against the ones beside the values, it is taken off in the product.
+    share[:, :, d] = -np.matmul(share[:, :, :d] * found, np.ones(d, a.dtype))
+    ds = np.matmul(v, _turned(share))
     ds *= s
     g["ago"] = np.bincount(_AGO.ravel(), _total(ds.reshape(len(ds), -1)), minlength=2 * CELL).astype(a.dtype)
     # What each place gets: as a query and residual, and as a key and value of its own cell's window and the next one's.
     parts = {"q": np.matmul(ds.transpose(0, 2, 1), k).reshape(-1, d), "r": dh.reshape(-1, d)}
     parts["q"] /= np.sqrt(d).astype(a.dtype)
-    for name, both in (("k", np.matmul(ds, q)), ("v", dv)):
-        own = np.zeros((*x.shape, d), a.dtype)
+    for name, both in (("k", np.matmul(ds, q)), ("v", np.matmul(s, share[:, :, :d]))):
+        own = np.empty((*x.shape, d), a.dtype)
         own[:-1] = both[:, :CELL]
+        own[-1] = 0
         own[1:] += both[:, CELL:]
         parts[name] = own.reshape(-1, d)
     where, embed = u.ravel(), p["embed"][rows]
-    inputs = embed.take(where, 0)
+    inputs = np.ascontiguousarray(embed.T).take(where, 1)
     change = parts["k"] @ p["k"].T
     change += parts["v"] @ p["v"].T
     change[CELL:] += parts["q"] @ p["q"].T
     change[CELL:] += parts["r"] @ p["r"].T
     for name, part in parts.items():
-        g[name] = inputs[len(inputs) - len(part) :].T @ part
+        g[name] = inputs[:, len(where) - len(part) :] @ part
     order = np.argsort(where, kind="stable")
     g["embed"] = rows, np.add.reduceat(change.take(order, 0), np.searchsorted(where[order], np.arange(len(rows))))
     return g

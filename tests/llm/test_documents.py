@@ -187,6 +187,21 @@ def test_lm_rare_gradients():
         assert abs((loss(up) - loss(down)) / 2e-2 - g[name][at]) < 0.02 * abs(g[name][at]) + 2e-4, name
 
 
+def test_lm_logits_of_all_groups_at_once():
+    """Segments of several groups give what each gives by itself, beyond the cut of logits too; so do none."""
+    rng = np.random.default_rng(7)
+    a, w, right = np.abs(rng.normal(0, 1, (30, 5))), rng.normal(0, 1, (3, 5, 8)), rng.integers(0, 8, 30)
+    w[1] *= 1000
+    segments = [(0, 0, 11), (2, 11, 12), (1, 12, 30)]
+    e, mine = lm_scoring._exps(a, w, segments, right)
+    for g, lo, hi in segments:
+        z = np.clip(a[lo:hi] @ w[g], -60, 60)
+        assert np.allclose(e[lo:hi], np.exp(z)) and np.allclose(mine[lo:hi], z[np.arange(hi - lo), right[lo:hi]])
+    assert (np.abs(mine) == 60).any()
+    e, mine = lm_scoring._exps(a[:0], w[:0], [], right[:0])
+    assert e.shape == (0, 8) and mine.shape == (0,)
+
+
 def test_lm_trains_on_every_text(spark):
     docs = [(i, f"w{i} only here") for i in range(6)] + [(None, "no id")]
     word_ids, counts_, rows = lm_scoring.WordIds(queries.tokenizer("byte_bpe_50k.tiktoken")), np.zeros(lm_scoring.VOCABULARY, np.int64), []
