@@ -241,9 +241,11 @@ def windows(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x.reshape(-1, CELL), y.reshape(-1, CELL), np.repeat(np.arange(len(n)), cells)
 
 
-#: Of a window's keys (rows) and the queries of its last cell: which keys lie ahead, and how far back the others are.
-_BACK = np.arange(CELL)[None] + CELL - np.arange(2 * CELL)[:, None]
-_MASK, _AGO = np.where(_BACK >= 0, 0, -1e4).astype(np.float32), np.clip(_BACK, 0, 2 * CELL - 1)
+#: Two cells (the queries, rows) meet the cell before them and themselves (the keys) in one product: which keys lie ahead of a
+#: query or before its window, and how far back the others are.
+_BACK = np.arange(2 * CELL)[:, None] + CELL - np.arange(3 * CELL)[None]
+_INSIDE = (_BACK >= 0) & (np.arange(3 * CELL)[None] >= np.arange(2 * CELL)[:, None] // CELL * CELL)
+_MASK, _AGO = np.where(_INSIDE, 0, -1e4).astype(np.float32), np.clip(_BACK, 0, 2 * CELL - 1)
 #: Logits are cut here, so that exp needs no maximum first.
 _MOST = 60.0
 
@@ -261,36 +263,47 @@ def new_model(kinds: Groups, d: int = 16, seed: int = 1) -> dict[str, np.ndarray
 
 
 def _tables(p: dict, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each input token (of rows): (query and residual), key, (value and a one)."""
+    """For each input token (of rows): (query, residual and a zero), key, (value and a one)."""
     embed = p["embed"] if rows is None else p["embed"][rows]
-    v = np.concatenate((embed @ p["v"], np.ones((len(embed), 1), embed.dtype)), 1)
-    return np.concatenate((embed @ (p["q"] / np.sqrt(len(p["q"])).astype(embed.dtype)), embed @ p["r"]), 1), embed @ p["k"], v
+    column = np.ones((len(embed), 1), embed.dtype)
+    q = embed @ (p["q"] / np.sqrt(len(p["q"])).astype(embed.dtype))
+    return np.concatenate((q, embed @ p["r"], 0 * column), 1), embed @ p["k"], np.concatenate((embed @ p["v"], column), 1)
+
+
+def _paired(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells, those after the first in pairs: one more without targets where the last would stand alone."""
+    if len(x) % 2:
+        return x, y
+    return np.concatenate((x, x[-1:])), np.concatenate((y, np.full_like(y[-1:], -1)))
 
 
 def _windowed(a: np.ndarray) -> np.ndarray:
-    """(cells, CELL, d) as (cells - 1, 2 * CELL, d) without a copy: each cell after the one before it."""
+    """(2 * pairs + 1 cells, CELL, d) as (pairs, 3 * CELL, d) without a copy: each pair of cells after the one before it."""
     n, c, d = a.shape
-    return np.lib.stride_tricks.as_strided(a, (n - 1, 2 * c, d), (c * d * a.itemsize, d * a.itemsize, a.itemsize))
+    return np.lib.stride_tricks.as_strided(a, (n // 2, 3 * c, d), (2 * c * d * a.itemsize, d * a.itemsize, a.itemsize))
 
 
 def _turned(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a.transpose(0, 2, 1))
+    return a.transpose(0, 2, 1)
 
 
 def _attend(p: dict, tables: tuple, x: np.ndarray) -> tuple:
-    """Masked attention of each cell but the first over itself and the one before, up to each place's own input: (queries, keys,
-    values and a column of ones, weights, what the weights sum to, what is attended to, that and the residual)."""
+    """Masked attention of each cell but the first over itself and the one before, up to each place's own input, by pairs of
+    cells: (queries, keys, values and a column of ones, weights, what the weights sum to, what is attended to and a column of
+    ones, that and the residual)."""
     d = tables[1].shape[1]
-    qr, k, v = tables[0].take(x[1:], 0), _windowed(tables[1].take(x, 0)), _windowed(tables[2].take(x, 0))
-    q = qr[:, :, :d]
-    s = np.matmul(k, _turned(q))
-    s += p["ago"][_AGO] + _MASK
-    np.minimum(s, _MOST, out=s)
+    qr = tables[0].take(x[1:].reshape(-1, 2 * CELL), 0)
+    q, k, v = qr[:, :, :d], _windowed(tables[1].take(x, 0)), _windowed(tables[2].take(x, 0))
+    s = np.matmul(q, _turned(k))
+    flat = s.reshape(len(s), -1)
+    flat += (p["ago"][_AGO] + _MASK).ravel()
+    if s.max(initial=0) > _MOST:  # mostly there is nothing to cut
+        np.minimum(s, _MOST, out=s)
     np.exp(s, out=s)
     # The ones beside the values sum the weights in the same product.
-    both = np.matmul(s.transpose(0, 2, 1), v)
-    total = both[:, :, d:] + s.dtype.type(1e-30)
-    found = both[:, :, :d] / total
+    found = np.matmul(s, v)
+    total = found[:, :, d:] + s.dtype.type(1e-30)
+    found /= total
     return q, k, v, s, total, found, found + qr[:, :, d:]
 
 
@@ -318,24 +331,28 @@ def _weights(out: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.concatenate((out, bias[:, None]), 1)
 
 
-def _exps(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp of the logits a @ w[group] of each segment (group, start, end) of rows, cut to _MOST on either side; the
-    logits of right). a's last column is ones. Each segment is one product, all else is done for all rows at once."""
+def _logits(a: np.ndarray, w: np.ndarray, segments: list[tuple]) -> np.ndarray:
+    """The logits a @ w[group] of each segment (group, start, end) of rows, cut to _MOST on either side. a's last column is
+    ones. Each segment is one product, all else is done for all rows at once."""
     z = np.empty((len(a), w.shape[2]), a.dtype)
     for g, lo, hi in segments:
         np.matmul(a[lo:hi], w[g], out=z[lo:hi])
     if z.max(initial=0) > _MOST or z.min(initial=0) < -_MOST:  # mostly there is nothing to cut
         np.clip(z, -_MOST, _MOST, out=z)
-    mine = z[np.arange(len(a)), right]
+    return z
+
+
+def _exps(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of the logits of segments; the logits of right)."""
+    z = _logits(a, w, segments)
+    mine = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + right)
     return np.exp(z, out=z), mine
 
 
 def _activations(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positive parts of the places at, and a column of ones for biases."""
-    d = h.shape[-1]
-    a = np.ones((len(at), d + 1), h.dtype)
-    np.maximum(h.reshape(-1, d).take(at, 0), 0, out=a[:, :d])
-    return a
+    """Positive parts of the places at; their column of ones stays, for biases."""
+    a = h.reshape(-1, h.shape[-1]).take(at, 0)
+    return np.maximum(a, 0, out=a)
 
 
 def _log_chance(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray) -> np.ndarray:
@@ -354,8 +371,9 @@ def token_logs(p: dict, kinds: Groups, tables: tuple, tokens: np.ndarray, bounds
     out = np.zeros(len(x) * CELL)
     for i in range(0, len(x) - 1, batch):
         j = min(i + batch, len(x) - 1)
-        at, t, segments, rare = _sorted_targets(kinds, y[i + 1 : j + 1])
-        a = _activations(_attend(p, tables, x[i : j + 1])[-1], at)
+        own_x, own_y = _paired(x[i : j + 1], y[i : j + 1])
+        at, t, segments, rare = _sorted_targets(kinds, own_y[1:])
+        a = _activations(_attend(p, tables, own_x)[-1], at)
         own = _log_chance(a, w, _whole(len(a)), kinds.of[t]).astype(np.float64)
         n = rare[0][1] if rare else len(a)
         own[:n] += _log_chance(a[:n], w2, segments, kinds.member[t[:n]])
@@ -389,9 +407,10 @@ def _total(e: np.ndarray) -> np.ndarray:
 def _softmax(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndarray, n: int, da: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the cross-entropy, a share of n: of the weights and of the biases of groups; that of a without its
     ones is added to da."""
-    e, _ = _exps(a, w, segments, right)
+    e = _logits(a, w, segments)
+    np.exp(e, out=e)
     total = e @ np.ones(e.shape[1], e.dtype)
-    e[np.arange(len(a)), right] -= total
+    e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + right] -= total
     total *= n
     e /= total[:, None]
     g, change = np.zeros_like(w), np.empty_like(da)
@@ -404,6 +423,7 @@ def _softmax(a: np.ndarray, w: np.ndarray, segments: list[tuple], right: np.ndar
 
 def _gradients(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict:
     """Gradients of the mean cross-entropy over all cells but the first; those of _BY_ROW as (rows, values)."""
+    x, y = _paired(x, y)
     seen = np.zeros(len(p["embed"]), bool)
     seen[x.ravel()] = True
     rows = np.flatnonzero(seen)
@@ -426,36 +446,36 @@ def _gradients(p: dict, kinds: Groups, x: np.ndarray, y: np.ndarray) -> dict:
     out, bias = _softmax(a[lo:], _weights(p["out4"][own], p["bias4"][own]), parts, kinds.rare_member[t[lo:]], n, da[lo:])
     g["out4"], g["bias4"] = (own, out), (own, bias)
     da *= a[:, :d] > 0
-    dh = np.zeros((len(x) * CELL - CELL, d), a.dtype)
-    dh[at] = da
-    dh = dh.reshape(h.shape)
+    # What each place gets: as a query and residual, and as a key and value of its own cell's window and the next one's.
+    parts = {name: np.empty((*x.shape, d), a.dtype) for name in "qkv"} | {"r": np.zeros((*x.shape, d), a.dtype)}
+    parts["r"].reshape(-1, d)[at + CELL] = da
+    dh = parts["r"][1:].reshape(*h.shape[:2], d)
     # Weights are not divided by their sum, so what comes back to them and the values is.
     share = np.empty((*h.shape[:2], d + 1), a.dtype)
     np.divide(dh, total, out=share[:, :, :d])
     # The mean of ds under s: dh times what was attended to; against the ones beside the values, it is taken off in the product.
-    share[:, :, d] = -np.matmul(share[:, :, :d] * found, np.ones(d, a.dtype))
-    ds = np.matmul(v, _turned(share))
+    share[:, :, d] = -np.einsum("ijk,ijk->ij", share[:, :, :d], found[:, :, :d])
+    ds = np.matmul(share, _turned(v))
     ds *= s
     g["ago"] = np.bincount(_AGO.ravel(), _total(ds.reshape(len(ds), -1)), minlength=2 * CELL).astype(a.dtype)
-    # What each place gets: as a query and residual, and as a key and value of its own cell's window and the next one's.
-    parts = {"q": np.matmul(ds.transpose(0, 2, 1), k).reshape(-1, d), "r": dh.reshape(-1, d)}
-    parts["q"] /= np.sqrt(d).astype(a.dtype)
-    for name, both in (("k", np.matmul(ds, q)), ("v", np.matmul(s, share[:, :, :d]))):
-        own = np.empty((*x.shape, d), a.dtype)
-        own[:-1] = both[:, :CELL]
-        own[-1] = 0
-        own[1:] += both[:, CELL:]
-        parts[name] = own.reshape(-1, d)
+    parts["q"][0] = 0
+    np.matmul(ds, k, out=parts["q"][1:].reshape(q.shape))
+    for name, both in (("k", np.matmul(_turned(ds), q)), ("v", np.matmul(_turned(s), share[:, :, :d]))):
+        parts[name][0] = 0
+        parts[name][1:].reshape(q.shape)[:] = both[:, CELL:]
+        parts[name][:-1:2] += both[:, :CELL]
+    # All places of a token have the same vector, so they are summed before its products.
     where, embed = u.ravel(), p["embed"][rows]
-    inputs = np.ascontiguousarray(embed.T).take(where, 1)
-    change = parts["k"] @ p["k"].T
-    change += parts["v"] @ p["v"].T
-    change[CELL:] += parts["q"] @ p["q"].T
-    change[CELL:] += parts["r"] @ p["r"].T
-    for name, part in parts.items():
-        g[name] = inputs[:, len(where) - len(part) :] @ part
     order = np.argsort(where, kind="stable")
-    g["embed"] = rows, np.add.reduceat(change.take(order, 0), np.searchsorted(where[order], np.arange(len(rows))))
+    starts = np.searchsorted(where[order], np.arange(len(rows)))
+    change = np.zeros_like(embed)
+    for name, part in parts.items():
+        own = np.add.reduceat(part.reshape(-1, d).take(order, 0), starts)
+        if name == "q":
+            own /= np.sqrt(d).astype(a.dtype)
+        g[name] = embed.T @ own
+        change += own @ p[name].T
+    g["embed"] = rows, change
     return g
 
 
@@ -473,21 +493,35 @@ class Adam:
     """Weights that learn: steps over batches of cells, of all parameters but those of _BY_ROW that a batch leaves out."""
 
     def __init__(self, p: dict, kinds: Groups, rate: float):
-        self.p, self.kinds, self.rate, self.steps, self.seen = {k: w.copy() for k, w in p.items()}, kinds, rate, 0, 0
-        self.m, self.v = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
+        self.kinds, self.rate, self.steps, self.seen = kinds, rate, 0, 0
+        self.dense = [k for k in p if k not in _BY_ROW]
+        # The parameters that change as a whole lie in one array, of which those in p are parts.
+        whole = np.concatenate([p[k].ravel() for k in self.dense])
+        bounds = np.cumsum([0, *(p[k].size for k in self.dense)])
+        self.p = {k: w.copy() for k, w in p.items()} | {k: whole[a:b].reshape(p[k].shape) for k, a, b in zip(self.dense, bounds[:-1], bounds[1:], strict=True)}
+        self.w = {"": whole} | {k: self.p[k].reshape(len(p[k]), -1) for k in _BY_ROW}
+        self.m, self.v = {k: np.zeros_like(w) for k, w in self.w.items()}, {k: np.zeros_like(w) for k, w in self.w.items()}
         self.times = {k: np.zeros(len(p[k])) for k in _BY_ROW}
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         g = _gradients(self.p, self.kinds, x, y)
         self.steps, self.seen = self.steps + 1, self.seen + int((y[1:] >= 0).sum())
-        by, by2 = self.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
-        for k, w in self.p.items():
-            rows, change = g[k] if k in _BY_ROW else (slice(None), g[k])
-            m, v = self.m[k][rows], self.v[k][rows]
+        by, root = np.float32(self.rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        g[""] = slice(None), np.concatenate([g[k].ravel() for k in self.dense])
+        for k, w in self.w.items():
+            rows, change = g[k]
+            change = change.reshape(-1, w.shape[1]) if k else change
+            m, v = (self.m[k], self.v[k]) if not k else (self.m[k].take(rows, 0), self.v[k].take(rows, 0))
             m += 0.1 * (change - m)
-            v += 0.01 * (change * change - v)
-            w[rows] -= by * m / (np.sqrt(v * by2) + 1e-8)
-            if k in _BY_ROW:
+            change *= change
+            v += 0.01 * (change - v)
+            size = v * root
+            np.sqrt(size, out=size)
+            size += 1e-8
+            np.divide(m, size, out=size)
+            size *= by
+            w[rows] -= size
+            if k:
                 self.m[k][rows], self.v[k][rows] = m, v
                 self.times[k][rows] += 1
 

@@ -240,6 +240,21 @@ def test_lm_matches_plain_attention():
             assert math.isclose(got[bounds[text] + i], want, rel_tol=1e-9), (text, i)
 
 
+@pytest.mark.parametrize("cells", [2, 3, 4, 9])
+def test_lm_pairs_of_cells(cells):
+    """Cells attend by pairs; an odd one counts once, and windows do not reach further back than a cell."""
+    rng = np.random.default_rng(3)
+    kinds = lm_scoring.groups(rng.integers(0, 50, lm_scoring.VOCABULARY), rng.random(lm_scoring.VOCABULARY) < 0.5, n=5, width=6)
+    p = {k: w.astype(np.float64) + rng.normal(0, 0.1, w.shape) for k, w in lm_scoring.new_model(kinds, d=4).items()}
+    x, y = rng.integers(0, lm_scoring.VOCABULARY, (2, cells, lm_scoring.CELL))
+    whole, n = lm_scoring.train_step(p, kinds, x, y), cells - 1
+    each = [lm_scoring.train_step(p, kinds, x[i : i + 2], y[i : i + 2]) for i in range(n)]
+    for name in p:
+        assert np.allclose(whole[name], sum(g[name] for g in each) / n, rtol=1e-9, atol=1e-15), name
+    pairs = lm_scoring._windowed(lm_scoring._paired(x, y)[0][:, :, None])
+    assert pairs.shape[:2] == ((n + 1) // 2, 3 * lm_scoring.CELL) and (pairs[:, :, 0].ravel()[: 2 * lm_scoring.CELL] == x[:2].ravel()).all()
+
+
 def test_lm_beats_add_one_counts(spark):
     """On held-out texts of 10,000 documents, on all and on those whose words are all known."""
     r = queries.op7_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").select("n_tokens", "n_known", "score", "base_score").toPandas()
