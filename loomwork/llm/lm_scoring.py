@@ -12,41 +12,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textbytes import U, binaries, text_blocks, words
+from .textbytes import GOLD, U, binaries, mix, powers, text_blocks, words
 
 #: A cell is half a window: the tokens of a cell are predicted from the window that ends with them.
 CELL = 8
 #: The word hash that stands for the end of a text.
 END_WORD = np.uint64(0x5EED_0F_E4D)
 VOCABULARY, END, START, PAD = 50_257, 50_256, 50_257, 50_258
+_KEY_BASE = 0x9C6E6877736C46E3
+
+
+def subwords(ranks: str) -> list[bytes]:
+    """The bytes of each id."""
+    with open(ranks, "rb") as f:
+        table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [table[i] for i in range(len(table))]
 
 
 class WordIds:
-    """Subword ids of words, each with a space before it."""
+    """Subword ids of words, each with a space before it, from which the word can be read back.
+
+    Words met before, up to most, are looked up by their hashes.
+    """
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, most: int = 400_000):
         import tiktoken
 
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.feed = table[b"\n"]
+        self.table = {a: i for i, a in enumerate(subwords(ranks))}
+        self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=self.table, special_tokens={}).encode_ordinary
+        self.feed, self.most = self.table[b"\n"], most
+        self.hashes, self.places, self.lens, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-    def of(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words at starts:ends in turn, and the bounds of each word's ids.
+    def alone(self, word: bytes) -> list[int]:
+        try:
+            return self.encode(" " + word.decode("utf-8"))
+        except UnicodeDecodeError:  # no text: its bytes, each by itself
+            return [self.table[b" "], *(self.table[bytes([b])] for b in word)]
+
+    def encoded(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at starts:ends in turn, and how many each has.
 
         The words are encoded in one call, a line feed between them: words hold none, and it is a piece and a token of
         its own. Where other white space in a word upsets that, each word is encoded by itself.
         """
         raw = data.tobytes().lower()
         spans = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = np.array(self.encode((b" " + b"\n ".join(spans) + b"\n").decode("utf-8", "replace")) if spans else [], np.uint16)
+        try:
+            ids = np.array(self.encode((b" " + b"\n ".join(spans) + b"\n").decode("utf-8")) if spans else [], np.uint16)
+        except UnicodeDecodeError:
+            ids = np.zeros(0, np.uint16)
         feeds = np.flatnonzero(ids == self.feed)
         if len(feeds) != len(spans):
-            each = [self.encode(" " + s.decode("utf-8", "replace")) for s in spans]
-            return np.array([i for ids in each for i in ids], np.uint16), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
-        return np.delete(ids, feeds), np.concatenate(([0], feeds - np.arange(len(feeds))))
+            each = [self.alone(s) for s in spans]
+            return np.array([i for ids in each for i in ids], np.uint16), np.array([len(x) for x in each], np.int64)
+        return np.delete(ids, feeds), np.diff(feeds, prepend=-1) - 1
+
+    def of(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at starts:ends in turn, and the bounds of each word's ids."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        old = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~old)
+        ids, n = self.encoded(starts[new], ends[new], data)
+        places, lens = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        places[old], lens[old] = self.places[at[old]], self.lens[at[old]]
+        places[new], lens[new] = len(self.ids) + np.cumsum(n) - n, n
+        ids = np.concatenate((self.ids, ids))
+        if len(self.hashes) < self.most:
+            merged = np.concatenate((self.hashes, hashes[new]))
+            order = np.argsort(merged, kind="stable")
+            self.hashes, self.ids = merged[order], ids
+            self.places, self.lens = (np.concatenate((a, b[new]))[order] for a, b in ((self.places, places), (self.lens, lens)))
+        bounds = np.concatenate(([0], np.cumsum(lens)))
+        return ids[np.repeat(places - bounds[:-1], lens) + np.arange(bounds[-1])], bounds
+
+
+def word_keys(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each run of ids that begins at starts; the runs follow each other."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lens = np.diff(starts, append=len(ids))
+    up = powers(_KEY_BASE, int(lens.max()))[np.arange(len(ids)) - np.repeat(starts, lens)]
+    up *= ids.astype(np.uint64) + U(1)
+    return mix(np.add.reduceat(up, starts) ^ lens.astype(np.uint64) * U(GOLD))
 
 
 @dataclass
@@ -57,8 +106,8 @@ class Block:
     rows: np.ndarray
     distinct: np.ndarray
     inverse: np.ndarray
-    ids: np.ndarray | None = None
-    bounds: np.ndarray | None = None
+    ids: np.ndarray
+    bounds: np.ndarray
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds of each text): the subwords of all texts in turn, each text followed by END."""
@@ -92,14 +141,11 @@ def distinct_words(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ranked[new], place[new], inverse
 
 
-def blocks(column: pa.Array, word_ids: WordIds | None, limit: int = 1 << 23) -> Iterator[tuple[int, Block]]:
+def blocks(column: pa.Array, word_ids: WordIds, limit: int = 1 << 23) -> Iterator[tuple[int, Block]]:
     for first, offsets, data in text_blocks(column, limit):
         starts, ends, rows, hashes = words(offsets, data)
         distinct, where, inverse = distinct_words(hashes)
-        block = Block(len(offsets) - 1, rows, distinct, inverse)
-        if word_ids is not None:
-            block.ids, block.bounds = word_ids.of(starts[where], ends[where], data)
-        yield first, block
+        yield first, Block(len(offsets) - 1, rows, distinct, inverse, *word_ids.of(distinct, starts[where], ends[where], data))
 
 
 class Tally:
@@ -129,34 +175,40 @@ class Tally:
 
 def _read(ranks: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text with its tokens, 16 bits each; then the counts of words (subword: false) and subwords of a task's
-        training texts."""
-        word_ids, tally, subwords = WordIds(ranks), Tally(), np.zeros(VOCABULARY, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("tokens", pa.binary()), ("subword", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+        """The tokens of each text, 16 bits each; then the counts of words (subword: false) and subwords of a task's training
+        texts."""
+        word_ids, tally, subwords_ = WordIds(ranks), Tally(), np.zeros(VOCABULARY, np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("subword", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
         none = lambda n: [pa.nulls(n, t) for t in schema.types]
         for batch in batches:
             held = batch["held_out"].to_numpy(zero_copy_only=False)
             tally.add(np.array([END_WORD]), np.array([int((~held).sum())]))
-            subwords[END] += int((~held).sum())
+            subwords_[END] += int((~held).sum())
             for first, block in blocks(batch["text"], word_ids, 1 << 21):
                 trains = ~held[first + block.rows]
                 n = np.bincount(block.inverse[trains], minlength=len(block.distinct))
-                tally.add(block.distinct[n > 0], n[n > 0])
-                subwords += np.bincount(block.ids, weights=np.repeat(n, np.diff(block.bounds)), minlength=VOCABULARY).astype(np.int64)
+                tally.add(word_keys(block.ids, block.bounds[:-1])[n > 0], n[n > 0])
+                subwords_ += np.bincount(block.ids, weights=np.repeat(n, np.diff(block.bounds)), minlength=VOCABULARY).astype(np.int64)
                 tokens, bounds = block.tokens()
-                own = [batch[c].slice(first, block.n) for c in ("doc_id", "held_out", "text")]
-                yield pa.RecordBatch.from_arrays([*own, binaries(tokens.astype(np.uint16), bounds), *none(block.n)[4:]], schema=schema)
-        seen = np.flatnonzero(subwords)
+                own = [batch[c].slice(first, block.n) for c in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*own, binaries(tokens.astype(np.uint16), bounds), *none(block.n)[3:]], schema=schema)
+        seen = np.flatnonzero(subwords_)
         keys, counts = tally.merged()
         keys, counts = keys[counts > 0], counts[counts > 0]
-        for flag, k, c in ((True, seen.astype(np.uint64), subwords[seen]), (False, keys, counts)):
+        for flag, k, c in ((True, seen.astype(np.uint64), subwords_[seen]), (False, keys, counts)):
             for i in range(0, len(k), 50_000):
                 part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([*none(len(k[part]))[:4], pa.array(np.full(len(k[part]), flag)), pa.array(k[part].view(np.int64)), pa.array(c[part])], schema=schema)
+                yield pa.RecordBatch.from_arrays([*none(len(k[part]))[:3], pa.array(np.full(len(k[part]), flag)), pa.array(k[part].view(np.int64)), pa.array(c[part])], schema=schema)
 
     return read
 
 
+def starts_word(ranks: str) -> np.ndarray:
+    """Which ids begin with a space, and so a word; END does, too."""
+    table = subwords(ranks)
+    return np.array([t[:1] == b" " for t in table] + [True] * (VOCABULARY - len(table)))
+
+
 def _sequences(column: pa.Array, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, tokens, bounds) of runs of rows of about limit tokens."""
     for first, offsets, data in text_blocks(column, 2 * limit):
@@ -585,10 +637,7 @@ def fit(texts: DataFrame, counts: np.ndarray, ranks: str, rounds: int = 4, least
     by side from common weights; then each row of weights is averaged over the tasks that changed it, by how often. Only
     the averages (7 MB at most) come to the driver.
     """
-    with open(ranks, "rb") as f:
-        table = [base64.b64decode(line.split()[0]) for line in f]
-    starts_word = np.array([t[:1] == b" " for t in table] + [True] * (VOCABULARY - len(table)))
-    kinds = groups(counts, starts_word)
+    kinds = groups(counts, starts_word(ranks))
     p = new_model(kinds, d)
     passes = min(most_passes, max(1, round(least_tokens / max(1, int(counts.sum())))))
     for r in range(rounds):
@@ -603,30 +652,32 @@ def fit(texts: DataFrame, counts: np.ndarray, ranks: str, rounds: int = 4, least
 def _score(shared, n: int, v: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text: tokens, those of the head that are known and their base score, its other words, the model's score."""
-        head, head_n, end_n, p, kinds = shared.value
+        head, head_n, end_n, p, kinds, begins = shared.value
         tables, log_n = _tables(p), np.log10(n + v + 1)
         end_score = np.log10(end_n + 1) - log_n
         for batch in batches:
-            scores = [score_tokens(p, kinds, tables, tokens, bounds) for _, tokens, bounds in _sequences(batch["tokens"], 300_000)]
-            scores = np.concatenate(scores) if scores else np.zeros(0)
-            for first, block in blocks(batch["text"], None, 1 << 22):
-                at = np.minimum(np.searchsorted(head, block.distinct), max(0, len(head) - 1))
-                inside = head[at] == block.distinct if len(head) else np.zeros(len(block.distinct), bool)
-                value = np.where(inside, np.log10(head_n[at] + 1.0) - log_n, 0.0) if len(head) else np.zeros(len(block.distinct))
-                base = np.bincount(block.rows, value[block.inverse], minlength=block.n) + end_score
-                known = np.bincount(block.rows, inside[block.inverse], minlength=block.n).astype(np.int64) + int(end_n > 0)
-                other = ~inside[block.inverse]
-                tail = block.distinct[block.inverse[other]].view(np.int64)
-                tail_bounds = np.searchsorted(block.rows[other], np.arange(block.n + 1)).astype(np.int32)
+            for first, tokens, bounds in _sequences(batch["tokens"], 300_000):
+                m, starts = len(bounds) - 1, np.flatnonzero(begins[tokens])
+                word = tokens[starts] != END
+                rows = np.searchsorted(bounds, starts[word], "right") - 1
+                distinct, _, inverse = distinct_words(word_keys(tokens, starts)[word])
+                at = np.minimum(np.searchsorted(head, distinct), max(0, len(head) - 1))
+                inside = head[at] == distinct if len(head) else np.zeros(len(distinct), bool)
+                value = np.where(inside, np.log10(head_n[at] + 1.0) - log_n, 0.0) if len(head) else np.zeros(len(distinct))
+                base = np.bincount(rows, value[inverse], minlength=m) + end_score
+                known = np.bincount(rows, inside[inverse], minlength=m).astype(np.int64) + int(end_n > 0)
+                other = ~inside[inverse]
+                tail = distinct[inverse[other]].view(np.int64)
+                tail_bounds = np.searchsorted(rows[other], np.arange(m + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"].slice(first, block.n),
-                        batch["held_out"].slice(first, block.n),
-                        pa.array(np.bincount(block.rows, minlength=block.n).astype(np.int64) + 1),
+                        batch["doc_id"].slice(first, m),
+                        batch["held_out"].slice(first, m),
+                        pa.array(np.bincount(rows, minlength=m).astype(np.int64) + 1),
                         pa.array(known),
                         pa.array(base),
                         pa.ListArray.from_arrays(pa.array(tail_bounds), pa.array(tail)),
-                        pa.array(scores[first : first + block.n]),
+                        pa.array(score_tokens(p, kinds, tables, tokens, bounds)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "head_known", "head_score", "tail", "score"],
                 )
@@ -652,26 +703,28 @@ def score_texts(docs: DataFrame, ranks: str, head: int = 200_000, **fit_with) ->
 
     Counts of the head most frequent words (a bounded table) go to all tasks; other words are joined. A null text
     counts as empty: it is one end. Null doc_ids train; repeated rows count each; without training texts c, N
-    and V are 0. No rows give no rows. Other columns are not read. Words are told apart by 64-bit hashes.
+    and V are 0. No rows give no rows. Other columns are not read. Words are told apart by 64-bit hashes of their bytes,
+    then of their ids; a word of bytes that are no UTF-8 has an id for each byte.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    read = base.mapInArrow(_read(ranks), "doc_id long, held_out boolean, text string, tokens binary, subword boolean, key long, n long")
-    # Tokens are written once: training and scoring read them.
+    read = base.mapInArrow(_read(ranks), "doc_id long, held_out boolean, tokens binary, subword boolean, key long, n long")
+    # Tokens are written once: training and scoring read them. A word and its tokens stand for each other, so that nothing
+    # reads the texts again.
     read = written(read.withColumn("row", F.monotonically_increasing_id()), "lm-texts", compression="zstd")
     texts = read.where("tokens is not null")
     counts = written(read.where("key is not null").groupBy("subword", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    subwords = np.zeros(VOCABULARY, np.int64)
+    seen = np.zeros(VOCABULARY, np.int64)
     for row in counts.where("subword").collect():  # at most VOCABULARY rows
-        subwords[row["key"]] = row["n"]
+        seen[row["key"]] = row["n"]
     known = counts.where("not subword").select("key", "n")
     sums = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("key") == int(END_WORD), F.col("n"))), F.lit(0)).alias("end")).first()
     top = known.where(F.col("key") != int(END_WORD)).orderBy(F.desc("n"), "key").limit(head).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    p, kinds = fit(texts.where("not held_out"), subwords, ranks, **fit_with)
-    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], int(sums["end"]), p, kinds))
-    scored = texts.select("doc_id", "held_out", "text", "tokens").mapInArrow(_score(shared, int(sums["n"]), int(sums["v"])), "doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, tail array<long>, score double")
+    p, kinds = fit(texts.where("not held_out"), seen, ranks, **fit_with)
+    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], int(sums["end"]), p, kinds, starts_word(ranks)))
+    scored = texts.select("doc_id", "held_out", "tokens").mapInArrow(_score(shared, int(sums["n"]), int(sums["v"])), "doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, tail array<long>, score double")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     found = tail.join(known, "key", "left").groupBy("row").agg(

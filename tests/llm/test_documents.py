@@ -255,6 +255,39 @@ def test_lm_pairs_of_cells(cells):
     assert pairs.shape[:2] == ((n + 1) // 2, 3 * lm_scoring.CELL) and (pairs[:, :, 0].ravel()[: 2 * lm_scoring.CELL] == x[:2].ravel()).all()
 
 
+ODD_WORDS = ["\u00a0x a\u2028b x\u00a0", "x\u00a0 \u00a0x \u2003", "a\u2028b A\x1cB a\x1cb", "don't DON'T ' \x85 \x85", "\ufffd \u00ff", "日本 日 本 日本", "a" * 3000]
+
+
+def test_lm_words_are_encoded_once():
+    """A word met in an earlier block is looked up, and has the same ids as by itself."""
+    ranks = queries.tokenizer("byte_bpe_50k.tiktoken")
+    word_ids, asked = lm_scoring.WordIds(ranks), []
+    encoded = word_ids.encoded
+    word_ids.encoded = lambda starts, *rest: (asked.append(len(starts)), encoded(starts, *rest))[1]
+    for texts in (ODD_WORDS, ODD_WORDS[::-1], ["new", *ODD_WORDS]):
+        for text in texts:
+            ((_, block),) = lm_scoring.blocks(pa.array([text]), word_ids)
+            want = [i for w in words(text) for i in lm_scoring.WordIds(ranks, 0).encode(" " + w)]
+            assert block.tokens()[0].tolist() == [*want, lm_scoring.END]
+    n = len({w for t in ODD_WORDS for w in words(t)})
+    assert sum(asked) == n + 1 and asked[-len(ODD_WORDS) - 1] == 1
+
+
+def test_lm_base_scores_of_odd_words(spark):
+    """Words with other white space, and bytes that are no UTF-8, count as what they are."""
+    rows = [(i, bytearray(t.encode())) for i, t in enumerate(ODD_WORDS)] + [(i + 50, bytearray(b)) for i, b in enumerate([b"\xff a \xfe", b"\xfe \xff\xff", b"\xc3 \xc3\xa9 \xef\xbf\xbd"])]
+    docs = spark.createDataFrame(rows, "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = lm_scoring.score_texts(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), head=3).collect()
+    tokens = {i: [*bytes(raw).lower().split(), b" "] for i, raw in rows}
+    c = Counter(w for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in own)
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(rows)
+    for r in got:
+        own = tokens[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+
+
 def test_lm_beats_add_one_counts(spark):
     """On held-out texts of 10,000 documents, on all and on those whose words are all known."""
     r = queries.op7_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").select("n_tokens", "n_known", "score", "base_score").toPandas()
